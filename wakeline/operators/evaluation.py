@@ -235,23 +235,25 @@ def conformal_report(
     )
 
 
-def equal_bin(score: str, n_bins: int) -> Column:
-    """Bin 0..n-1; a score on an inner edge belongs to the upper bin, 1.0 to the last."""
-    return F.least(
-        F.greatest(F.floor(F.col(score) * n_bins), F.lit(0)), F.lit(n_bins - 1)
-    ).cast("int")
+def equal_bin(score: str, n_bins: int, edge: str = "lower") -> Column:
+    """Bin 0..n-1. ``edge`` says which bin takes a score on an inner edge."""
+    s = F.col(score) * n_bins
+    b = F.floor(s) if edge == "upper" else F.ceil(s) - 1
+    return F.least(F.greatest(b, F.lit(0)), F.lit(n_bins - 1)).cast("int")
 
 
-def calibration_curve(df: DataFrame, score: str, n_bins: int = 10, target: str = TARGET) -> DataFrame:
-    return _scored(df, score).groupBy(equal_bin(score, n_bins).alias("bin")).agg(
+def calibration_curve(
+    df: DataFrame, score: str, n_bins: int = 10, target: str = TARGET, edge: str = "lower"
+) -> DataFrame:
+    return _scored(df, score).groupBy(equal_bin(score, n_bins, edge).alias("bin")).agg(
         F.count(F.lit(1)).alias("n"), F.avg(score).alias("mean_score"),
         F.avg(F.col(target).cast("double")).alias("observed"),
     )
 
 
 def murphy(df: DataFrame, score: str, n_bins: int = 10, target: str = TARGET) -> DataFrame:
-    """Reliability - resolution + uncertainty over equal bins."""
-    bins = calibration_curve(df, score, n_bins, target)
+    """Reliability - resolution + uncertainty over equal bins; the upper bin takes an edge."""
+    bins = calibration_curve(df, score, n_bins, target, "upper")
     # at most n_bins rows from here on
     packed = bins.agg(
         F.collect_list(F.struct("n", "mean_score", "observed")).alias("b"), F.sum("n").alias("n"),
@@ -280,7 +282,7 @@ def poisson_weight(n: Column, seed: int, *ids) -> Column:
     """
     u = hash_uniform(seed, *ids)
     steps = F.aggregate(
-        F.sequence(F.lit(1), F.lit(200)),
+        F.sequence(F.lit(1), F.least(F.ceil(n + 12 * F.sqrt(n) + 20), F.lit(200)).cast("int")),
         F.struct(F.exp(-n).alias("pmf"), F.exp(-n).alias("cdf"), F.lit(0).cast("bigint").alias("k")),
         lambda a, i: F.when(a["cdf"] >= u, a).otherwise(
             F.struct(
