@@ -9,10 +9,9 @@ from pyspark.sql import Column, functions as F
 HOUR_US = 3_600_000_000
 MINUTE_US = 60_000_000
 
-# Web Mercator radius, metres in a nautical mile, mean earth radius.
+# Web Mercator radius, metres in a nautical mile.
 MERCATOR_RADIUS_M = 6378137.0
 METRES_PER_NM = 1852.0
-EARTH_RADIUS_M = 6371008.8
 
 # Half-open gap buckets in hours (name, low, high).
 GAP_BUCKETS = (
@@ -100,15 +99,6 @@ def mercator_y(lat) -> Column:
     return F.log(F.tan(F.lit(math.pi / 4) + F.radians(col(lat)) / 2.0)) * MERCATOR_RADIUS_M
 
 
-def haversine_nm(lat1, lon1, lat2, lon2) -> Column:
-    a1, a2 = F.radians(col(lat1)), F.radians(col(lat2))
-    h = (
-        F.pow(F.sin((a2 - a1) / 2), 2)
-        + F.cos(a1) * F.cos(a2) * F.pow(F.sin(F.radians(col(lon2) - col(lon1)) / 2), 2)
-    )
-    return 2 * EARTH_RADIUS_M * F.asin(F.sqrt(F.least(h, F.lit(1.0)))) / METRES_PER_NM
-
-
 def segment_distance(px, py, x1, y1, x2, y2) -> Column:
     """Planar distance of a point from a segment."""
     px, py, x1, y1, x2, y2 = map(col, (px, py, x1, y1, x2, y2))

@@ -68,17 +68,28 @@ def centres(n0, n1, a0, a1, sd0, sd1, m, s_m, c, s_g, where):
     return where(gap < 0, right / top, mu), where(gap < 0, gap * 0.0, gap)
 
 
-def fit_windows(x: np.ndarray, y: np.ndarray, prior: Prior, iterations: int) -> np.ndarray:
+def quartile_start(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Centres at the lower and upper quartile of each row (values of the data)."""
+    ordered = np.sort(x, axis=1)
+    low, high = (ordered[:, max(0, int(np.ceil(q * x.shape[1])) - 1)] for q in (0.25, 0.75))
+    return low, high - low
+
+
+def fit_windows(
+    x: np.ndarray, y: np.ndarray, prior: Prior, iterations: int,
+    w: np.ndarray | None = None, start: tuple[np.ndarray, np.ndarray] | None = None,
+) -> np.ndarray:
     """Fit one mixture for each row of the (windows, observations) arrays.
 
     Returns columns mu_0, gap, sigma_0, sigma_1, tau_0, tau_1, theta_0, theta_1.
     """
     k = x.shape[0]
+    w = np.ones_like(x) if w is None else w
     theta = np.full(k, prior.a0 / (prior.a0 + prior.a1))
-    mu, gap = np.full(k, prior.m), np.full(k, prior.c)
+    mu, gap = (np.full(k, prior.m), np.full(k, prior.c)) if start is None else start
     sd = np.full((2, k), START_SIGMA)
     tau = np.repeat(np.array(START_TAU)[:, None], k, axis=1)
-    total = 2.0 * x.shape[1] + prior.a0 + prior.a1 - 2.0
+    total = 2.0 * w.sum(axis=1) + prior.a0 + prior.a1 - 2.0
 
     def share(a, b):
         top = np.maximum(a, b)
@@ -86,14 +97,14 @@ def fit_windows(x: np.ndarray, y: np.ndarray, prior: Prior, iterations: int) ->
         return ea / (ea + eb)
 
     for _ in range(iterations):
-        w = np.log(theta), np.log1p(-theta)
+        log_weight = np.log(theta), np.log1p(-theta)
         centre = mu, mu + gap
-        lx = [w[j][:, None] - 0.5 * ((x - centre[j][:, None]) / sd[j][:, None]) ** 2
+        lx = [log_weight[j][:, None] - 0.5 * ((x - centre[j][:, None]) / sd[j][:, None]) ** 2
               - np.log(sd[j])[:, None] for j in (0, 1)]
-        ly = [w[j][:, None] - 0.5 * (y / tau[j][:, None]) ** 2 - np.log(tau[j])[:, None]
+        ly = [log_weight[j][:, None] - 0.5 * (y / tau[j][:, None]) ** 2 - np.log(tau[j])[:, None]
               for j in (0, 1)]
-        rx, ry = share(*lx), share(*ly)
-        rx, ry = (rx, 1.0 - rx), (ry, 1.0 - ry)
+        sx, sy = share(*lx), share(*ly)
+        rx, ry = (w * sx, w * (1.0 - sx)), (w * sy, w * (1.0 - sy))
         n = [r.sum(axis=1) for r in rx]
         a = [(r * x).sum(axis=1) for r in rx]
         q = [(r * x * x).sum(axis=1) for r in rx]

@@ -1,8 +1,8 @@
 """Vessel-level mixtures: pilot fits, empirical priors, sensitivity, predictive checks.
 
-Fits run for all keys at once: one map-side combined aggregate for each
-iteration over rows that are laid out once. Only sums leave a task, so a long
-vessel is never gathered.
+Fits run for all keys at once. Keys whose row count was checked against a bound
+are fitted inside tasks; longer ones take one map-side combined aggregate for
+each iteration, so a long vessel is never gathered.
 """
 
 from __future__ import annotations
@@ -10,11 +10,14 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from wakeline.functions.columns import hash_normal, hash_order, hash_uniform, micros
 from wakeline.functions.em import (
-    SIGMA_FLOOR, START_SIGMA, START_TAU, THETA_FLOOR, Prior, centres, pilot_prior, scale,
+    SIGMA_FLOOR, START_SIGMA, START_TAU, THETA_FLOOR, Prior, centres, fit_windows, pilot_prior,
+    quartile_start, scale,
 )
 from wakeline.functions.regimes import PARAMETERS, responsibility
 from wakeline.operators.prefix import cumulative
@@ -60,22 +63,17 @@ def _prior_columns(prior: Prior) -> list[Column]:
     return [F.lit(float(getattr(prior, c))).alias(c) for c in PRIOR_COLUMNS]
 
 
-def start_table(rows: DataFrame, keys: Sequence[str], priors: Column | None, prior: Prior | None) -> DataFrame:
+def start_table(rows: DataFrame, keys: Sequence[str], priors: Column) -> DataFrame:
     """Start values and prior of every key: centres at the quartiles of speed."""
     quart = F.percentile_approx(SPEED, [0.25, 0.75], 1000)
-    base = rows.groupBy(*keys).agg(
-        quart.alias("_q"), *([F.first(priors).alias("_p")] if priors is not None else [])
-    )
-    given = (
-        [F.col(f"_p.{c}").alias(c) for c in PRIOR_COLUMNS] if priors is not None else _prior_columns(prior)
-    )
+    base = rows.groupBy(*keys).agg(quart.alias("_q"), F.first(priors).alias("_p"))
+    weight = F.col("_p.a0") / (F.col("_p.a0") + F.col("_p.a1"))
     return base.select(
         *keys, F.col("_q")[0].alias("mu_sospetto"), (F.col("_q")[1] - F.col("_q")[0]).alias("gap"),
         F.lit(START_SIGMA).alias("sigma_speed_0"), F.lit(START_SIGMA).alias("sigma_speed_1"),
         F.lit(START_TAU[0]).alias("sigma_turn_0"), F.lit(START_TAU[1]).alias("sigma_turn_1"),
-        F.lit(0.5).alias("theta_0"), F.lit(0.5).alias("theta_1"), *given,
-    ).withColumn("theta_0", F.col("a0") / (F.col("a0") + F.col("a1"))).withColumn(
-        "theta_1", 1 - F.col("theta_0")
+        weight.alias("theta_0"), (1 - weight).alias("theta_1"),
+        *[F.col(f"_p.{c}").alias(c) for c in PRIOR_COLUMNS],
     )
 
 
@@ -106,19 +104,19 @@ def _iterate(rows: DataFrame, params: DataFrame, keys: Sequence[str], small: boo
     sums = []
     for k, (rx, ry) in enumerate(((F.col("_rx"), F.col("_ry")), (1 - F.col("_rx"), 1 - F.col("_ry")))):
         sums += [
-            F.sum(w * rx).alias(f"N{k}"), F.sum(w * rx * x).alias(f"A{k}"),
-            F.sum(w * rx * x * x).alias(f"Q{k}"), F.sum(w * ry).alias(f"U{k}"),
-            F.sum(w * ry * y * y).alias(f"V{k}"),
+            F.sum(w * rx).alias(f"sn_{k}"), F.sum(w * rx * x).alias(f"sa_{k}"),
+            F.sum(w * rx * x * x).alias(f"sq_{k}"), F.sum(w * ry).alias(f"su_{k}"),
+            F.sum(w * ry * y * y).alias(f"sv_{k}"),
         ]
     held = [F.max(c).alias(c) for c in (*PRIOR_COLUMNS, "sigma_speed_0", "sigma_speed_1")]
     s = joined.groupBy(*keys).agg(*sums, *held)
     c = F.col
-    total = c("N0") + c("N1") + c("U0") + c("U1") + c("a0") + c("a1") - 2.0
+    total = c("sn_0") + c("sn_1") + c("su_0") + c("su_1") + c("a0") + c("a1") - 2.0
     theta = F.least(
-        F.greatest((c("N0") + c("U0") + c("a0") - 1.0) / total, F.lit(THETA_FLOOR)), F.lit(1 - THETA_FLOOR)
+        F.greatest((c("sn_0") + c("su_0") + c("a0") - 1.0) / total, F.lit(THETA_FLOOR)), F.lit(1 - THETA_FLOOR)
     )
     mu, gap = centres(
-        c("N0"), c("N1"), c("A0"), c("A1"), c("sigma_speed_0"), c("sigma_speed_1"),
+        c("sn_0"), c("sn_1"), c("sa_0"), c("sa_1"), c("sigma_speed_0"), c("sigma_speed_1"),
         c("m"), c("s_m"), c("c"), c("s_g"), lambda q, a, b: F.when(q, a).otherwise(b),
     )
     s = s.withColumns({"mu_sospetto": mu, "gap": gap, "theta_0": theta, "theta_1": 1 - theta})
@@ -129,30 +127,23 @@ def _iterate(rows: DataFrame, params: DataFrame, keys: Sequence[str], small: boo
     scales = {}
     for k, centre in enumerate((mu0, mu1)):
         square = F.greatest(
-            c(f"Q{k}") - 2 * centre * c(f"A{k}") + centre * centre * c(f"N{k}"), F.lit(0.0)
+            c(f"sq_{k}") - 2 * centre * c(f"sa_{k}") + centre * centre * c(f"sn_{k}"), F.lit(0.0)
         )
-        scales[f"sigma_speed_{k}"] = floor(scale(c(f"N{k}"), square, c("s_speed"), F.sqrt))
-        scales[f"sigma_turn_{k}"] = floor(scale(c(f"U{k}"), c(f"V{k}"), c("s_turn"), F.sqrt))
+        scales[f"sigma_speed_{k}"] = floor(scale(c(f"sn_{k}"), square, c("s_speed"), F.sqrt))
+        scales[f"sigma_turn_{k}"] = floor(scale(c(f"su_{k}"), c(f"sv_{k}"), c("s_turn"), F.sqrt))
     return s.withColumns(scales).select(*keys, *PARAMETERS, *PRIOR_COLUMNS)
 
 
-def fit_mixture(
-    rows: DataFrame, keys: Sequence[str], p: Params, prior: Prior | None = None,
-    priors: Column | None = None, weight: Column | None = None,
-) -> DataFrame:
-    """Fit one mixture for each key. ``priors`` is a struct column when they differ by key.
+def _fit_distributed(rows: DataFrame, keys: Sequence[str], p: Params) -> DataFrame:
+    """Keys of any length: one aggregate for each iteration, only sums leave a task.
 
     The parameter table is broadcast only after its row count was checked;
-    otherwise rows and parameters meet on (key, salt), which keeps one long
-    vessel on many tasks. Lineage is cut every few iterations through the
-    reliable checkpoint folder.
+    otherwise rows and parameters meet on (key, salt). Lineage is cut every few
+    iterations through the reliable checkpoint folder.
     """
-    keys = list(keys)
-    columns = [*keys, SPEED, TURN, (weight if weight is not None else F.lit(1.0)).alias("_w")]
     salt = F.pmod(F.xxhash64(SPEED, TURN, "t"), F.lit(p.salts)).cast("int").alias("_salt")
-    extra = [priors.alias("_prior")] if priors is not None else []
-    laid = durable(rows.select(*columns, salt, *extra))
-    params = durable(start_table(laid, keys, F.col("_prior") if extra else None, prior))
+    laid = durable(rows.select("*", salt))
+    params = durable(start_table(laid, keys, F.col("_prior")))
     small = params.count() <= p.broadcast_rows
     laid = laid.drop("_prior")
     if not small:
@@ -164,6 +155,47 @@ def fit_mixture(
     return params.select(*keys, *PARAMETERS)
 
 
+def _fit_in_groups(rows: DataFrame, keys: Sequence[str], p: Params) -> DataFrame:
+    """Keys of at most ``group_rows`` rows: every fit runs where its rows are, in one pass."""
+    iterations, columns = p.em_iterations, list(keys)
+
+    def fit(table):
+        first = table.slice(0, 1).to_pylist()[0]
+        x, y, w = (table[c].to_numpy()[None, :] for c in (SPEED, TURN, "_w"))
+        values = fit_windows(x, y, Prior(**first["_prior"]), iterations, w, quartile_start(x))[0]
+        out = {c: [first[c]] for c in columns} | {c: [float(v)] for c, v in zip(PARAMETERS, values)}
+        return pa.table(out, schema=arrow_schema)
+
+    schema = T.StructType([rows.schema[c] for c in columns] + [T.StructField(c, T.DoubleType()) for c in PARAMETERS])
+    arrow_schema = to_arrow_schema(schema)
+    return rows.groupBy(*columns).applyInArrow(fit, schema)
+
+
+def fit_mixture(
+    rows: DataFrame, keys: Sequence[str], p: Params, prior: Prior | None = None,
+    priors: Column | None = None, weight: Column | None = None,
+) -> DataFrame:
+    """Fit one mixture for each key. ``priors`` is a struct column when they differ by key.
+
+    The size of every key is counted first. Keys within ``group_rows`` are
+    fitted inside a task; longer ones go through distributed iterations with the
+    same formulas, so no key is ever gathered beyond that bound.
+    """
+    keys = list(keys)
+    laid = rows.select(
+        *keys, "t", SPEED, TURN, (weight if weight is not None else F.lit(1.0)).alias("_w"),
+        (priors if priors is not None else F.struct(*_prior_columns(prior))).alias("_prior"),
+    )
+    long = laid.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > p.group_rows).select(*keys)
+    if long.limit(1).count() == 0:
+        return _fit_in_groups(laid, keys, p)
+    long = durable(long)
+    few = laid.join(long, keys, "left_anti")
+    return _fit_in_groups(few, keys, p).unionByName(
+        _fit_distributed(laid.join(long, keys, "left_semi"), keys, p)
+    )
+
+
 def pilot_mixture(
     rows: DataFrame, p: Params, sigma_speed: float = PILOT_SCALES[0], sigma_turn: float = PILOT_SCALES[1]
 ) -> DataFrame:

@@ -62,7 +62,7 @@ def _fold(scores: list, p00: float, p11: float):
 def _slice_states(df: DataFrame, score: str, p00: float, p11: float) -> DataFrame:
     """(MMSI, slice, _state): the filter state before the first row of each slice."""
 
-    def fold(key, table: pa.Table) -> pa.Table:
+    def fold(key, table):
         scores = _in_order(table)[score].to_pylist()
         a, b, c, d, start, n = _fold(scores, p00, p11)
         return pa.table({
@@ -71,7 +71,7 @@ def _slice_states(df: DataFrame, score: str, p00: float, p11: float) -> DataFram
             "start": pa.array([start], pa.float64()), "n": pa.array([n], pa.int64()),
         })
 
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key, table):
         table = table.take(pc.sort_indices(table, sort_keys=[(SLICE, "ascending")]))
         state, states = None, []
         for row in table.to_pylist():
@@ -110,7 +110,7 @@ def markov_filter(
     kept = [c for c in df.columns if c != out]
     names = [*kept, out]
 
-    def replay(table: pa.Table) -> pa.Table:
+    def replay(table):
         table = _in_order(table)
         state = table["_state"][0].as_py() if table.num_rows else None
         values = _replay(table[score].to_pylist(), state, p00, p11)

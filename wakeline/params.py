@@ -71,6 +71,7 @@ class Params:
     order_buckets: int = 64
     salts: int = 16
     broadcast_rows: int = 200_000
+    group_rows: int = 200_000
     seq_col: str = "ping_seq"
     # resolution of the time stamps in microseconds; 1_000_000 for whole seconds
     time_unit_us: int = 1

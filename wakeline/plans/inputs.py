@@ -14,7 +14,7 @@ from wakeline.sources.pings import edges_from_rings, scan_pings
 SPARSE = Params(bin_minutes=360, label_horizon_minutes=1440.0)
 # Short windows and refits for vessels with a few dozen rows.
 REGIME_PARAMS = Params(
-    bin_minutes=360, label_horizon_minutes=1440.0, window=12, update_freq=5, max_fits=3,
+    bin_minutes=360, label_horizon_minutes=1440.0, window=12, update_freq=5, max_fits=4,
     min_vessel_rows=40, n_draws=20, n_pilot_vessels=6,
 )
 
