@@ -191,7 +191,7 @@ def param_search(
     found before any training; the folds are cached once and each trial adds
     its own filtered score.
     """
-    rows = model_rows(df, features, target)
+    rows = model_rows(df, features, target).persist(StorageLevel.MEMORY_AND_DISK)
     folds = splitter(rows, p).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         usable = usable_folds(folds, target)
@@ -219,6 +219,7 @@ def param_search(
         return sorted(results, key=lambda r: -r["mean_ap"])
     finally:
         folds.unpersist()
+        rows.unpersist()
 
 
 def search_and_train(

@@ -16,9 +16,16 @@ from wakeline.functions.columns import hash_order
 from wakeline.params import Params
 
 
-def _bucketed(table: DataFrame, value: str, n_buckets: int) -> DataFrame:
+def _bucketed(table: DataFrame, value: str, measures: Sequence[str], n_buckets: int) -> DataFrame:
     levels = [(i + 1) / n_buckets for i in range(n_buckets - 1)]
-    cuts = table.agg(F.percentile_approx(value, levels, 10_000).alias("c")).scalar()
+    # naming the measures keeps their columns in this branch, so that it reads
+    # the same shuffle as the other users of the table instead of its own
+    present = F.lit(True)
+    for m in measures:
+        present = present & F.col(m).isNotNull()
+    cuts = table.agg(
+        F.percentile_approx(F.when(present, F.col(value)), levels, 10_000).alias("c")
+    ).scalar()
     return table.withColumn("_cuts", cuts).withColumn(
         "_bucket", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(value))), F.lit(0))
     ).drop("_cuts")
@@ -33,7 +40,7 @@ def cumulative(
     ``table`` holds one row for each distinct (keys, value).
     """
     keys = list(keys)
-    cut = _bucketed(table, value, p.order_buckets)
+    cut = _bucketed(table, value, measures, p.order_buckets)
     sums = cut.groupBy(*keys, "_bucket").agg(*[F.sum(m).alias(m) for m in measures])
     by_bucket = F.desc("_bucket") if descending else F.asc("_bucket")
     # at most order_buckets rows for each key

@@ -13,6 +13,7 @@ from wakeline.plans import inputs
 from wakeline.plans.catalog import query, rounded, with_ctes
 from wakeline.plans.inputs import SPARSE
 from wakeline.plans.sqlparts import AP, AUC, DOCS, GAPS, PINGS, SCORED, VESSELS, cumulated
+from wakeline.session import durable
 
 A, B = "score_a", "score_b"
 N_DRAWS = 20
@@ -42,7 +43,7 @@ usable as (select fold from assigned group by fold
 @query("split_group_time", with_ctes(*SCORED, GROUP_TIME_SQL) + """
 select fold::INTEGER as fold, role, MMSI, us from assigned where role is not null and fold in (select fold from usable)""")
 def split_group_time(spark, folder):
-    return folds.split_group_time(inputs.scored(spark, folder), SPARSE).select("fold", "role", MMSI, us_col())
+    return folds.split_group_time(inputs.stored_scored(spark, folder), SPARSE).select("fold", "role", MMSI, us_col())
 
 
 @query("holdout_by_vessel", with_ctes(PINGS, VESSELS) + """
@@ -99,7 +100,7 @@ select fold::INTEGER as fold, sum((role = 'train')::INTEGER)::BIGINT as train_ro
   sum((role = 'train' and y = 1)::INTEGER) > 0 and sum((role = 'valid' and y = 1)::INTEGER) > 0 as usable
 from assigned where role is not null and fold in (select fold from usable) group by fold""")
 def fold_positives(spark, folder):
-    return folds.fold_positives(folds.split_group_time(inputs.scored(spark, folder), SPARSE))
+    return folds.fold_positives(folds.split_group_time(inputs.stored_scored(spark, folder), SPARSE))
 
 
 @query("select_vessels", with_ctes(*SCORED) + "select distinct MMSI from scored where y = 1 order by MMSI limit 30")
@@ -230,7 +231,7 @@ evals as (select * from halves where not calib)"""
 
 
 def _halves(spark, folder):
-    parts = folds.split_positional(inputs.scored(spark, folder), SPARSE, 0.5)
+    parts = durable(folds.split_positional(inputs.scored(spark, folder), SPARSE, 0.5))
     return parts.filter("part = 'head'"), parts.filter("part = 'tail'")
 
 
@@ -264,7 +265,7 @@ def murphy(spark, folder):
 
 @query("bootstrap_ci")
 def bootstrap_ci(spark, folder):
-    return ev.bootstrap_ci(inputs.scored(spark, folder), B, SPARSE, N_DRAWS)
+    return ev.bootstrap_ci(inputs.stored_scored(spark, folder), B, SPARSE, N_DRAWS)
 
 
 DRAWS_SQL = f"""
@@ -288,7 +289,7 @@ def drawn_ap(score: str, name: str) -> str:
 select round(quantile_cont(ap, 0.025::DOUBLE), 8) as lower, round((select {AP} from cum), 8) as point,
   round(quantile_cont(ap, 0.975::DOUBLE), 8) as upper, count(*) as n_draws_used from boot""")
 def bootstrap_grouped(spark, folder):
-    return rounded(ev.bootstrap_grouped(inputs.scored(spark, folder), A, SPARSE, N_DRAWS), 8)
+    return rounded(ev.bootstrap_grouped(inputs.stored_scored(spark, folder), A, SPARSE, N_DRAWS), 8)
 
 
 @query("compare_models", with_ctes(*SCORED, DRAWS_SQL, drawn_ap(A, "ba"), drawn_ap(B, "bb"), """
@@ -297,7 +298,7 @@ select round(avg(d), 8) as delta_mean, round(quantile_cont(d, 0.025::DOUBLE), 8)
   round(quantile_cont(d, 0.975::DOUBLE), 8) as ci_upper, count(*) as n_draws_used, quantile_cont(d, 0.025::DOUBLE) > 0 as significant
 from deltas""")
 def compare_models(spark, folder):
-    return rounded(ev.compare_models(inputs.scored(spark, folder), A, B, SPARSE, N_DRAWS), 8)
+    return rounded(ev.compare_models(inputs.stored_scored(spark, folder), A, B, SPARSE, N_DRAWS), 8)
 
 
 @query("lift", with_ctes(*SCORED, cumulated("scored", A), f"""
@@ -305,7 +306,7 @@ m as (select (select {AP} from cum) as ap, avg(y) as prev from scored)""") + """
 select round(ap, 8) as average_precision, round(prev, 8) as prevalence, round(ap / prev, 7) as lift,
   case when ap / prev >= 5 then 'GO' when ap / prev > 2 then 'CAUTION' else 'NO-GO' end as verdict from m""")
 def lift(spark, folder):
-    return rounded(ev.lift(inputs.scored(spark, folder), A, SPARSE), 8, lift=7)
+    return rounded(ev.lift(inputs.stored_scored(spark, folder), A, SPARSE), 8, lift=7)
 
 
 @query("kpis", with_ctes(*SCORED) + """

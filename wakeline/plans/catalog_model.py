@@ -14,6 +14,7 @@ from wakeline.plans.catalog import query, rounded, with_ctes
 from wakeline.plans.catalog_data import RINGS_SQL, shared_folder
 from wakeline.plans.inputs import REGIME_PARAMS, SPARSE
 from wakeline.plans.sqlparts import FEATURES, GAPS, PINGS
+from wakeline.session import durable
 from wakeline.sources import sinks
 
 
@@ -89,12 +90,13 @@ TREES = model.TreeParams(max_depth=4, num_leaves=16)
 
 
 def _labelled(spark, folder):
-    return label_last_ping(inputs.features(spark, folder), SPARSE, bounded=True)
+    return durable(label_last_ping(inputs.features(spark, folder), SPARSE, bounded=True))
 
 
 def _enriched(spark, folder):
     rows = regime_score(inputs.features(spark, folder, REGIME_PARAMS), REGIME_PARAMS)
-    return label_last_ping(rows, REGIME_PARAMS, bounded=True).dropna(subset=[REGIME])
+    # phase 2 ends here: training reads a materialised table
+    return durable(label_last_ping(rows, REGIME_PARAMS, bounded=True).dropna(subset=[REGIME]))
 
 
 def _sides(rows):
@@ -141,7 +143,7 @@ def ablation(spark, folder):
 
 @query("gap_sensitivity")
 def gap_sensitivity(spark, folder):
-    return model.gap_sensitivity(inputs.features(spark, folder), SPARSE, t=TREES, rounds=ROUNDS)
+    return model.gap_sensitivity(durable(inputs.features(spark, folder)), SPARSE, t=TREES, rounds=ROUNDS)
 
 
 @query("importance")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from wakeline.operators import labels, series
 from wakeline.params import MMSI, Params
 from wakeline.plans.prep import feature_table
-from wakeline.session import prepare
+from wakeline.session import durable, prepare
 from wakeline.sources.pings import edges_from_rings, scan_pings
 
 # Six-hour bins and a one-day label horizon suit tables with a few events per vessel and day.
@@ -85,6 +85,11 @@ def scored(spark: SparkSession, folder: str) -> DataFrame:
     })
 
 
+def stored_scored(spark: SparkSession, folder: str) -> DataFrame:
+    """The same as a materialised table, for work that passes over it many times."""
+    return durable(scored(spark, folder))
+
+
 def scored_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Document labels with a coarse score of the text length."""
     joined = table(spark, folder, "labels").join(
