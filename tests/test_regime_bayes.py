@@ -9,6 +9,7 @@ from wakeline.functions.em import causal_prior, fit_windows, pilot_prior
 from wakeline.operators import bayes, regime
 from wakeline.operators.markov import markov_filter
 from wakeline.plans import inputs
+from wakeline.session import durable
 
 P = replace(inputs.REGIME_PARAMS, min_vessel_rows=30)
 
@@ -59,9 +60,10 @@ def test_known_mixture_is_recovered():
 
 
 def test_distributed_fit_equals_fit_in_tasks(spark, features):
-    rows = bayes.pilot_rows(features, P, 3)
-    near = {r.MMSI: r for r in bayes.pilot_mixture(rows, P).collect()}
+    rows = durable(bayes.pilot_rows(features, P, 2))
+    near = {r.MMSI: r for r in bayes.pilot_mixture(rows, replace(P, em_iterations=6)).collect()}
     for change in ({"group_rows": 0}, {"group_rows": 0, "broadcast_rows": 0}):
+        change = change | {"em_iterations": 6}
         far = bayes.pilot_mixture(rows, replace(P, **change)).collect()
         assert len(far) == len(near) > 0
         for r in far:

@@ -10,8 +10,8 @@ score; a null score keeps the state and stays null.
 from __future__ import annotations
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 
 from wakeline.operators.slices import SLICE, SLICE_KEYS, US, timed
 from wakeline.params import MMSI, REGIME, REGIME_MARKOV, REGIME_SMOOTHED, Params
@@ -20,10 +20,6 @@ from wakeline.params import MMSI, REGIME, REGIME_MARKOV, REGIME_SMOOTHED, Params
 DENOMINATOR_GUARD = 1e-12
 
 
-def _in_order(table: pa.Table) -> pa.Table:
-    return table.take(pc.sort_indices(table, sort_keys=[(US, "ascending")]))
-
-
 def _replay(scores: list, state: float | None, p00: float, p11: float) -> list:
     out = []
     for q in scores:
@@ -40,59 +36,88 @@ def _replay(scores: list, state: float | None, p00: float, p11: float) -> list:
     return out
 
 
-def _fold(scores: list, p00: float, p11: float):
-    """The slice as a matrix (rows a b / c d) and as a state if the vessel starts here."""
-    a, b, c, d = 1.0, 0.0, 0.0, 1.0
-    start, n = None, 0
-    for q in scores:
-        if q is None or q != q:
-            continue
-        n += 1
-        a, b, c, d = (
-            q * (p00 * a + (1 - p11) * c), q * (p00 * b + (1 - p11) * d),
-            (1 - q) * ((1 - p00) * a + p11 * c), (1 - q) * ((1 - p00) * b + p11 * d),
-        )
-        top = max(a, b, c, d)
-        if top > 0:
-            a, b, c, d = a / top, b / top, c / top, d / top
-        start = _replay([q], start, p00, p11)[0]
-    return a, b, c, d, start, n
+def _runs(keys: list[list]):
+    """(start, stop) of each stretch of equal keys in a batch sorted by them."""
+    n = len(keys[0])
+    start = 0
+    for i in range(1, n + 1):
+        if i == n or any(k[i] != k[start] for k in keys):
+            yield start, i
+            start = i
+
+
+def _clustered(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Rows of a key together and in order, so that one pass over a partition can scan them."""
+    return df.repartition(*keys).sortWithinPartitions(*keys, order)
+
+
+def _step(m, q: float, p00: float, p11: float):
+    """Compose one row onto a matrix (rows a b / c d), scaled to a largest entry of one."""
+    a, b, c, d = m
+    a, b, c, d = (
+        q * (p00 * a + (1 - p11) * c), q * (p00 * b + (1 - p11) * d),
+        (1 - q) * ((1 - p00) * a + p11 * c), (1 - q) * ((1 - p00) * b + p11 * d),
+    )
+    top = max(abs(a), abs(b), abs(c), abs(d))
+    return (a / top, b / top, c / top, d / top) if top > 0 else (a, b, c, d)
 
 
 def _slice_states(df: DataFrame, score: str, p00: float, p11: float) -> DataFrame:
     """(MMSI, slice, _state): the filter state before the first row of each slice."""
+    fold_schema = to_arrow_schema(T._parse_datatype_string(
+        f"{MMSI} long, {SLICE} long, a double, b double, c double, d double, start double"
+    ))
+    state_schema = to_arrow_schema(T._parse_datatype_string(f"{MMSI} long, {SLICE} long, _state double"))
+
+    def fold(batches):
+        """One row for each slice: its matrix, and its end state if the vessel starts here."""
+        key, m, start = None, None, None
+        for batch in batches:
+            vessel, part = batch[MMSI].to_pylist(), batch[SLICE].to_pylist()
+            scores, done = batch[score].to_pylist(), []
+            for i, j in _runs([vessel, part]):
+                if key != (vessel[i], part[i]):
+                    if key is not None:
+                        done.append((*key, *m, start))
+                    key, m, start = (vessel[i], part[i]), (1.0, 0.0, 0.0, 1.0), None
+                for q in scores[i:j]:
+                    if q is not None and q == q:
+                        m = _step(m, q, p00, p11)
+                        start = _replay([q], start, p00, p11)[0]
+            if done:
+                yield _batch(done, fold_schema)
+        if key is not None:
+            yield _batch([(*key, *m, start)], fold_schema)
+
+    def run(batches):
+        """The state before each slice, slice by slice; a slice without scores passes it on."""
+        vessel, state = None, None
+        for batch in batches:
+            out = []
+            for v, part, a, b, c, d, start in zip(*[batch[i].to_pylist() for i in range(7)]):
+                if v != vessel:
+                    vessel, state = v, None
+                out.append((v, part, state))
+                if start is None:
+                    continue
+                if state is None:
+                    state = start
+                else:
+                    up, down = a * state + b * (1 - state), c * state + d * (1 - state)
+                    state = up / (up + down) if up + down else 0.0
+            if out:
+                yield _batch(out, state_schema)
+
+    narrow = df.select(*SLICE_KEYS, US, score)
+    folded = _clustered(narrow, SLICE_KEYS, US).mapInArrow(fold, from_arrow_schema(fold_schema))
+    # one row for each slice of a vessel
+    return _clustered(folded, [MMSI], SLICE).mapInArrow(run, from_arrow_schema(state_schema))
+
 
-    def fold(key, table):
-        scores = _in_order(table)[score].to_pylist()
-        a, b, c, d, start, n = _fold(scores, p00, p11)
-        return pa.table({
-            MMSI: pa.array([key[0].as_py()], pa.int64()), SLICE: pa.array([key[1].as_py()], pa.int64()),
-            **{k: pa.array([v], pa.float64()) for k, v in zip("abcd", (a, b, c, d))},
-            "start": pa.array([start], pa.float64()), "n": pa.array([n], pa.int64()),
-        })
-
-    def run(key, table):
-        table = table.take(pc.sort_indices(table, sort_keys=[(SLICE, "ascending")]))
-        state, states = None, []
-        for row in table.to_pylist():
-            states.append(state)
-            if row["n"] == 0:
-                continue
-            if state is None:
-                state = row["start"]
-            else:
-                up = row["a"] * state + row["b"] * (1 - state)
-                down = row["c"] * state + row["d"] * (1 - state)
-                state = up / (up + down) if up + down > 0 else 0.0
-        return pa.table({
-            MMSI: table[MMSI], SLICE: table[SLICE], "_state": pa.array(states, pa.float64()),
-        })
-
-    folded = df.select(*SLICE_KEYS, US, score).groupBy(*SLICE_KEYS).applyInArrow(
-        fold, f"{MMSI} long, {SLICE} long, a double, b double, c double, d double, start double, n long"
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema
     )
-    # one row for each slice of a vessel
-    return folded.groupBy(MMSI).applyInArrow(run, f"{MMSI} long, {SLICE} long, _state double")
 
 
 def markov_filter(
@@ -101,25 +126,31 @@ def markov_filter(
 ) -> DataFrame:
     p00 = p.p_00 if p_00 is None else p_00
     p11 = p.p_11 if p_11 is None else p_11
-    base = timed(df.drop(out), p)
-    base = base.withColumn(score, F.col(score).cast("double"))
+    base = timed(df.drop(out), p).withColumn(score, F.col(score).cast("double"))
     if bounded:
         work, keys = base.withColumn("_state", F.lit(None).cast("double")), [MMSI]
     else:
         work, keys = base.join(_slice_states(base, score, p00, p11), SLICE_KEYS, "left"), SLICE_KEYS
     kept = [c for c in df.columns if c != out]
-    names = [*kept, out]
-
-    def replay(table):
-        table = _in_order(table)
-        state = table["_state"][0].as_py() if table.num_rows else None
-        values = _replay(table[score].to_pylist(), state, p00, p11)
-        return table.select(kept).append_column(out, pa.array(values, pa.float64())).select(names)
 
-    schema = T.StructType(
-        [work.schema[c] for c in kept] + [T.StructField(out, T.DoubleType())]
-    )
-    return work.select(*dict.fromkeys([*kept, US, SLICE, "_state"])).groupBy(*keys).applyInArrow(replay, schema)
+    def replay(batches):
+        key, state = None, None
+        for batch in batches:
+            groups = [batch[k].to_pylist() for k in keys]
+            scores, starts, values = batch[score].to_pylist(), batch["_state"].to_pylist(), []
+            for i, j in _runs(groups):
+                here = [g[i] for g in groups]
+                if here != key:
+                    key, state = here, starts[i]
+                piece = _replay(scores[i:j], state, p00, p11)
+                state = next((v for v in reversed(piece) if v is not None), state)
+                values += piece
+            arrays = [batch[c] for c in kept] + [pa.array(values, pa.float64())]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*kept, out])
+
+    schema = T.StructType([work.schema[c] for c in kept] + [T.StructField(out, T.DoubleType())])
+    slim = work.select(*dict.fromkeys([*kept, *keys, US, "_state"]))
+    return _clustered(slim, keys, US).mapInArrow(replay, schema)
 
 
 def markov_sym(

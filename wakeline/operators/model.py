@@ -301,10 +301,16 @@ def gram_matrix(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def vif_from_gram(gram: np.ndarray) -> np.ndarray:
-    """VIF without an intercept: diagonal of G times diagonal of its inverse."""
+    """VIF without an intercept: diagonal of G times diagonal of its inverse.
+
+    Columns that take part in an exact linear relation get infinity.
+    """
     scale = np.sqrt(np.diag(gram))
-    inverse = np.linalg.pinv(gram / np.outer(scale, scale))
-    return np.diag(inverse)
+    values, vectors = np.linalg.eigh(gram / np.outer(scale, scale))
+    flat = values < 1e-12 * values.max()
+    vif = (vectors[:, ~flat] ** 2 / values[~flat]).sum(axis=1)
+    tied = (vectors[:, flat] ** 2 > 1e-6).any(axis=1)
+    return np.where(tied, np.inf, vif)
 
 
 def vif_table(df: DataFrame, features: Sequence[str], limit: float = VIF_LIMIT) -> list[tuple[str, float, bool]]:
