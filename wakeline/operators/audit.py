@@ -14,6 +14,7 @@ from wakeline.operators.labels import mark_last_ping
 from wakeline.operators.model import SCORE, score_rows, train_logistic
 from wakeline.operators.prefix import quantiles
 from wakeline.params import MMSI, TIMESTAMP, Params
+from wakeline.session import durable
 
 CLASS = "is_last"
 # Fewest vessels, ridge, verdict limits, folds.
@@ -64,9 +65,15 @@ def audit_counts(sample: DataFrame) -> DataFrame:
 
 
 def median_impute(df: DataFrame, cols: Sequence[str], p: Params) -> DataFrame:
-    """Null features become the exact column median."""
-    medians = {c: quantiles(df, c, [0.5], p).select("quantile").scalar() for c in cols}
-    return df.withColumns({c: F.coalesce(F.col(c), medians[c]) for c in cols})
+    """Null features become the exact column median; all medians come from one pass."""
+    cells = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in cols])
+    long = df.select(F.explode(cells).alias("c")).select("c.name", "c.value")
+    medians = quantiles(long, "value", [0.5], p, ["name"]).agg(
+        F.map_from_entries(F.collect_list(F.struct("name", "quantile"))).alias("m")
+    ).scalar()
+    return df.withColumn("_m", medians).withColumns({
+        c: F.coalesce(F.col(c), F.col("_m")[c]) for c in cols
+    }).drop("_m")
 
 
 def standardise(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -137,7 +144,7 @@ def last_ping_audit(df: DataFrame, cols: Sequence[str], p: Params, bounded: bool
         auc = distance = None
         verdict = counts.status
         if counts.status == "READY":
-            ready = standardise(median_impute(sample, cols, p), cols)
+            ready = durable(standardise(median_impute(sample, cols, p), cols))
             row = audit_verdict(audit_auc(ready, cols, p)).first()
             auc, verdict = row.auc_last_vs_controls, row.verdict
             distance = mahalanobis(ready, cols)

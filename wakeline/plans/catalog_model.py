@@ -196,13 +196,14 @@ q as (select avg(a) filter (is_last) - avg(a) filter (not is_last) as da, avg(b)
   var_samp(a) + 1e-6 as va, var_samp(b) + 1e-6 as vb, covar_samp(a, b) as cab from z)""") + """
 select round(sqrt((da * da * vb - 2 * da * db * cab + db * db * va) / (va * vb - cab * cab)), 6) as distance from q""")
 def mahalanobis(spark, folder):
-    ready = audit.standardise(audit.median_impute(_sample(spark, folder), AUDIT_FEATURES, SPARSE), AUDIT_FEATURES)
+    sample = durable(_sample(spark, folder))
+    ready = audit.standardise(audit.median_impute(sample, AUDIT_FEATURES, SPARSE), AUDIT_FEATURES)
     return rounded(spark.createDataFrame([(audit.mahalanobis(ready, AUDIT_FEATURES),)], "distance double"))
 
 
 @query("audit_auc")
 def audit_auc(spark, folder):
-    ready = audit.standardise(_sample(spark, folder), AUDIT_FEATURES)
+    ready = durable(audit.standardise(durable(_sample(spark, folder)), AUDIT_FEATURES))
     return audit.audit_auc(ready, AUDIT_FEATURES, SPARSE)
 
 
