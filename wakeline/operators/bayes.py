@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from wakeline.functions.columns import hash_normal, hash_order, hash_uniform, micros
+from wakeline.functions.columns import hash_normal, hash_order, hash_uniform
 from wakeline.functions.em import (
     SIGMA_FLOOR, START_SIGMA, START_TAU, THETA_FLOOR, Prior, centres, fit_windows, pilot_prior,
     quartile_start, scale,
@@ -22,6 +22,7 @@ from wakeline.functions.em import (
 from wakeline.functions.regimes import PARAMETERS, responsibility
 from wakeline.operators.prefix import cumulative
 from wakeline.operators.regime import SPEED, TURN, std_full
+from wakeline.operators.slices import join_vessels
 from wakeline.params import MMSI, Params
 from wakeline.session import durable
 
@@ -50,9 +51,10 @@ def eligible_vessels(df: DataFrame, p: Params, n: int | None = None) -> DataFram
 def pilot_rows(features: DataFrame, p: Params, n: int | None = None) -> DataFrame:
     """(MMSI, t, speed_std, turn_std) of eligible vessels, scaled by the whole vessel."""
     chosen = eligible_vessels(features, p, n).select(MMSI)
-    if n is not None:
-        chosen = F.broadcast(chosen)  # at most n rows
-    kept = features.join(chosen, MMSI, "left_semi")
+    if n is None:
+        kept = join_vessels(features, chosen, p, "left_semi")
+    else:
+        kept = features.join(F.broadcast(chosen), MMSI, "left_semi")  # at most n rows
     rows = std_full(kept).filter(F.col("n") >= p.min_fit_rows)
     return rows.select(MMSI, "t", "n", SPEED, TURN)
 

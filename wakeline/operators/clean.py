@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from wakeline.functions.columns import finite
+from wakeline.operators.slices import join_vessels
 from wakeline.params import FEATURES_FULL, MEASURES, MMSI, TARGET, TIMESTAMP, Params
 
 # Accepted spellings of the identifier and the time column.
@@ -163,15 +164,10 @@ def id_type_check(df: DataFrame, id_col: str = MMSI) -> DataFrame:
     return out.select(F.lit(dtype).alias("dtype"), "*", issue.alias("issue"))
 
 
-def tag_split(df: DataFrame, holdout: DataFrame) -> DataFrame:
-    """Add split = test for vessels in the holdout list, train otherwise.
-
-    The list is joined as a set of vessels; a hot vessel on the row side stays
-    spread because the semi-side is broadcast whenever Spark finds it small, and
-    skewed partitions are split by AQE otherwise.
-    """
+def tag_split(df: DataFrame, holdout: DataFrame, p: Params) -> DataFrame:
+    """Add split = test for vessels in the holdout list, train otherwise."""
     keys = holdout.select(MMSI).distinct().withColumn("_held", F.lit(True))
-    return df.join(keys, MMSI, "left").withColumn(
+    return join_vessels(df, keys, p, "left").withColumn(
         "split", F.when(F.col("_held"), "test").otherwise("train")
     ).drop("_held")
 

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wakeline.functions.columns import HOUR_US, micros
 from wakeline.operators.prefix import global_row_index, hash_rank, quantiles
-from wakeline.params import MMSI, TARGET, TIMESTAMP, Params
+from wakeline.operators.slices import join_vessels
+from wakeline.params import MMSI, TARGET, Params
 
 # Smallest train and validation sides of a usable fold.
 MIN_TRAIN_GROUP_TIME, MIN_VALID_GROUP_TIME = 50, 10
@@ -72,7 +71,7 @@ def split_group_time(df: DataFrame, p: Params, usable_only: bool = True) -> Data
     ).scalar()
     gap, horizon = int(p.fold_gap_hours * HOUR_US), int(p.fold_horizon_hours * HOUR_US)
     t = micros()
-    rows = df.join(vessel_folds(df, p).withColumnRenamed("fold", "_home"), MMSI)
+    rows = join_vessels(df, vessel_folds(df, p).withColumnRenamed("fold", "_home"), p)
     rows = rows.withColumn("_c", F.explode(cuts)).withColumns(
         {"fold": F.col("_c.fold"), "_cut": F.col("_c.cut")}
     )
@@ -104,7 +103,7 @@ def holdout_vessels(df: DataFrame, p: Params) -> DataFrame:
 def holdout_by_vessel(df: DataFrame, p: Params, holdout: DataFrame | None = None):
     """(pool, held out, list). Pass a stored list to repeat an earlier split."""
     held = holdout if holdout is not None else holdout_vessels(df, p)
-    return df.join(held, MMSI, "left_anti"), df.join(held, MMSI, "left_semi"), held
+    return join_vessels(df, held, p, "left_anti"), join_vessels(df, held, p, "left_semi"), held
 
 
 def split_time_gap(df: DataFrame, p: Params, freq_minutes: int | None = None) -> DataFrame:
@@ -167,7 +166,7 @@ def split_first_seen(df: DataFrame, p: Params, usable_only: bool = True) -> Data
     roles = first_seen_vessels(df, p, usable_only)
     # at most k (fold, role) pairs for each vessel, carried as one array per vessel
     packed = roles.groupBy(MMSI).agg(F.collect_list(F.struct("fold", "role")).alias("_roles"))
-    return df.join(packed, MMSI).select(F.explode("_roles").alias("_f"), *df.columns).select(
+    return join_vessels(df, packed, p).select(F.explode("_roles").alias("_f"), *df.columns).select(
         "_f.fold", "_f.role", *df.columns
     )
 

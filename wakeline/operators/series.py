@@ -11,7 +11,7 @@ from wakeline.functions.columns import (
     wrap_course,
 )
 from wakeline.operators.clean import bbox_filter, inside_box
-from wakeline.operators.slices import SLICE, US, neighbours, positions, timed
+from wakeline.operators.slices import neighbours, positions
 from wakeline.params import KINEMATICS, MEASURES, MMSI, REGIME, TIMESTAMP, Params
 
 # Clip limits of acceleration and turn rate.
@@ -191,28 +191,26 @@ def last_position(df: DataFrame, p: Params, score: str | None = REGIME) -> DataF
     )
 
 
+def trajectory_points(df: DataFrame, p: Params) -> DataFrame:
+    """Ordered path of each vessel as numbered points."""
+    out = positions(df.dropna(subset=["Lat", "Lon"]), p, rn="seq", n="n_points")
+    return out.select(MMSI, "seq", "n_points", micros().alias("us"), "Lon", "Lat")
+
+
 def trajectories(df: DataFrame, p: Params) -> DataFrame:
-    """Ordered path of each vessel as numbered parts, one for each time slice.
+    """The same paths as arrays of at most ``path_points`` points, numbered by ``part``.
 
     A whole path in one array would gather an unbounded group; parts join end
     to end in the order of ``part``.
     """
-    work = timed(df.dropna(subset=["Lat", "Lon"]), p)
-    ties = [p.seq_col] if p.seq_col in df.columns else []
-    point = F.struct(US, *ties, "Lon", "Lat")
+    part = F.floor((F.col("seq") - 1) / p.path_points).cast("bigint").alias("part")
     return (
-        work.groupBy(MMSI, F.col(SLICE).alias("part"))
-        .agg(F.array_sort(F.collect_list(point)).alias("path"))
+        trajectory_points(df, p).groupBy(MMSI, part)
+        .agg(F.array_sort(F.collect_list(F.struct("seq", "us", "Lon", "Lat"))).alias("path"))
         .withColumn("n_points", F.size("path"))
     )
 
 
-def trajectory_points(df: DataFrame, p: Params) -> DataFrame:
-    """The same paths as numbered points."""
-    out = positions(df.dropna(subset=["Lat", "Lon"]), p, rn="seq", n="n_points")
-    return out.select(MMSI, "seq", "n_points", micros().alias("us"), "Lon", "Lat")
-
-
 def map_markers(
     df: DataFrame, score: str = REGIME, low: str | None = None, high: str | None = None
 ) -> DataFrame:

@@ -60,14 +60,15 @@ def _across():
     return Window.partitionBy(MMSI).orderBy(SLICE)
 
 
-def spread(work: DataFrame, per_vessel: DataFrame) -> DataFrame:
-    """Join vessel-level values to rows through the slice list.
+def join_vessels(df: DataFrame, per_vessel: DataFrame, p: Params, how: str = "inner") -> DataFrame:
+    """Join vessel-level values to rows on (vessel, salt).
 
-    Joining on the vessel alone would send a hot vessel to one task; the slice
-    list is small and turns the row join into one on (vessel, slice).
+    The vessel list is repeated ``salts`` times, which is small next to the
+    rows, and a vessel with a third of all rows is spread over as many tasks.
     """
-    slices = work.select(*SLICE_KEYS).distinct().join(per_vessel, MMSI, "left")
-    return work.join(slices, SLICE_KEYS, "left")
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(TIMESTAMP), F.lit(p.salts)).cast("int"))
+    spread = per_vessel.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(p.salts - 1))))
+    return salted.join(spread, [MMSI, "_salt"], how).drop("_salt")
 
 
 def neighbours(
@@ -126,45 +127,6 @@ def positions(
     return work.select(*[c for c in df.columns if c not in (rn, n)], rn, n)
 
 
-def carry_last(
-    df: DataFrame, p: Params, value: Column, name: str, bounded: bool = False
-) -> DataFrame:
-    """Add the last non-null value at or before each row."""
-    base = timed(df, p).withColumn("_value", value)
-    upto = _rows_window(base, p, bounded).rowsBetween(Window.unboundedPreceding, 0)
-    work = base.withColumn("_kept", F.last("_value", ignorenulls=True).over(upto))
-    if not bounded:
-        order = F.when(F.col("_value").isNotNull(), _order_key(base, p))
-        before = _across().rowsBetween(Window.unboundedPreceding, -1)
-        edges = (
-            base.groupBy(*SLICE_KEYS).agg(F.max_by("_value", order).alias("_tail"))
-            .select(*SLICE_KEYS, F.last("_tail", ignorenulls=True).over(before).alias("_carry"))
-        )
-        work = work.join(edges, SLICE_KEYS, "left").withColumn(
-            "_kept", F.coalesce("_kept", "_carry")
-        )
-    return work.select(*[c for c in df.columns if c != name], F.col("_kept").alias(name))
-
-
-def running_count(
-    df: DataFrame, p: Params, condition: Column, name: str, bounded: bool = False
-) -> DataFrame:
-    """Add how many rows up to and including this one meet the condition."""
-    base = timed(df, p).withColumn("_hit", F.when(condition, 1).otherwise(0).cast("bigint"))
-    upto = _rows_window(base, p, bounded).rowsBetween(Window.unboundedPreceding, 0)
-    work = base.withColumn("_count", F.sum("_hit").over(upto))
-    if not bounded:
-        before = _across().rowsBetween(Window.unboundedPreceding, -1)
-        edges = (
-            base.groupBy(*SLICE_KEYS).agg(F.sum("_hit").alias("_size"))
-            .select(*SLICE_KEYS, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_carry"))
-        )
-        work = work.join(edges, SLICE_KEYS, "left").withColumn(
-            "_count", F.col("_count") + F.col("_carry")
-        )
-    return work.select(*[c for c in df.columns if c != name], F.col("_count").alias(name))
-
-
 def next_time(
     df: DataFrame, p: Params, condition: Column, name: str, bounded: bool = False
 ) -> DataFrame:

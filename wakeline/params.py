@@ -70,6 +70,7 @@ class Params:
     slice_hours: int = 168
     order_buckets: int = 64
     salts: int = 16
+    path_points: int = 10_000
     broadcast_rows: int = 200_000
     group_rows: int = 200_000
     seq_col: str = "ping_seq"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -183,7 +184,7 @@ select ping_seq, p.MMSI, case when rank <= greatest(1, round_even(n * 0.2, 0)) t
 from pings p join vessels using (MMSI)""")
 def tag_split(spark, folder):
     rows = inputs.event_pings(spark, folder)
-    return clean.tag_split(rows, holdout_vessels(rows, SPARSE)).select("ping_seq", MMSI, "split")
+    return clean.tag_split(rows, holdout_vessels(rows, SPARSE), SPARSE).select("ping_seq", MMSI, "split")
 
 
 @query("feature_columns", with_ctes(*FEATURES) + """
@@ -342,11 +343,12 @@ def trajectories(spark, folder):
     return rounded(series.trajectory_points(inputs.event_pings(spark, folder), SPARSE))
 
 
-@query("trajectory_parts", with_ctes(PINGS) + """
-select MMSI, (us - us % 604800000000) // 604800000000 as part, count(*) as n_points,
-  round(arg_min(Lon, us), 6) as first_lon, round(arg_max(Lat, us), 6) as last_lat from pings group by 1, 2""")
+@query("trajectory_parts", with_ctes(PINGS, """
+numbered as (select *, row_number() over (partition by MMSI order by us) as seq from pings)""") + """
+select MMSI, (seq - 1) // 25 as part, count(*) as n_points,
+  round(arg_min(Lon, us), 6) as first_lon, round(arg_max(Lat, us), 6) as last_lat from numbered group by 1, 2""")
 def trajectory_parts(spark, folder):
-    parts = series.trajectories(inputs.event_pings(spark, folder), SPARSE)
+    parts = series.trajectories(inputs.event_pings(spark, folder), replace(SPARSE, path_points=25))
     return rounded(parts.select(
         MMSI, "part", F.col("n_points").cast("bigint").alias("n_points"),
         F.col("path")[0]["Lon"].alias("first_lon"), F.element_at("path", -1)["Lat"].alias("last_lat"),
@@ -390,8 +392,6 @@ def mark_last_ping(spark, folder):
 select 'last_ping' as strategy, count(*) as n_rows, sum(y)::BIGINT as positives from labelled
 union all select 'sliding_window', count(*), sum(y)::BIGINT from slid""")
 def label_dispatch(spark, folder):
-    from dataclasses import replace
-
     rows = inputs.event_pings(spark, folder)
     parts = [
         labels.label(rows, replace(SPARSE, labeling=s)).agg(

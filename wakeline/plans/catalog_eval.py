@@ -12,7 +12,7 @@ from wakeline.params import MMSI, TARGET
 from wakeline.plans import inputs
 from wakeline.plans.catalog import query, rounded, with_ctes
 from wakeline.plans.inputs import SPARSE
-from wakeline.plans.sqlparts import AP, AUC, DOCS, GAPS, PINGS, SCORED, VESSELS, cumulated
+from wakeline.plans.sqlparts import AP, AUC, DOCS, PINGS, SCORED, VESSELS, cumulated
 from wakeline.session import durable
 
 A, B = "score_a", "score_b"
@@ -360,7 +360,7 @@ def split_drift(spark, folder):
     from wakeline.operators.clean import tag_split
 
     rows = inputs.scored(spark, folder)
-    return rounded(ev.split_drift(tag_split(rows, folds.holdout_vessels(rows, SPARSE))))
+    return rounded(ev.split_drift(tag_split(rows, folds.holdout_vessels(rows, SPARSE), SPARSE)))
 
 
 @query("score_summary", with_ctes(*SCORED, """

@@ -13,7 +13,7 @@ from wakeline.plans import inputs
 from wakeline.plans.catalog import query, rounded, with_ctes
 from wakeline.plans.catalog_data import RINGS_SQL, shared_folder
 from wakeline.plans.inputs import REGIME_PARAMS, SPARSE
-from wakeline.plans.sqlparts import FEATURES, GAPS, PINGS
+from wakeline.plans.sqlparts import GAPS, PINGS
 from wakeline.session import durable
 from wakeline.sources import sinks
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wakeline.operators import labels, series
+from wakeline.operators import labels
 from wakeline.params import MMSI, Params
 from wakeline.plans.prep import feature_table
 from wakeline.session import durable, prepare
