@@ -73,7 +73,7 @@ def test_features_do_not_see_the_future(spark, small):
 
 def test_fused_prep_equals_step_by_step(spark):
     pings = inputs.item_pings(spark, "/root/testdata/sf0.001")
-    p = inputs.SPARSE
+    p = inputs.ITEMS
     fused = prep.downsampled_table(pings, p)
     steps = series.downsample_last(clean.clean_pings(clean.bbox_filter(pings, p), p), p)
     assert fused.exceptAll(steps).count() == 0 and steps.exceptAll(fused).count() == 0

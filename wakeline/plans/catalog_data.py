@@ -202,7 +202,7 @@ def feature_columns(spark, folder):
 @query("downsample_last", with_ctes(ITEMS, binned("items")) + """
 select MMSI, us, round(Lat, 6) as Lat, round(Lon, 6) as Lon, round(SOG, 6) as SOG, round(COG, 6) as COG from binned""")
 def downsample_last(spark, folder):
-    out = series.downsample_last(inputs.item_pings(spark, folder), SPARSE)
+    out = series.downsample_last(inputs.item_pings(spark, folder), inputs.ITEMS)
     return rounded(out.select(MMSI, us_col(), "Lat", "Lon", "SOG", "COG"))
 
 
@@ -226,7 +226,7 @@ def downsample_last_column(spark, folder):
 @query("prep_downsampled", with_ctes(ITEMS, kept("items"), first_rows("kept"), binned("firsts")) + """
 select MMSI, us, round(Lat, 6) as Lat, round(Lon, 6) as Lon, round(SOG, 6) as SOG, round(COG, 6) as COG from binned""")
 def prep_downsampled(spark, folder):
-    out = prep.downsampled_table(inputs.item_pings(spark, folder), SPARSE)
+    out = prep.downsampled_table(inputs.item_pings(spark, folder), inputs.ITEMS)
     return rounded(out.select(MMSI, us_col(), "Lat", "Lon", "SOG", "COG"))
 
 

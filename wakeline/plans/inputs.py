@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wakeline.operators import labels
@@ -12,6 +14,8 @@ from wakeline.sources.pings import edges_from_rings, scan_pings
 
 # Six-hour bins and a one-day label horizon suit tables with a few events per vessel and day.
 SPARSE = Params(bin_minutes=360, label_horizon_minutes=1440.0)
+# Times of the item panel are whole seconds, which leaves 48 bits for the input order.
+ITEMS = replace(SPARSE, time_unit_us=1_000_000)
 # Short windows and refits for vessels with a few dozen rows.
 REGIME_PARAMS = Params(
     bin_minutes=360, label_horizon_minutes=1440.0, window=12, update_freq=5, max_fits=4,
@@ -40,7 +44,7 @@ def event_pings(spark: SparkSession, folder: str) -> DataFrame:
 def item_pings(spark: SparkSession, folder: str) -> DataFrame:
     """A large panel with many equal time stamps."""
     return table(spark, folder, "lineitem").selectExpr(
-        "l_orderkey * 10 + l_linenumber as ping_seq",
+        "(l_orderkey * 10 + l_linenumber) * 1000 + l_partkey % 1000 as ping_seq",
         "300000000L + l_suppkey as MMSI",
         "timestamp_micros(unix_micros(cast(l_shipdate as timestamp)) + (l_orderkey % 4) * 21600000000L)"
         " as Timestamp",

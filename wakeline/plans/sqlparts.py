@@ -11,7 +11,7 @@ pings as (
 
 ITEMS = """
 items as (
-  select l_orderkey * 10 + l_linenumber as ping_seq, 300000000::BIGINT + l_suppkey as MMSI,
+  select (l_orderkey * 10 + l_linenumber) * 1000 + l_partkey % 1000 as ping_seq, 300000000::BIGINT + l_suppkey as MMSI,
     epoch_us(l_shipdate) + (l_orderkey % 4) * 21600000000 as us,
     34.5::DOUBLE + (l_partkey % 400)::DOUBLE / 100.0::DOUBLE as Lat,
     11.0::DOUBLE + (l_orderkey % 500)::DOUBLE / 100.0::DOUBLE as Lon,
