@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wakeline.llm import exact_dedup
+from wakeline.llm import exact_dedup, quality_rules
 from wakeline.llm.common import documents
 from wakeline.llm.registry import QUERIES, SQL, query
 
@@ -19,4 +19,35 @@ def op9_exact_dedup(spark, folder):
     return exact_dedup.exact_groups(documents(spark, folder))
 
 
+@query("op1_quality_rules", r"""
+with d as (
+  select row_number() over () as r, doc_id, coalesce(text, '') as text,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as words,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines
+  from documents),
+g as (select r, unnest(range(1, greatest(len(words) - 1, 1))) as p, words from d),
+t as (select r, p, count(*) over (partition by r, words[p], words[p + 1], words[p + 2]) as n from g),
+c as (select r, count(distinct p + k) as n_repeat_words from t, unnest([0, 1, 2]) as o(k) where n > 1 group by r),
+m as (
+  select doc_id, len(words) as n_words, len(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) as word_chars,
+         len(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as n_symbols,
+         len(lines) - len(list_distinct(lines)) as n_dup_lines,
+         coalesce(n_repeat_words, 0) as n_repeat_words, len(lines) as n_lines,
+         len(regexp_replace(text, '[^A-Z]', '', 'g')) as n_capitals
+  from d left join c using (r)),
+b as (
+  select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+    cast((n_words < 50) as bigint) + 2 * cast((100 * n_repeat_words > 50 * n_words) as bigint)
+    + 4 * cast((10 * n_symbols > n_words) as bigint) + 8 * cast((100 * n_dup_lines > 30 * n_lines) as bigint)
+    + 16 * cast((word_chars < 2 * n_words or word_chars > 20 * n_words) as bigint)
+    + 32 * cast((2 * n_capitals > word_chars) as bigint) as failed
+  from m)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_capitals, failed,
+       base_failed, failed = 0 as kept
+from b
+""")
+def op1_quality_rules(spark, folder):
+    return quality_rules.quality_verdicts(documents(spark, folder))
+
+
 __all__ = ["QUERIES", "SQL"]
