@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wakeline.llm import exact_dedup, quality_rules
+from wakeline.llm import byte_bpe, exact_dedup, licenses, quality_rules
 from wakeline.llm.common import documents
 from wakeline.llm.registry import QUERIES, SQL, query
 
@@ -50,4 +50,14 @@ def op1_quality_rules(spark, folder):
     return quality_rules.quality_verdicts(documents(spark, folder))
 
 
+@query("op2_license_scan")
+def op2_license_scan(spark, folder):
+    return licenses.license_scan(documents(spark, folder))
+
+
+@query("op6_byte_bpe")
+def op6_byte_bpe(spark, folder):
+    return byte_bpe.round_trip(documents(spark, folder))
+
+
 __all__ = ["QUERIES", "SQL"]
