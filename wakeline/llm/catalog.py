@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wakeline.llm import byte_bpe, exact_dedup, licenses, quality_rules
+from wakeline.llm import byte_bpe, exact_dedup, licenses, packing, quality_rules
 from wakeline.llm.common import documents
 from wakeline.llm.registry import QUERIES, SQL, query
 
@@ -60,4 +60,9 @@ def op6_byte_bpe(spark, folder):
     return byte_bpe.round_trip(documents(spark, folder))
 
 
+@query("op4_best_fit_packing")
+def op4_best_fit_packing(spark, folder):
+    return packing.pack_documents(documents(spark, folder))
+
+
 __all__ = ["QUERIES", "SQL"]
