@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wakeline.llm import byte_bpe, exact_dedup, licenses, packing, quality_rules
+from wakeline.llm import byte_bpe, exact_dedup, licenses, line_dedup, packing, quality_rules
 from wakeline.llm.common import documents
 from wakeline.llm.registry import QUERIES, SQL, query
 
@@ -65,4 +65,37 @@ def op4_best_fit_packing(spark, folder):
     return packing.pack_documents(documents(spark, folder))
 
 
+@query("op3_line_dedup", r"""
+with l as (
+  select doc_id, text, unnest(string_split(text, chr(10))) as line,
+         unnest(range(0, len(string_split(text, chr(10))))) as pos
+  from documents where text is not null),
+c as (
+  select *, row_number() over (partition by doc_id order by pos) as r
+  from (select *, len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) as n from l)
+  where n > 0),
+s as (
+  select doc_id, pos as s0, lead(pos) over w as s1, lead(pos, 2) over w as s2, line as l0, lead(line) over w as l1,
+         lead(line, 2) over w as l2, n + coalesce(lead(n) over w, 0) as two, n
+  from c window w as (partition by doc_id order by r)),
+k as (
+  select *, case when n >= 50 then 1 when two >= 50 then 2 else 3 end as size from s),
+f as (
+  select *, row_number() over (partition by size, l0, case when size > 1 then l1 end, case when size > 2 then l2 end
+                               order by doc_id, s0) as nth
+  from k where (size < 2 or l1 is not null) and (size < 3 or l2 is not null)),
+dead as (
+  select distinct doc_id, unnest([s0, case when size > 1 then s1 end, case when size > 2 then s2 end]) as pos
+  from f where nth > 1)
+select d.doc_id, coalesce(t.text, case when d.text is not null then '' end) as text,
+       coalesce(len(string_split(d.text, chr(10))), 0) as n_lines,
+       (select count(*) from dead x where x.doc_id = d.doc_id and x.pos is not null) as n_deleted
+from documents d left join (
+  select l.doc_id, string_agg(line, chr(10) order by pos) as text
+  from l anti join (select * from dead where pos is not null) using (doc_id, pos) group by l.doc_id) t using (doc_id)
+""")
+def op3_line_dedup(spark, folder):
+    return line_dedup.delete_repeated_runs(documents(spark, folder))
+
+
 __all__ = ["QUERIES", "SQL"]
