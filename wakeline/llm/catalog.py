@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from wakeline.llm import byte_bpe, exact_dedup, licenses, line_dedup, packing, quality_rules
-from wakeline.llm.common import documents
+from wakeline.llm import byte_bpe, exact_dedup, licenses, line_dedup, packing, quality_rules, resampling, toxicity
+from wakeline.llm.common import documents, table
 from wakeline.llm.registry import QUERIES, SQL, query
 
 NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
@@ -98,4 +98,14 @@ def op3_line_dedup(spark, folder):
     return line_dedup.delete_repeated_runs(documents(spark, folder))
 
 
+@query("op7_toxicity")
+def op7_toxicity(spark, folder):
+    return toxicity.toxicity_scores(documents(spark, folder), table(spark, folder, "labels"))
+
+
+@query("op10_quality_classifier")
+def op10_quality_classifier(spark, folder):
+    return resampling.resample(documents(spark, folder), table(spark, folder, "labels"))
+
+
 __all__ = ["QUERIES", "SQL"]
