@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wakeline.llm import byte_bpe, exact_dedup, licenses, line_dedup, packing, quality_rules, resampling, toxicity
+from wakeline.llm import byte_bpe, exact_dedup, licenses, line_dedup, packing, quality_rules, resampling, similarity_join, toxicity
 from wakeline.llm.common import documents, table
 from wakeline.llm.registry import QUERIES, SQL, query
 
@@ -108,4 +108,26 @@ def op10_quality_classifier(spark, folder):
     return resampling.resample(documents(spark, folder), table(spark, folder, "labels"))
 
 
+@query("op5_ngram_jaccard_join", r"""
+with recursive w as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as words
+  from documents),
+g as (
+  select distinct doc_id, array_to_string(words[p : p + 3], ' ') as gram
+  from (select doc_id, words, unnest(range(1, greatest(len(words) - 3, 1) + 1)) as p from w where len(words) > 0)),
+n as (select doc_id, count(*) as n from g group by doc_id),
+l as (
+  select a.doc_id as u, b.doc_id as v from g a join g b on a.gram = b.gram and a.doc_id <> b.doc_id
+  join n x on x.doc_id = a.doc_id join n y on y.doc_id = b.doc_id
+  where 100 * least(x.n, y.n) >= 85 * greatest(x.n, y.n)
+  group by a.doc_id, b.doc_id having 100 * count(*) >= 85 * (any_value(x.n) + any_value(y.n) - count(*))),
+r as (select doc_id as a, doc_id as b from w union select r.a, l.v from r join l on l.u = r.b)
+select w.doc_id, coalesce(n.n, 0) as n_shingles, c.component_id
+from w left join n using (doc_id) join (select a, min(b) as component_id from r group by a) c on c.a = w.doc_id
+""")
+def op5_ngram_jaccard_join(spark, folder):
+    return similarity_join.similar_components(documents(spark, folder))
+
+
 __all__ = ["QUERIES", "SQL"]
