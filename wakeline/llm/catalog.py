@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wakeline.llm import byte_bpe, exact_dedup, licenses, line_dedup, packing, quality_rules, resampling, similarity_join, toxicity
+from wakeline.llm import byte_bpe, exact_dedup, licenses, line_dedup, lm_scoring, packing, quality_rules, resampling, similarity_join, toxicity
 from wakeline.llm.common import documents, table
 from wakeline.llm.registry import QUERIES, SQL, query
 
@@ -130,4 +130,9 @@ def op5_ngram_jaccard_join(spark, folder):
     return similarity_join.similar_components(documents(spark, folder))
 
 
+@query("op8_lm_scoring")
+def op8_lm_scoring(spark, folder):
+    return lm_scoring.score_documents(documents(spark, folder))
+
+
 __all__ = ["QUERIES", "SQL"]
