@@ -1,18 +1,60 @@
-"""Corpus preparation in named stages, each a Spark job over all that the one before kept."""
+"""Corpus preparation in named stages, each a Spark job over all that the one before kept.
+
+A stage takes (spark, docs, sf_dir) and returns the rows it keeps with all their
+columns; the last one returns the packed pieces. Labels come from the folder.
+"""
 
 from __future__ import annotations
 
-from wakeline.llm.exact_dedup import drop_exact_copies
+from pyspark.sql import DataFrame, SparkSession
+
+from wakeline.llm import exact_dedup as copies
+from wakeline.llm import packing, resampling, similarity_join
+from wakeline.llm import toxicity as toxic
+from wakeline.llm.common import documents, durable, prepare, table
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents predicted toxic go."""
+    return toxic.keep_clean(docs, table(spark, sf_dir, "labels"))
+
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the resampling doesn't draw go."""
+    return resampling.keep_sampled(docs, table(spark, sf_dir, "labels"))
 
-def exact_dedup(spark, docs, sf_dir):
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays."""
-    return drop_exact_copies(docs)
+    prepare(spark)
+    return copies.drop_exact_copies(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of similar texts stays."""
+    prepare(spark)
+    return similarity_join.keep_one_of_each(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of what is left, with their sequences and offsets."""
+    prepare(spark)
+    return packing.pack_documents(docs)
 
 
-STAGES = [("exact_dedup", exact_dedup)]
+STAGES = [
+    ("toxicity", toxicity), ("quality_classifier", quality), ("exact_dedup", exact_dedup),
+    ("ngram_jaccard_join", near_duplicates), ("best_fit_packing", pack),
+]
+# Learned stages have no SQL form; the tests hold the pipeline against plain code.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, each stored in the shared folder before the next one reads it."""
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = durable(docs)
+    return docs

@@ -29,6 +29,14 @@ def id_text(docs: DataFrame) -> DataFrame:
     )
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name that the table doesn't hold yet."""
+    held = {c.lower() for c in docs.columns}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
 def id_hash(doc_id: Column) -> Column:
     """crc32 of the identifier's text; null for a null identifier."""
     return F.crc32(F.encode(doc_id.cast("string"), "UTF-8"))
@@ -80,5 +88,5 @@ def parallel_parts(spark: SparkSession) -> int:
 
 __all__ = [
     "SPACE", "arrow_rows", "columns_schema", "documents", "durable", "held_out", "id_hash", "id_text",
-    "parallel_parts", "prepare", "table", "text_batches", "tokenizer_file",
+    "parallel_parts", "prepare", "table", "text_batches", "tokenizer_file", "unused",
 ]

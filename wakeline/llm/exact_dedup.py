@@ -22,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from wakeline.llm.common import SPACE, durable, id_text, parallel_parts
+from wakeline.llm.common import SPACE, durable, id_text, parallel_parts, unused
 
 PREFIX_CHARS = 48
 
@@ -129,9 +129,8 @@ def exact_groups(docs: DataFrame, parts: int | None = None) -> DataFrame:
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """The input's rows and columns without later copies of a text."""
-    kept = exact_groups(docs).filter("kept").select(
-        F.col("doc_id").alias("_keep_id"), F.col("text_sha256").alias("_keep_sha")
-    )
-    marked = docs.withColumn("_sha", text_digest(F.col("text")))
-    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_keep_id")) & (F.col("_sha") == F.col("_keep_sha"))
-    return marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_sha"]).drop("_sha")
+    sha, key, digest = (unused(docs, name) for name in ("_sha", "_keep_id", "_keep_sha"))
+    kept = exact_groups(docs).filter("kept").select(F.col("doc_id").alias(key), F.col("text_sha256").alias(digest))
+    marked = docs.withColumn(sha, text_digest(F.col("text")))
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col(key)) & (F.col(sha) == F.col(digest))
+    return marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", sha]).drop(sha)

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from wakeline.llm.common import durable, id_text, text_batches
+from wakeline.llm.common import durable, id_text, text_batches, unused
 from wakeline.llm.hashing import mix, windows, words
 
 FAMILIES = 3  # words, word pairs, shape pairs
@@ -196,9 +196,10 @@ def resample(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()
 
 def keep_sampled(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The input's rows and columns that the resampling keeps."""
+    mark, key, other = (unused(docs, name) for name in ("_mark", "_drawn_id", "_drawn_mark"))
     drawn = resample(docs, labels, settings).filter("kept").select(
-        F.col("doc_id").alias("_drawn_id"), F.col("mark").alias("_drawn_mark")
+        F.col("doc_id").alias(key), F.col("mark").alias(other)
     ).distinct()
-    marked = docs.withColumn("_mark", F.xxhash64(F.coalesce("text", F.lit(""))))
-    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_drawn_id")) & (F.col("_mark") == F.col("_drawn_mark"))
-    return marked.join(drawn, same, "left_semi").drop("_mark")
+    marked = docs.withColumn(mark, F.xxhash64(F.coalesce("text", F.lit(""))))
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col(key)) & (F.col(mark) == F.col(other))
+    return marked.join(drawn, same, "left_semi").drop(mark)
