@@ -40,7 +40,7 @@ class Settings:
     max_features: int = 1024
     least_positive: int = 5  # positives that must hold a feature
     least_gain: float = 4.5
-    epochs: int = 60
+    steps: int = 1500
     batch: int = 512
     rate: float = 0.02
     decay: float = 1e-5
@@ -116,26 +116,26 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, s: Sett
     k = positive.shape[1]
     w = np.zeros(k + 1)
     w[-1] = np.log(prior / (1 - prior))
-    first, second, steps = np.zeros(k + 1), np.zeros(k + 1), 0
+    first, second = np.zeros(k + 1), np.zeros(k + 1)
     rounds = max(1, -(-len(unlabelled) // s.batch))
     share = max(1, min(len(positive), s.batch))
-    for _ in range(s.epochs):
-        order = rng.permutation(len(unlabelled))
-        for r in range(rounds):
-            u = unlabelled[order[r * s.batch : (r + 1) * s.batch]].astype(np.float32)
-            p = positive[rng.integers(0, len(positive), share)].astype(np.float32)
-            zu, zp = u @ w[:-1] + w[-1], p @ w[:-1] + w[-1]
-            up = 1.0 / (1.0 + np.exp(-np.clip(zu, -40, 40)))  # d/dz of log(1 + e^z)
-            pp = 1.0 / (1.0 + np.exp(-np.clip(zp, -40, 40)))
-            negative_risk = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-            grad_u = np.append(up @ u, up.sum()) / len(u) - prior * np.append(pp @ p, pp.sum()) / len(p)
-            grad_p = prior * np.append((pp - 1) @ p, (pp - 1).sum()) / len(p)
-            grad = grad_p + grad_u if negative_risk >= 0 else -grad_u
-            grad[:-1] += s.decay * w[:-1]
-            steps += 1
-            first = 0.9 * first + 0.1 * grad
-            second = 0.999 * second + 0.001 * grad * grad
-            w -= s.rate * (first / (1 - 0.9**steps)) / (np.sqrt(second / (1 - 0.999**steps)) + 1e-8)
+    for step in range(1, s.steps + 1):
+        r = (step - 1) % rounds
+        if r == 0:
+            order = rng.permutation(len(unlabelled))
+        u = unlabelled[order[r * s.batch : (r + 1) * s.batch]].astype(np.float32)
+        p = positive[rng.integers(0, len(positive), share)].astype(np.float32)
+        zu, zp = u @ w[:-1] + w[-1], p @ w[:-1] + w[-1]
+        up = 1.0 / (1.0 + np.exp(-np.clip(zu, -40, 40)))  # d/dz of log(1 + e^z)
+        pp = 1.0 / (1.0 + np.exp(-np.clip(zp, -40, 40)))
+        negative_risk = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+        grad_u = np.append(up @ u, up.sum()) / len(u) - prior * np.append(pp @ p, pp.sum()) / len(p)
+        grad_p = prior * np.append((pp - 1) @ p, (pp - 1).sum()) / len(p)
+        grad = grad_p + grad_u if negative_risk >= 0 else -grad_u
+        grad[:-1] += s.decay * w[:-1]
+        first = 0.9 * first + 0.1 * grad
+        second = 0.999 * second + 0.001 * grad * grad
+        w -= s.rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
     return w[:-1], float(w[-1])
 
 
