@@ -34,12 +34,17 @@ def test_last_in_bin(make):
     assert [r[1] for r in minutes(late)] == [10, 20]
 
 
-def test_packed_order_refuses_what_does_not_fit(make):
-    df = make([(1, 1, 36, 12, 10, 1, 1 << 40)], seq=True)
-    with pytest.raises(Exception, match="packed order"):
-        series.downsample_last(df, P).collect()
-    assert series.downsample_last(df, replace(P, packed_order=False)).count() == 1
-    assert series.downsample_last(df, replace(P, time_unit_us=60_000_000)).count() == 1
+def test_any_input_order_fits(make):
+    high = 10**15
+    df = make([(1, 1, 36, 12, 10, 1, high), (1, 1, 36, 12, 20, 1, high + 1), (1, 0, 36, 12, 30, 1, high + 2)], seq=True)
+    assert minutes(series.downsample_last(df, P), "SOG") == [(1, 0, 20)]
+    assert minutes(series.downsample_last(df, P, first_of_equal=True), "SOG") == [(1, 0, 10)]
+
+
+def test_downsampling_sorts_no_raw_row(make):
+    df = make([(1, 1, 36, 12, 10, 1, 1)], seq=True)
+    plan = series.downsample_last(df, P)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and plan.count("Exchange hashpartitioning") == 1
 
 
 def test_course_wraps_and_first_row_is_zero(make):

@@ -12,7 +12,7 @@ from wakeline.functions.columns import hash_order, micros
 from wakeline.operators import evaluation as ev
 from wakeline.operators.labels import mark_last_ping
 from wakeline.operators.model import SCORE, score_rows, train_logistic
-from wakeline.operators.prefix import quantiles
+from wakeline.operators.prefix import hash_rank, quantiles
 from wakeline.params import MMSI, TIMESTAMP, Params
 from wakeline.session import durable
 
@@ -54,11 +54,18 @@ def audit_sample(df: DataFrame, p: Params, bounded: bool = False) -> DataFrame:
     )
 
 
-def audit_counts(sample: DataFrame) -> DataFrame:
+def eligible(df: DataFrame, p: Params, bounded: bool = False) -> DataFrame:
+    """Vessels with a last ping before a gap, whether or not they have controls."""
+    return mark_last_ping(df, p, CLASS, bounded).filter(F.col(CLASS)).select(MMSI).distinct()
+
+
+def audit_counts(sample: DataFrame, vessels: DataFrame) -> DataFrame:
+    """Rows of the sample, and vessels that were eligible before any was left out."""
+    n = vessels.agg(F.count(F.lit(1)).alias("n")).scalar()
     return sample.agg(
         F.count_if(F.col(CLASS) == 1).alias("n_last_pings"),
         F.count_if(F.col(CLASS) == 0).alias("n_controls"),
-        F.count_distinct(F.when(F.col(CLASS) == 1, F.col(MMSI))).alias("n_eligible_vessels"),
+        n.alias("n_eligible_vessels"),
     ).withColumn(
         "status", F.when(F.col("n_eligible_vessels") < MIN_VESSELS, "INSUFFICIENT_DATA").otherwise("READY")
     )
@@ -103,9 +110,20 @@ def mahalanobis(df: DataFrame, cols: Sequence[str], label: str = CLASS) -> float
 
 
 def stratified_folds(df: DataFrame, p: Params, k: int = N_FOLDS, label: str = CLASS) -> DataFrame:
-    """Fold by md5: even in size inside each class without ranking a whole class in one task."""
-    h = F.conv(F.substring(hash_order(p.seed, label, MMSI, micros(TIMESTAMP)), 1, 8), 16, 10).cast("bigint")
-    return df.withColumn("fold", F.pmod(h, F.lit(k)).cast("int"))
+    """Folds dealt in turn by md5 rank inside each class, so every class is in every fold.
+
+    Ranks come from even hash buckets and their offsets; no class meets in one task.
+    """
+    keyed = df.withColumn("_row", F.concat_ws("-", MMSI, micros(TIMESTAMP)))
+    ranks = None
+    for value in (0, 1):
+        part = hash_rank(keyed.filter(F.col(label) == value), "_row", p.seed, "_rank", "_n").drop("_n")
+        part = part.withColumn("_class", F.lit(value))
+        ranks = part if ranks is None else ranks.unionByName(part)
+    same = (F.col("a._row") == F.col("b._row")) & (F.col(f"a.{label}") == F.col("b._class"))
+    return keyed.alias("a").join(ranks.alias("b"), same).select(
+        *[F.col(f"a.{c}") for c in df.columns], F.pmod(F.col("b._rank") - 1, F.lit(k)).cast("int").alias("fold")
+    )
 
 
 def audit_auc(df: DataFrame, cols: Sequence[str], p: Params, k: int = N_FOLDS, label: str = CLASS) -> DataFrame:
@@ -140,7 +158,7 @@ def last_ping_audit(df: DataFrame, cols: Sequence[str], p: Params, bounded: bool
         raise ValueError(f"features missing: {missing}")
     sample = audit_sample(df, p, bounded).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        counts = audit_counts(sample).first()
+        counts = audit_counts(sample, eligible(df, p, bounded)).first()
         auc = distance = None
         verdict = counts.status
         if counts.status == "READY":

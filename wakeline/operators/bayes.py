@@ -20,7 +20,7 @@ from wakeline.functions.em import (
     quartile_start, scale,
 )
 from wakeline.functions.regimes import PARAMETERS, responsibility
-from wakeline.operators.prefix import cumulative
+from wakeline.operators.prefix import cumulative, order_statistics
 from wakeline.operators.regime import SPEED, TURN, std_full
 from wakeline.operators.slices import join_vessels
 from wakeline.params import MMSI, Params
@@ -65,10 +65,10 @@ def _prior_columns(prior: Prior) -> list[Column]:
     return [F.lit(float(getattr(prior, c))).alias(c) for c in PRIOR_COLUMNS]
 
 
-def start_table(rows: DataFrame, keys: Sequence[str], priors: Column) -> DataFrame:
+def start_table(rows: DataFrame, keys: Sequence[str], priors: Column, p: Params) -> DataFrame:
     """Start values and prior of every key: centres at the quartiles of speed."""
-    quart = F.percentile_approx(SPEED, [0.25, 0.75], 1000)
-    base = rows.groupBy(*keys).agg(quart.alias("_q"), F.first(priors).alias("_p"))
+    quart = order_statistics(rows, SPEED, [0.25, 0.75], p, keys, "_q")
+    base = rows.groupBy(*keys).agg(F.first(priors).alias("_p")).join(quart, list(keys))
     weight = F.col("_p.a0") / (F.col("_p.a0") + F.col("_p.a1"))
     return base.select(
         *keys, F.col("_q")[0].alias("mu_sospetto"), (F.col("_q")[1] - F.col("_q")[0]).alias("gap"),
@@ -145,7 +145,7 @@ def _fit_distributed(rows: DataFrame, keys: Sequence[str], p: Params) -> DataFra
     """
     salt = F.pmod(F.xxhash64(SPEED, TURN, "t"), F.lit(p.salts)).cast("int").alias("_salt")
     laid = durable(rows.select("*", salt))
-    params = durable(start_table(laid, keys, F.col("_prior")))
+    params = durable(start_table(laid, keys, F.col("_prior"), p))
     small = params.count() <= p.broadcast_rows
     laid = laid.drop("_prior")
     if not small:
@@ -400,8 +400,8 @@ def ppc_verdict(pvalues: DataFrame) -> DataFrame:
     ).withColumn("adequate", F.col("frac_inside") >= PPC_SHARE)
 
 
-def predictive_check(features: DataFrame, p: Params, n_vessels: int = 3) -> DataFrame:
-    """The whole check on a few vessels: fits, replicates, p-values."""
+def predictive_check(features: DataFrame, p: Params, n_vessels: int | None = None) -> DataFrame:
+    """The whole check on all eligible vessels, or on a sample: fits, replicates, p-values."""
     rows = durable(pilot_rows(features, p, n_vessels))
     draws = posterior_draws(rows, p)
     lengths = rows.select(MMSI, "n").distinct()

@@ -27,9 +27,11 @@ def normalise_mmsi(df: DataFrame) -> DataFrame:
     """Rename ``mmsi``, cast to bigint and drop rows that do not parse."""
     if MMSI not in df.columns and "mmsi" in df.columns:
         df = df.withColumnRenamed("mmsi", MMSI)
-    if MMSI not in df.columns or df.schema[MMSI].dataType == T.LongType():
+    if MMSI not in df.columns:
         return df
-    return df.withColumn(MMSI, _parsed_id(MMSI)).filter(F.col(MMSI).isNotNull())
+    if df.schema[MMSI].dataType != T.LongType():
+        df = df.withColumn(MMSI, _parsed_id(MMSI))
+    return df.filter(F.col(MMSI).isNotNull())
 
 
 def count_bad_mmsi(df: DataFrame) -> DataFrame:
@@ -41,15 +43,20 @@ def count_bad_mmsi(df: DataFrame) -> DataFrame:
     )
 
 
-def alias_columns(df: DataFrame) -> DataFrame:
-    """Rename the first accepted id and time spelling to MMSI and Timestamp."""
+def alias_names(columns: Sequence[str]) -> dict[str, str]:
+    """Column to rename -> MMSI or Timestamp, by the first accepted spelling."""
+    names = {}
     for wanted, aliases in ((MMSI, ID_ALIASES), (TIMESTAMP, TIME_ALIASES)):
-        found = next((a for a in aliases if a in df.columns), None)
+        found = next((a for a in aliases if a in columns), None)
         if found is None:
-            raise KeyError(f"no {wanted} column among {df.columns}")
-        if found != wanted:
-            df = df.withColumnRenamed(found, wanted)
-    return df
+            raise KeyError(f"no {wanted} column among {list(columns)}")
+        names[found] = wanted
+    return names
+
+
+def alias_columns(df: DataFrame) -> DataFrame:
+    """Rename the first accepted id and time spelling to MMSI and Timestamp."""
+    return df.withColumnsRenamed(alias_names(df.columns))
 
 
 def inside_box(p: Params) -> Column:

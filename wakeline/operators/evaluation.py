@@ -272,29 +272,39 @@ def murphy(df: DataFrame, score: str, n_bins: int = 10, target: str = TARGET) ->
 
 # ---------------------------------------------------------------- resampling
 
+def log_factorial(k: Column) -> Column:
+    """ln k! for k >= 0: Stirling's series at k + 9, moved back by the eight factors between."""
+    x = k + 9.0
+    series = 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x)
+    between = sum((F.log(k + float(j)) for j in range(2, 9)), F.log(k + 1.0))
+    return (x - 0.5) * F.log(x) - x + 0.9189385332046727 + series - between
+
+
 def poisson_weight(n: Column, seed: int, *ids) -> Column:
     """A repeatable Poisson(n) draw for a group of n rows.
 
     The sum of n Poisson(1) row weights is Poisson(n), so a group of equal
-    (score, class) rows needs one draw. Up to 64 the draw inverts the
-    distribution; beyond that a rounded normal differs by less than the
-    bootstrap's own noise.
+    (score, class) rows needs one draw. For every n the distribution is inverted
+    outward from its mode, up and down in turn, in some 12 sqrt(n) steps at most.
     """
     u = hash_uniform(seed, *ids)
-    steps = F.aggregate(
-        F.sequence(F.lit(1), F.least(F.ceil(n + 12 * F.sqrt(n) + 20), F.lit(200)).cast("int")),
-        F.struct(F.exp(-n).alias("pmf"), F.exp(-n).alias("cdf"), F.lit(0).cast("bigint").alias("k")),
-        lambda a, i: F.when(a["cdf"] >= u, a).otherwise(
-            F.struct(
-                (a["pmf"] * n / i).alias("pmf"), (a["cdf"] + a["pmf"] * n / i).alias("cdf"),
-                i.cast("bigint").alias("k"),
-            )
-        ),
+    mode = F.floor(n).cast("double")
+    start = F.exp(mode * F.log(n) - n - log_factorial(mode))
+
+    def outward(a, i):
+        up = a["up"] * n / (mode + i)
+        down = F.when(mode - i >= 0, a["down"] * (mode - i + 1) / n).otherwise(0.0)
+        found = F.when(a["sum"] + up >= u, mode + i).when(a["sum"] + up + down >= u, mode - i)
+        return F.when(a["k"].isNotNull(), a).otherwise(F.struct(
+            up.alias("up"), down.alias("down"), (a["sum"] + up + down).alias("sum"), found.alias("k")
+        ))
+
+    walked = F.aggregate(
+        F.sequence(F.lit(1), F.ceil(12 * F.sqrt(n) + 30).cast("int")),
+        F.struct(start.alias("up"), start.alias("down"), start.alias("sum"), F.when(start >= u, mode).alias("k")),
+        outward,
     )["k"]
-    v = hash_uniform(seed + 1, *ids)
-    z = F.sqrt(-2.0 * F.log(u)) * F.cos(2.0 * 3.141592653589793 * v)
-    wide = F.greatest(F.round(n + F.sqrt(n) * z), F.lit(0.0)).cast("bigint")
-    return F.when(n <= 0, F.lit(0).cast("bigint")).when(n <= 64, steps).otherwise(wide)
+    return F.when(n <= 0, F.lit(0).cast("bigint")).otherwise(F.coalesce(walked, mode).cast("bigint"))
 
 
 def _interval(draws: DataFrame, value: str, alpha: float) -> list[Column]:

@@ -15,7 +15,6 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
-from wakeline.functions.columns import hash_order
 from wakeline.operators import evaluation as ev
 from wakeline.operators.clean import model_rows
 from wakeline.operators.folds import fold_positives, split_group_time, split_positional
@@ -23,6 +22,7 @@ from wakeline.operators.labels import (
     SWEEP_HOURS, multi_threshold_labels, threshold_column, threshold_rates,
 )
 from wakeline.operators.markov import markov_sym
+from wakeline.operators.prefix import hash_rank
 from wakeline.params import (
     FEATURES_BASELINE, FEATURES_FULL, FEATURES_MOTION, MMSI, REGIME, REGIME_SMOOTHED, TARGET,
     TIMESTAMP, Params,
@@ -102,21 +102,22 @@ def train_gbt(
 
 
 def train_logistic(df: DataFrame, features: Sequence[str], target: str = TARGET) -> PipelineModel:
-    """Scaled inputs, class weights n / (2 n_class)."""
-    n = df.agg(F.struct(
-        F.count_if(F.col(target) == 1).alias("pos"), F.count_if(F.col(target) == 0).alias("neg")
-    ).alias("n")).scalar()
-    total = n["pos"] + n["neg"]
-    weight = F.when(F.col(target) == 1, F.try_divide(total, 2.0 * n["pos"])).otherwise(
-        F.try_divide(total, 2.0 * n["neg"])
-    )
+    """Scaled inputs with null as 0, class weights n / (2 n_class), unit ridge penalty on the summed loss.
+
+    MLlib divides the loss by the sum of the weights, so the penalty is divided too.
+    """
+    df = df.fillna(0, list(features))
+    pos, neg = df.agg(F.count_if(F.col(target) == 1), F.count_if(F.col(target) == 0)).first()
+    total = pos + neg
+    weight = F.when(F.col(target) == 1, F.lit(total / (2.0 * max(pos, 1)))).otherwise(F.lit(total / (2.0 * max(neg, 1))))
+    summed = total if pos and neg else total / 2.0
     weighted = df.withColumn("_w", weight).withColumn("_y", F.col(target).cast("double"))
     return Pipeline(stages=[
         VectorAssembler(inputCols=list(features), outputCol="raw_features"),
         StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True),
         LogisticRegression(
             featuresCol="features", labelCol="_y", weightCol="_w", maxIter=1000, standardization=False,
-            regParam=0.0,
+            regParam=1.0 / max(summed, 1.0),
         ),
     ]).fit(weighted)
 
@@ -241,18 +242,20 @@ def ablation_predictions(
     target: str = TARGET,
 ) -> DataFrame:
     """Test rows with one score column for each of three models."""
-    plans = (
-        ("logistic_baseline", FEATURES_BASELINE, True),
-        ("gb_baseline", FEATURES_BASELINE, False),
-        ("gb_enhanced", FEATURES_FULL, False),
-    )
-    tr = with_smoothed(train, p, t.markov_p)
+    tr = with_smoothed(train, p, t.markov_p).dropna(subset=[target])
+    short, full = smoothed_features(FEATURES_BASELINE), smoothed_features(FEATURES_FULL)
+
+    def boosted(names):
+        return train_gbt(tr.dropna(subset=list(names)), names, t, p, rounds, target)
+
+    fits = {
+        "pred_gb_enhanced": lambda: boosted(full),
+        "pred_gb_baseline": lambda: boosted(short),
+        "pred_logistic_baseline": lambda: train_logistic(tr, short, target),
+    }
     out = with_smoothed(model_rows(test, FEATURES_FULL, target), p, t.markov_p)
-    for name, features, linear in plans:
-        names = smoothed_features(features)
-        rows = tr.dropna(subset=[target, *names])
-        model = train_logistic(rows, names, target) if linear else train_gbt(rows, names, t, p, rounds, target)
-        out = score_rows(model, out, p).withColumnRenamed(SCORE, f"pred_{name}")
+    for column, fit in fits.items():
+        out = score_rows(fit(), out, p).withColumnRenamed(SCORE, column)
     return out
 
 
@@ -348,16 +351,17 @@ def importance(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 
 def shuffled(df: DataFrame, feature: str, p: Params, keys: Sequence[str] = (MMSI, TIMESTAMP)) -> DataFrame:
-    """The feature's values dealt out again in md5 order, inside 4096 even hash groups."""
-    from pyspark.sql import Window
-
-    group = F.substring(hash_order(p.seed, *keys), 1, 3)
-    base = df.withColumn("_g", group)
-    by_a = Window.partitionBy("_g").orderBy(hash_order(p.seed + 1, *keys))
-    by_b = Window.partitionBy("_g").orderBy(hash_order(p.seed + 2, *keys))
-    values = base.select("_g", F.row_number().over(by_a).alias("_i"), F.col(feature).alias("_v"))
-    slots = base.withColumn("_i", F.row_number().over(by_b))
-    return slots.join(values, ["_g", "_i"]).withColumn(feature, F.col("_v")).select(*df.columns)
+    """The feature's values dealt out again: the row of rank i in one md5 order gets the value of rank i in another.
+
+    Both ranks run over the whole table, so the share of rows that keep their own value
+    doesn't depend on its size. Keys are unique, as the quality gate makes sure.
+    """
+    base = df.withColumn("_row", F.concat_ws("-", *keys))
+    giving = hash_rank(base, "_row", p.seed + 1, "_i").select("_row", "_i")
+    taking = hash_rank(base, "_row", p.seed + 2, "_i").select("_row", "_i")
+    values = base.select("_row", F.col(feature).alias("_v")).join(giving, "_row").select("_i", "_v")
+    slots = base.join(taking, "_row").join(values, "_i")
+    return slots.withColumn(feature, F.col("_v")).select(*df.columns)
 
 
 def permutation_importance(

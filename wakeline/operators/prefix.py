@@ -103,6 +103,16 @@ def quantiles(
     )
 
 
+def order_statistics(
+    df: DataFrame, value: str, levels: Sequence[float], p: Params, keys: Sequence[str], name: str
+) -> DataFrame:
+    """For each key the array of its values at rank ceil(level * n): values of the data, exact at any size."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("cnt"))
+    ranked = cumulative(counts, value, ["cnt"], p, keys)
+    at = [F.min(F.when(F.col("cum_cnt") >= F.greatest(F.ceil(F.col("total_cnt") * q), F.lit(1)), F.col(value))) for q in levels]
+    return ranked.groupBy(*keys).agg(F.array(*at).alias(name))
+
+
 def hash_rank(ids: DataFrame, id_col: str, seed: int, rank: str = "rank", n: str = "n") -> DataFrame:
     """Rank distinct ids from 1 in md5 order, spread over 4096 even hash buckets."""
     keyed = ids.select(id_col).distinct().withColumn("_h", hash_order(seed, id_col)).withColumn(

@@ -18,37 +18,18 @@ from wakeline.params import KINEMATICS, MEASURES, MMSI, REGIME, TIMESTAMP, Param
 ACC_LIMIT, TURN_LIMIT = 15.0, 180.0
 
 
-def _packed_order(us, p: Params, first_of_equal: bool):
-    """(time inside the bin, input order) as one bigint.
-
-    A struct or decimal order would turn the aggregate into a sort or into
-    slow decimal arithmetic (5 to 6 times slower when measured). The order
-    column gets the bits that time leaves free; a value that does not fit
-    stops the job rather than being cut.
-    """
-    ticks = (p.bin_us - 1) // p.time_unit_us
-    room = 63 - max(1, ticks.bit_length())
-    top = (1 << room) - 1
-    offset = F.pmod(us, F.lit(p.bin_us))
-    seq = F.col(p.seq_col).cast("bigint")
-    tie = F.lit(top) - seq if first_of_equal else seq
-    fits = seq.between(0, top) & (F.pmod(us, F.lit(p.time_unit_us)) == 0)
-    message = f"{p.seq_col} or time does not fit the packed order; set packed_order=False"
-    if p.time_unit_us > 1:
-        offset = F.floor(offset / p.time_unit_us)
-    packed = offset * F.lit(top + 1) + tie
-    return F.when(fits, packed).otherwise(F.raise_error(F.lit(message)).cast("bigint"))
-
-
 def downsample_last(
     df: DataFrame, p: Params, cols: Sequence[str] = MEASURES, first_of_equal: bool = False
 ) -> DataFrame:
     """Last non-null value of every column for each vessel and fixed bin.
 
-    One hash aggregate with map-side combine: a vessel with any number of pings
-    is down to one partial row for each bin before the shuffle. Bins are counted
-    from the epoch, which equals counting from midnight as the width divides a
-    day. ``bin_label='end'`` stamps a row with a time no earlier than its data.
+    Rows are brought together by (vessel, bin) once. Two hash aggregates follow
+    behind that one exchange: by time stamp, the first or last in input order, and
+    by bin, the last time stamp. Both orders are bigints of any size; a struct order
+    would sort all raw rows. Without an input order one aggregate with map-side
+    combine does. Bins are counted from the epoch, which equals counting from
+    midnight as the width divides a day. ``bin_label='end'`` stamps a row with a
+    time no earlier than its data.
 
     ``first_of_equal`` takes the first of rows with the same time stamp. On rows
     whose columns are all present that equals ``dedup_first`` before this step,
@@ -57,13 +38,15 @@ def downsample_last(
     us = micros(TIMESTAMP)
     start = bin_start(us, p.bin_us)
     stamp = start if p.bin_label == "start" else start + p.bin_us
-    if p.seq_col not in df.columns:
-        order = us
-    elif p.packed_order:
-        order = _packed_order(us, p, first_of_equal)
-    else:
-        order = F.struct(us, -F.col(p.seq_col) if first_of_equal else F.col(p.seq_col))
-    work = df.select(MMSI, stamp.alias("_bin"), order.alias("_order"), *cols)
+    work = df.select(
+        MMSI, stamp.alias("_bin"), us.alias("_order"), *cols,
+        *([F.col(p.seq_col).cast("bigint").alias("_seq")] if p.seq_col in df.columns else []),
+    )
+    if p.seq_col in df.columns:
+        pick = F.min_by if first_of_equal else F.max_by
+        work = work.repartition(MMSI, "_bin").groupBy(MMSI, "_bin", "_order").agg(
+            *[pick(c, F.when(F.col(c).isNotNull(), F.col("_seq"))).alias(c) for c in cols]
+        )
     if p.seq_col not in df.columns and first_of_equal:
         # no input order: the largest of equal rows, as dedup_first does
         return work.groupBy(MMSI, "_bin").agg(

@@ -44,7 +44,7 @@ class Params:
     window: int = 36
     update_freq: int = 20
     adaptive_threshold: float | None = 1.5
-    max_fits: int | None = 10
+    max_fits: int | None = None  # an emergency limit on fits per vessel
     sigma_speed: float = 1.0
     sigma_turn: float = 2.0
     p_00: float = 0.85
@@ -54,7 +54,7 @@ class Params:
     # prior studies
     min_vessel_rows: int = 100
     min_fit_rows: int = 30
-    n_pilot_vessels: int = 5
+    n_pilot_vessels: int | None = None  # all eligible vessels, unless a sample is asked for
     n_draws: int = 100
     robust_rho: float = 0.85
     # folds
@@ -74,10 +74,6 @@ class Params:
     broadcast_rows: int = 200_000
     group_rows: int = 200_000
     seq_col: str = "ping_seq"
-    # resolution of the time stamps in microseconds; 1_000_000 for whole seconds
-    time_unit_us: int = 1
-    # pack (time in bin, input order) into one bigint; see series.downsample_last
-    packed_order: bool = True
     extra: dict = field(default_factory=dict, hash=False, compare=False)
 
     def __post_init__(self):

@@ -174,9 +174,9 @@ def model_rows(spark, folder):
 select 'string' as dtype, count(*) as n_rows, sum((id_text is null)::INTEGER)::BIGINT as n_null,
   sum((try_cast(id_text as DOUBLE) is null)::INTEGER)::BIGINT as n_not_numeric,
   sum((try_cast(id_text as DOUBLE) <> floor(try_cast(id_text as DOUBLE)))::INTEGER)::BIGINT as n_not_whole,
-  'CRITICAL: mixed identifier values' as issue from dirty""")
+  min(id_text) as sample_min, max(id_text) as sample_max, 'CRITICAL: mixed identifier values' as issue from dirty""")
 def id_type_check(spark, folder):
-    return clean.id_type_check(inputs.dirty_ids(spark, folder), "mmsi").drop("sample_min", "sample_max")
+    return clean.id_type_check(inputs.dirty_ids(spark, folder), "mmsi")
 
 
 @query("tag_split", with_ctes(PINGS, VESSELS) + """

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wakeline.functions.columns import micros
 from wakeline.operators import evaluation as ev, folds, model
 from wakeline.operators.prefix import global_row_index, quantiles
-from wakeline.params import MMSI, TARGET
+from wakeline.params import MMSI, TARGET, TIMESTAMP
 from wakeline.plans import inputs
 from wakeline.plans.catalog import query, rounded, with_ctes
 from wakeline.plans.inputs import SPARSE
@@ -67,8 +67,7 @@ def split_time_gap(spark, folder):
 
 
 @query("split_first_seen", with_ctes(PINGS, """
-late as (select * from pings where us >= 1704067200000000 + (MMSI % 9) * 259200000000
-  and us < 1704067200000000 + (MMSI % 9 + 2) * 259200000000),
+late as (select * replace (us + (MMSI % 9) * 3456000000000 as us) from pings),
 seen as (select MMSI, min(us) as first_us, max(us) as last_us, count(*) as c from late group by MMSI),
 r as (select *, row_number() over (order by first_us, MMSI) - 1 as r, count(*) over () as n from seen),
 f as (select *, i as fold, r < (n * (i + 1)) // 4 as train from r, range(3) t(i)),
@@ -81,9 +80,8 @@ select fold::INTEGER as fold, role, MMSI, us from late join roles using (MMSI)
 where role is not null and fold in (select fold from ok)""")
 def split_first_seen(spark, folder):
     rows = inputs.event_pings(spark, folder)
-    day3 = 259_200_000_000
-    start = F.lit(1_704_067_200_000_000) + F.col(MMSI) % 9 * day3
-    late = rows.filter((micros() >= start) & (micros() < start + 2 * day3))
+    # all rows, moved by up to 320 days, so that vessels start at different times
+    late = rows.withColumn(TIMESTAMP, F.timestamp_micros(micros() + F.col(MMSI) % 9 * 3_456_000_000_000))
     return folds.split_first_seen(late, SPARSE).select("fold", "role", MMSI, us_col())
 
 
@@ -161,12 +159,13 @@ def document_metrics(spark, folder):
     return rounded(ev.metrics(inputs.scored_documents(spark, folder), "score", SPARSE), 8)
 
 
-LOSS = "avg(-case when y = 1 then ln({s}) else ln(1 - {s}) end)"
+LOSS = """avg(-case when y = 1 then ln(least(greatest({s}, 2.220446049250313e-16), 1 - 2.220446049250313e-16))
+  else ln(1 - least(greatest({s}, 2.220446049250313e-16), 1 - 2.220446049250313e-16)) end)"""
 
 
-@query("log_loss", with_ctes(*SCORED) + f"select round({LOSS.format(s=A)}, 8) as log_loss from scored where score_a < 1")
+@query("log_loss", with_ctes(*SCORED) + f"select round({LOSS.format(s=A)}, 8) as log_loss from scored")
 def log_loss(spark, folder):
-    return rounded(ev.log_loss(inputs.scored(spark, folder).filter(F.col(A) < 1), A), 8)
+    return rounded(ev.log_loss(inputs.scored(spark, folder), A), 8)
 
 
 @query("brier", with_ctes(*SCORED) + "select round(avg((score_a - y) * (score_a - y)), 8) as brier from scored")

@@ -47,7 +47,7 @@ FIXED = replace(P, adaptive_threshold=None)
 @query("refit_fixed", with_ctes(*STD, """
 due as (select *, t >= 12 and (t - 12) % 5 = 0 and n > 12 as due from std_c),
 no as (select *, sum(due::INTEGER) over (partition by MMSI order by us) as fit_no from due)""") + """
-select MMSI, t, fit_no::BIGINT as fit_no from no where due and fit_no <= 4""")
+select MMSI, t, fit_no::BIGINT as fit_no from no where due """)
 def refit_fixed(spark, folder):
     rows = regime.refit_fixed(regime.std_causal(_features(spark, folder), FIXED), FIXED)
     return rows.filter("refit").select(MMSI, "t", "fit_no")
@@ -60,9 +60,9 @@ walk(MMSI, t, last_t, fits, fit) as (
   select MMSI, t, t, 1, true from change where t = 12 and n > 12
   union all
   select c.MMSI, c.t,
-    case when (c.ch > 1.5 or c.t - w.last_t >= 5) and w.fits < 4 then c.t else w.last_t end,
-    case when (c.ch > 1.5 or c.t - w.last_t >= 5) and w.fits < 4 then w.fits + 1 else w.fits end,
-    (c.ch > 1.5 or c.t - w.last_t >= 5) and w.fits < 4
+    case when (c.ch > 1.5 or c.t - w.last_t >= 5) then c.t else w.last_t end,
+    case when (c.ch > 1.5 or c.t - w.last_t >= 5) then w.fits + 1 else w.fits end,
+    (c.ch > 1.5 or c.t - w.last_t >= 5)
   from walk w join change c on c.MMSI = w.MMSI and c.t = w.t + 1)"""
 
 
@@ -281,13 +281,13 @@ def agreement_summary(spark, folder):
     return rounded(bayes.agreement_summary(out, P), 7)
 
 
-def _few(spark, folder):
-    return bayes.pilot_rows(_features(spark, folder), P, 3)
+def _pilot(spark, folder):
+    return bayes.pilot_rows(_features(spark, folder), P)
 
 
 @query("posterior_draws")
 def posterior_draws(spark, folder):
-    return bayes.posterior_draws(_few(spark, folder), P)
+    return bayes.posterior_draws(_pilot(spark, folder), P)
 
 
 @query("ppc_replicates")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wakeline.operators import labels
@@ -14,12 +12,11 @@ from wakeline.sources.pings import edges_from_rings, scan_pings
 
 # Six-hour bins and a one-day label horizon suit tables with a few events per vessel and day.
 SPARSE = Params(bin_minutes=360, label_horizon_minutes=1440.0)
-# Times of the item panel are whole seconds, which leaves 48 bits for the input order.
-ITEMS = replace(SPARSE, time_unit_us=1_000_000)
+ITEMS = SPARSE
 # Short windows and refits for vessels with a few dozen rows.
 REGIME_PARAMS = Params(
-    bin_minutes=360, label_horizon_minutes=1440.0, window=12, update_freq=5, max_fits=4,
-    min_vessel_rows=40, n_draws=20, n_pilot_vessels=6,
+    bin_minutes=360, label_horizon_minutes=1440.0, window=12, update_freq=5,
+    min_vessel_rows=40,
 )
 
 

@@ -2,11 +2,36 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Hand this package to the executors once for each application.
+
+    The archive lies in the driver's own folder only until its file server has it;
+    executors fetch it from there, so nothing needs the package installed on them.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="wakeline-"), "wakeline.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as packed:
+        for folder, _, names in os.walk(root):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                path = os.path.join(folder, name)
+                packed.write(path, os.path.relpath(path, os.path.dirname(root)))
+    context.addPyFile(archive)
+    _SHIPPED.add(context.applicationId)
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Pin UTC and make sure a checkpoint folder exists.
 
@@ -14,6 +39,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     that setting is missing (local tests) is a temporary folder used.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ship(spark)
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get(

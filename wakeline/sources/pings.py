@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.errors import AnalysisException
 
-from wakeline.operators.clean import alias_columns, normalise_mmsi
+from wakeline.operators.clean import alias_columns, alias_names, normalise_mmsi
 
 PING_CSV_SCHEMA = T.StructType([
     T.StructField("MMSI", T.StringType()),
@@ -24,24 +24,30 @@ TRUTH_SCHEMA = (
 )
 
 
-def scan_pings(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+def scan_pings(
+    spark: SparkSession, path: str, schema: T.StructType | None = None, aliases: bool = False
+) -> DataFrame:
     """Read by suffix. CSV files are split by Spark, so size is no concern.
 
     Without a schema a CSV header is matched by name against the ping columns;
-    only the header line is read for that, never the data.
+    only the header line is read for that, never the data. ``aliases`` renames the
+    accepted spellings of id and time first, so that they get their types too.
     """
     if path.endswith(".parquet"):
         df = spark.read.parquet(path)
     elif path.endswith(".csv"):
         if schema is None:
             header = spark.read.csv(path, header=True).columns
+            names = alias_names(header) if aliases else {}
             types = {f.name.lower(): f.dataType for f in PING_CSV_SCHEMA}
-            schema = T.StructType(
-                [T.StructField(c, types.get(c.lower(), T.StringType())) for c in header]
-            )
+            schema = T.StructType([
+                T.StructField(c, types.get(names.get(c, c).lower(), T.StringType())) for c in header
+            ])
         df = spark.read.csv(path, header=True, schema=schema)
     else:
         raise ValueError(f"unsupported format: {path}")
+    if aliases:
+        df = alias_columns(df)
     if "Timestamp" in df.columns:
         df = df.withColumn("Timestamp", F.col("Timestamp").cast("timestamp"))
     return normalise_mmsi(df)
@@ -51,7 +57,7 @@ def scan_first(spark: SparkSession, paths: Sequence[str]) -> tuple[DataFrame, st
     """The first path that can be read, with its name, under the accepted column aliases."""
     for path in paths:
         try:
-            return alias_columns(scan_pings(spark, path)), path
+            return scan_pings(spark, path, aliases=True), path
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
@@ -72,32 +78,30 @@ def truth_explode(raw: DataFrame) -> DataFrame:
 
 
 _POINTS = "array<array<double>>"
-_DEPTH = {
-    "LineString": _POINTS,
-    "MultiLineString": f"array<{_POINTS}>",
-    "Polygon": f"array<{_POINTS}>",
-    "MultiPolygon": f"array<array<{_POINTS}>>",
-}
-
-
-def read_geojson(spark: SparkSession, path: str, layer: str) -> DataFrame:
-    """GeoJSON feature collection to an edge table."""
-    raw = spark.read.schema(
-        "features array<struct<geometry: struct<type: string, coordinates: string>>>"
-    ).json(path, multiLine=True)
-    features = raw.select(F.posexplode("features").alias("geom_id", "f")).select(
-        "geom_id", F.col("f.geometry.type").alias("type"), F.col("f.geometry.coordinates").alias("c")
+_FEATURE = "struct<geometry: struct<type: string, coordinates: string>>"
+
+
+def read_geojson(spark: SparkSession, path: str, layer: str, by_line: bool = False) -> DataFrame:
+    """GeoJSON to an edge table, in one pass over the features.
+
+    A feature collection is one document that one task reads. ``by_line`` reads one
+    feature for each line instead, which Spark splits. ``geom_id`` is a hash of file
+    and feature, so that files of one layer don't share identifiers.
+    """
+    if by_line:
+        lines = spark.read.text(path).select(F.from_json("value", _FEATURE).alias("f"), F.xxhash64("value").alias("at"))
+        features = lines.filter("f is not null")
+    else:
+        raw = spark.read.schema(f"features array<{_FEATURE}>").json(path, multiLine=True)
+        features = raw.select(F.posexplode("features").alias("at", "f"))
+    kind, text = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
+    lists = (
+        F.when(kind == "LineString", F.array(F.from_json(text, _POINTS)))
+        .when(kind.isin("MultiLineString", "Polygon"), F.from_json(text, f"array<{_POINTS}>"))
+        .when(kind == "MultiPolygon", F.flatten(F.from_json(text, f"array<array<{_POINTS}>>")))
     )
-    rings = None
-    for kind, schema in _DEPTH.items():
-        part = features.filter(F.col("type") == kind).withColumn("r", F.from_json("c", schema))
-        if kind == "LineString":
-            part = part.select("geom_id", F.lit(0).alias("ring"), F.col("r").alias("pts"))
-        elif kind == "MultiPolygon":
-            part = part.select("geom_id", F.posexplode(F.flatten("r")).alias("ring", "pts"))
-        else:
-            part = part.select("geom_id", F.posexplode("r").alias("ring", "pts"))
-        rings = part if rings is None else rings.unionByName(part)
+    geom_id = F.xxhash64(F.input_file_name(), "at").alias("geom_id")
+    rings = features.select(geom_id, lists.alias("lists")).select("geom_id", F.posexplode("lists").alias("ring", "pts"))
     return edges_from_rings(rings.withColumn("layer", F.lit(layer)))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def write_table(df: DataFrame, path: str, by_date: bool = True, mode: str = "overwrite") -> str:
-    """Parquet, partitioned by date so that time filters prune folders.
+    """Parquet, partitioned by date; ``read_table`` turns a time range into folders.
 
     Rows are brought together by date and a hash of the vessel first; without
     it every task would write a file into every date folder.
@@ -23,9 +23,23 @@ def write_table(df: DataFrame, path: str, by_date: bool = True, mode: str = "ove
     return path
 
 
+def read_table(spark: SparkSession, path: str, start: str | None = None, end: str | None = None) -> DataFrame:
+    """A stored table, rows with start <= Timestamp < end. Folders of other dates are not listed into the scan."""
+    df = spark.read.parquet(path)
+    for bound, on_time, on_date in (
+        (start, F.col("Timestamp") >= F.lit(start).cast("timestamp"), lambda d: F.col("date") >= d),
+        (end, F.col("Timestamp") < F.lit(end).cast("timestamp"), lambda d: F.col("date") <= d),
+    ):
+        if bound is not None:
+            df = df.filter(on_time)
+            if "date" in df.columns:
+                df = df.filter(on_date(F.to_date(F.lit(bound).cast("timestamp"))))
+    return df
+
+
 def write_report(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     """A report of a few rows as JSON lines."""
-    df.coalesce(1).write.mode(mode).json(path)
+    df.repartition(1).write.mode(mode).json(path)
     return path
 
 
