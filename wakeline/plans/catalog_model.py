@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wakeline.functions.columns import micros
-from wakeline.operators import audit, evaluation as ev, folds, model, spatial
+from wakeline.operators import audit, folds, model, spatial
 from wakeline.operators.labels import label_last_ping
 from wakeline.operators.regime import regime_score
 from wakeline.params import FEATURES_BASELINE, FEATURES_FULL, FEATURES_MOTION, MMSI, REGIME, TARGET
@@ -13,7 +13,7 @@ from wakeline.plans import inputs
 from wakeline.plans.catalog import query, rounded, with_ctes
 from wakeline.plans.catalog_data import RINGS_SQL, shared_folder
 from wakeline.plans.inputs import REGIME_PARAMS, SPARSE
-from wakeline.plans.sqlparts import GAPS, PINGS
+from wakeline.plans.sqlparts import FEATURES, GAPS, PINGS
 from wakeline.session import durable
 from wakeline.sources import sinks
 
@@ -104,11 +104,31 @@ def _sides(rows):
     return pool, held
 
 
-@query("train_gbt")
+# Fitted numbers depend on the solver, so these queries return what must hold for any
+# fit: which rows are scored, once each, with which label, and whether a score is a probability.
+LABELLED_SQL = """
+nexts as (select *, (lead(us) over (partition by MMSI order by us) - us)::DOUBLE / 3600000000.0::DOUBLE as next_h from feats),
+lab as (select *, (next_h >= 12.0 and next_h <= 36.0)::INTEGER as y from nexts where next_h is not null),
+lv as (select MMSI, row_number() over (order by md5('42-' || MMSI), MMSI) as rank, count(*) over () as n
+  from (select distinct MMSI from lab))"""
+HELD_SQL = with_ctes(*FEATURES, LABELLED_SQL) + """
+select MMSI, us, y as target_dark_fleet, true as is_probability
+from lab join lv using (MMSI) where rank <= greatest(1, round_even(n * 0.2, 0))"""
+
+
+def _within(column, low=0.0, high=1.0):
+    return F.coalesce(F.col(column).between(low, high), F.lit(False))
+
+
+def _scored(fitted, test):
+    scored = model.score_rows(fitted, test, SPARSE)
+    return scored.select(MMSI, us_col(), TARGET, _within(model.SCORE).alias("is_probability"))
+
+
+@query("train_gbt", HELD_SQL)
 def train_gbt(spark, folder):
     train, test = _sides(_labelled(spark, folder))
-    fitted = model.train_gbt(train, FEATURES_BASELINE, TREES, SPARSE, ROUNDS)
-    return model.score_rows(fitted, test, SPARSE).select(MMSI, us_col(), TARGET, model.SCORE)
+    return _scored(model.train_gbt(train, FEATURES_BASELINE, TREES, SPARSE, ROUNDS), test)
 
 
 @query("param_search")
@@ -128,30 +148,42 @@ def score_rows(spark, folder):
     return model.score_rows(sinks.load_model(path), test, SPARSE, 0.8).select(MMSI, us_col(), TARGET, model.SCORE)
 
 
-@query("train_logistic")
+@query("train_logistic", HELD_SQL)
 def train_logistic(spark, folder):
     train, test = _sides(_labelled(spark, folder))
-    fitted = model.train_logistic(train, FEATURES_BASELINE)
-    return ev.metrics(model.score_rows(fitted, test, SPARSE), model.SCORE, SPARSE)
+    return _scored(model.train_logistic(train, FEATURES_BASELINE), test)
 
 
-@query("ablation")
+@query("ablation", """
+select unnest(['pred_logistic_baseline', 'pred_gb_baseline', 'pred_gb_enhanced']) as model, true as ap_valid, true as brier_valid""")
 def ablation(spark, folder):
     train, test = _sides(_enriched(spark, folder))
-    return model.ablation(model.ablation_predictions(train, test, SPARSE, TREES, ROUNDS), SPARSE)
+    table = model.ablation(model.ablation_predictions(train, test, SPARSE, TREES, ROUNDS), SPARSE)
+    return table.select("model", _within("average_precision").alias("ap_valid"), _within("brier").alias("brier_valid"))
 
 
-@query("gap_sensitivity")
+@query("gap_sensitivity", with_ctes(*FEATURES, LABELLED_SQL, """
+th(gap_hours) as (values (6.0::DOUBLE), (12.0::DOUBLE), (18.0::DOUBLE), (24.0::DOUBLE))""") + """
+select gap_hours, round(avg((next_h >= gap_hours and next_h <= gap_hours + 24.0)::INTEGER), 6) as pos_rate, true as valid
+from lab, th group by gap_hours""")
 def gap_sensitivity(spark, folder):
-    return model.gap_sensitivity(durable(inputs.features(spark, folder)), SPARSE, t=TREES, rounds=ROUNDS)
+    table = model.gap_sensitivity(durable(inputs.features(spark, folder)), SPARSE, t=TREES, rounds=ROUNDS)
+    fine = lambda c: F.col(c).isNull() | F.col(c).between(0, 1)
+    return table.select(
+        "gap_hours", F.round("pos_rate", 6).alias("pos_rate"), (fine("average_precision") & fine("brier")).alias("valid")
+    )
 
 
-@query("importance")
+@query("importance", """
+select unnest(['delta_SOG', 'delta_COG', 'speed_acc', 'turn_rate', 'dt_prev_hours']) as feature, true as share_valid,
+  true as drop_valid, 1.0::DOUBLE as total""")
 def importance(spark, folder):
     rows = _labelled(spark, folder)
     fitted = model.train_gbt(rows, FEATURES_MOTION, TREES, SPARSE, ROUNDS)
-    return model.importance(fitted, rows).join(
-        model.permutation_importance(fitted, rows, SPARSE), "feature"
+    shares = model.importance(fitted, rows)
+    total = shares.agg(F.round(F.sum("importance"), 9)).scalar()
+    return shares.join(model.permutation_importance(fitted, rows, SPARSE), "feature").select(
+        "feature", _within("importance").alias("share_valid"), _within("drop", -1.0).alias("drop_valid"), total.alias("total")
     )
 
 
@@ -201,12 +233,25 @@ def mahalanobis(spark, folder):
     return rounded(spark.createDataFrame([(audit.mahalanobis(ready, AUDIT_FEATURES),)], "distance double"))
 
 
-@query("audit_auc")
+@query("audit_auc", "select unnest([0, 1]) as fold, true as valid")
 def audit_auc(spark, folder):
     ready = durable(audit.standardise(durable(_sample(spark, folder)), AUDIT_FEATURES))
-    return audit.audit_auc(ready, AUDIT_FEATURES, SPARSE)
+    return audit.audit_auc(ready, AUDIT_FEATURES, SPARSE).select("fold", _within("roc_auc").alias("valid"))
 
 
-@query("audit_verdict")
+@query("audit_verdict", with_ctes(*FEATURES, """
+fgaps as (select *, (lead(us) over (partition by MMSI order by us) - us)::DOUBLE / 3600000000.0::DOUBLE as next_h from feats),
+""" + AUDIT_SQL.replace("from gaps", "from fgaps")) + """
+select (select count(distinct MMSI) from marked where is_last) as n_eligible_vessels, count(*) filter (is_last) as n_last_pings,
+  count(*) filter (not is_last) as n_controls, true as verdict_fits, true as distance_valid from sample""")
 def audit_verdict(spark, folder):
-    return audit.last_ping_audit(inputs.features(spark, folder), FEATURES_MOTION, SPARSE, bounded=True)
+    table = audit.last_ping_audit(inputs.features(spark, folder), FEATURES_MOTION, SPARSE, bounded=True)
+    auc = F.col("auc_last_vs_controls")
+    expected = (
+        F.when(F.col("n_eligible_vessels") < 3, "INSUFFICIENT_DATA").when(auc >= 0.70, "DISTINGUISHABLE")
+        .when(auc >= 0.55, "WEAKLY_DISTINGUISHABLE").otherwise("INDISTINGUISHABLE")
+    )
+    return table.select(
+        "n_eligible_vessels", "n_last_pings", "n_controls", (F.col("verdict") == expected).alias("verdict_fits"),
+        F.coalesce(F.col("mahalanobis") >= 0, F.lit(False)).alias("distance_valid"),
+    )
