@@ -276,6 +276,33 @@ def test_similar_components_of_chains(spark):
     assert found == {k: root(k) for k in range(len(rows))}
 
 
+def test_block_links():
+    rng = np.random.default_rng(3)
+    base = rng.choice(10**6, 80, replace=False)
+    sets = []
+    for k in range(60):
+        own = base.copy()
+        own[rng.choice(80, rng.integers(0, 14), replace=False)] = rng.integers(10**6, 10**7, 1)[0] + k
+        sets.append((k, k % 7, np.unique(own).astype(np.uint64)))
+    queries, block = sets[:25], sets
+    linked = set()
+    for a, p, s in queries:
+        for b, q, t in block:
+            both = len(set(s.tolist()) & set(t.tolist()))
+            if p != q and 100 * both >= 85 * (len(s) + len(t) - both):
+                linked.add((min(p, q), max(p, q)))
+    counts = collections.Counter(t for _, _, s in sets for t in s.tolist())
+    levels = np.zeros(similarity_join.PLACES, np.uint8)
+    for token, n in counts.items():
+        at = token % similarity_join.PLACES
+        levels[at] = max(levels[at], sum(n >= least for least in similarity_join.LEVELS))
+    found = similarity_join.block_links(queries, block, similarity_join.Order(levels))
+    assert {tuple(sorted((a % 7, b % 7))) for a, b in found.values()} == linked == set(found)
+    postings = similarity_join._Postings([s for _, _, s in block])
+    for _, _, s in queries:
+        assert postings.overlaps(s).tolist() == [len(np.intersect1d(s, t)) for _, _, t in block]
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(1, 40)] + [(100, 101), (103, 101), (7, 7)]
     found = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
