@@ -158,13 +158,14 @@ def draw_parameters(n: int, seed: int) -> list[TreeParams]:
 
 def search_guard(n_trials: int, n_complete: int, n_pruned: int, prevalence: float) -> None:
     """Stop a search in which most trials had no usable fold, or none finished."""
-    if n_pruned > n_trials / 2:
-        raise SearchError(
-            f"HPO degenerate: {n_pruned}/{n_trials} trials had no positive samples in any fold"
-            f" (prevalence {prevalence:.4%})"
-        )
-    if n_complete == 0:
-        raise SearchError(f"HPO degenerate: 0/{n_trials} trials completed")
+    reason = None
+    if 2 * n_pruned > n_trials:
+        reason = f"no fold with both classes for {n_pruned} of {n_trials} trials, share of positives {prevalence:.6f}"
+    elif n_complete == 0:
+        reason = f"none of {n_trials} trials has a result"
+    if reason is not None:
+        # Fixed value: the start of the message.
+        raise SearchError("HPO degenerate: " + reason)
 
 
 def usable_folds(folds: DataFrame, target: str = TARGET) -> list[int]:
