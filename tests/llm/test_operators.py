@@ -493,3 +493,30 @@ def test_kth_greatest(spark):
     for k in (1, 2, 77, 300, 530):
         assert resampling.kth_greatest(frame, "v", k) == ranked[k - 1]
     assert resampling.kth_greatest(frame, "v", 531) is None
+
+
+def test_class_pairs_cover_all_training_texts(docs, rows, monkeypatch):
+    """The bigram table counts every training text, also on tables too small for the shares."""
+    path = lm_scoring.tokenizer_file(lm_scoring.VOCABULARY)
+    codes = lm_scoring.Subwords(path)
+    ids = [codes.texts([lm_scoring.text_words((t or "").encode())])[0] for _, t in rows]
+    training = [x for x, (i, _) in zip(ids, rows) if i is None or zlib.crc32(str(i).encode()) % 7 != 2]
+    seen = {}
+    found, taught = lm_scoring.class_pairs, []
+    monkeypatch.setattr(lm_scoring, "class_pairs", lambda t, classes, *a: seen.setdefault("pairs", (found(t, classes, *a), classes))[0])
+    scored = lm_scoring.id_text(docs).filter(~lm_scoring.held_out(F.col("doc_id"), 7))
+    model = lm_scoring.fit(scored, lm_scoring.word_counts(scored), path)
+    pairs, classes = seen["pairs"]
+    expected = np.zeros((classes.number, classes.number))
+    for x in training:
+        chain = classes.of[[lm_scoring.END_ID, *x, lm_scoring.END_ID]]
+        np.add.at(expected, (chain[:-1], chain[1:]), 1)
+    assert (pairs == expected).all()
+    # A single text trains too, whatever its share.
+    for i in range(6):
+        one = scored.limit(0).unionByName(scored.sparkSession.createDataFrame([(i, "a few words of one text")], "doc_id bigint, text string"))
+        small = lm_scoring.fit(one, lm_scoring.word_counts(one), path)
+        fresh = lm_scoring.Attention(small.settings, small.classes, small.bigram)
+        taught.append((small.bigram.std() > 0.1, not np.allclose(small.weights["out"], fresh.weights["out"])))
+    assert taught == [(True, True)] * 6
+    assert not np.allclose(model.weights["out"], lm_scoring.Attention(model.settings, classes, model.bigram).weights["out"])
