@@ -520,3 +520,27 @@ def test_class_pairs_cover_all_training_texts(docs, rows, monkeypatch):
         taught.append((small.bigram.std() > 0.1, not np.allclose(small.weights["out"], fresh.weights["out"])))
     assert taught == [(True, True)] * 6
     assert not np.allclose(model.weights["out"], lm_scoring.Attention(model.settings, classes, model.bigram).weights["out"])
+
+
+def test_lm_classes_and_context():
+    """112 frequent ids stand alone, 24 earlier ids at least are read, and the scores are those of the forward pass."""
+    counts = np.arange(50257, 0, -1)
+    classes = lm_scoring.make_classes(counts, np.zeros(50257, np.int64), lm_scoring.Settings().single_ids)
+    assert len(set(classes.of[:112].tolist())) == 112 and not set(classes.of[:112].tolist()) & set(classes.of[112:].tolist())
+    model = lm_scoring.Attention(lm_scoring.Settings(), classes, np.zeros((classes.number, classes.number), np.float32))
+    text = np.arange(100, dtype=np.int32)
+    x, y, _ = model.windows([text])
+    stride = model.settings.stride
+    assert len(x) == 3
+    for k in (1, 2):  # the first scored id of a later window
+        one = x[k : k + 1].copy()
+        one[0, model.settings.overlap - 24] = 111
+        target = np.full_like(y[:1], -1)
+        target[0, 0] = y[k, 0]
+        assert x[k, model.settings.overlap - 24] == classes.of[k * stride - 25]
+        assert model.log_probability(one, target)[0] != model.log_probability(x[k : k + 1], target)[0]
+    logits = model._forward(x)[5].astype(np.float64)
+    logits -= np.log(np.exp(logits).sum(axis=2, keepdims=True))
+    safe = np.maximum(y, 0)
+    each = np.take_along_axis(logits, classes.of[safe].astype(np.int64)[..., None], 2)[..., 0] + classes.inside[safe]
+    assert np.allclose(model.log_probability(x, y), np.where(y >= 0, each, 0).sum(axis=1), atol=1e-3)
