@@ -13,6 +13,8 @@ from wakeline.llm import packing, resampling, similarity_join
 from wakeline.llm import toxicity as toxic
 from wakeline.llm.common import documents, durable, prepare, table
 
+SHINGLE, PERCENT = 5, 80  # of near duplicates
+
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted toxic go."""
@@ -33,7 +35,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of similar texts stays."""
     prepare(spark)
-    return similarity_join.keep_one_of_each(docs)
+    return similarity_join.keep_one_of_each(docs, SHINGLE, PERCENT)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
