@@ -201,6 +201,21 @@ def test_feature_stream_equals_batch(spark, ordered, tmp_path):
             assert r[c] == pytest.approx(w[c], abs=1e-9)
 
 
+def test_features_stream_flags_late_rows(spark, make, tmp_path):
+    """Late rows and a second row of equal time come out, flagged, and leave the state alone."""
+    batches = [
+        make([(1, 0, 0, 0, 5, 10), (1, 10, 0, 0, 6, 20)]), make([(1, 5, 0, 0, 7, 30), (1, 10, 0, 0, 8, 40)]),
+        make([(1, 20, 0, 0, 9, 50), (1, 2, 0, 0, 1, 60)]),
+    ]
+    frames = [f.withColumn("score", F.lit(0.3)) for f in batches]
+    got = run_stream(spark, frames, lambda s: forms.features_stream(s, P), tmp_path, "late_stream").collect()
+    assert sorted((r.SOG, r.late, r.filtered is None) for r in got) == [
+        (1, True, True), (5, False, False), (6, False, False), (7, True, True), (8, True, True), (9, False, False)]
+    assert all(r[c] is None for r in got if r.late for c in ("dt_prev_hours", "delta_SOG", "turn_rate"))
+    last = next(r for r in got if r.SOG == 9)
+    assert last.delta_SOG == 3 and last.dt_prev_hours == pytest.approx(10 / 60)
+
+
 def test_gap_alerts_equal_last_pings(spark, ordered, tmp_path):
     from wakeline.operators.labels import mark_last_ping
 

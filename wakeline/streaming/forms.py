@@ -34,7 +34,7 @@ def downsample_stream(pings: DataFrame, p: Params, delay: str = "1 hour") -> Dat
 
 FEATURE_SCHEMA = (
     f"{MMSI} long, us long, SOG double, COG double, "
-    + ", ".join(f"{c} double" for c in KINEMATICS) + ", filtered double"
+    + ", ".join(f"{c} double" for c in KINEMATICS) + ", filtered double, late boolean"
 )
 
 
@@ -42,14 +42,20 @@ def features_stream(pings: DataFrame, p: Params, score: str = "score", p_stay: f
     """Kinematic features and the chain filter with the vessel's last row as state.
 
     Rows of a vessel must arrive in time order across batches, as they do behind
-    ``downsample_stream``; a row older than the state is skipped.
+    ``downsample_stream``; a row not newer than the state is emitted with ``late`` set,
+    its own values and null features, and doesn't change the state.
     """
+    names = [c.split()[0] for c in FEATURE_SCHEMA.split(", ")]
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(frames)).sort_values("us", kind="stable")
         last = state.get if state.exists else (None, None, None, None)
         if last[0] is not None:
-            rows = rows[rows["us"] > last[0]]
+            behind = rows["us"] <= last[0]
+            if behind.any():
+                out = rows.loc[behind, ["us", "SOG", "COG"]].assign(**{MMSI: key[0], "late": True})
+                yield out.reindex(columns=names).astype({c: float for c in (*KINEMATICS, "filtered")})
+            rows = rows[~behind]
         if rows.empty:
             return
         us = pd.concat([pd.Series([last[0]], dtype="Int64"), rows["us"].astype("Int64")])
@@ -73,6 +79,7 @@ def features_stream(pings: DataFrame, p: Params, score: str = "score", p_stay: f
             int(rows["us"].iloc[-1]), float(rows["SOG"].iloc[-1]), float(rows["COG"].iloc[-1]),
             float(kept[-1]) if kept else last[3],
         ))
+        out["late"] = False
         yield out
 
     narrow = pings.select(MMSI, micros().alias("us"), "SOG", "COG", score)
