@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wakeline.functions.columns import micros
-from wakeline.operators import audit, folds, model, spatial
+from wakeline.operators import audit, evaluation as ev, folds, model, spatial
 from wakeline.operators.labels import label_last_ping
 from wakeline.operators.regime import regime_score
 from wakeline.params import FEATURES_BASELINE, FEATURES_FULL, FEATURES_MOTION, MMSI, REGIME, TARGET
@@ -106,6 +106,7 @@ def _sides(rows):
 
 # Fitted numbers depend on the solver, so these queries return what must hold for any
 # fit: which rows are scored, once each, with which label, and whether a score is a probability.
+# The numbers themselves are what the queries named ..._measured return, which have no SQL form.
 LABELLED_SQL = """
 nexts as (select *, (lead(us) over (partition by MMSI order by us) - us)::DOUBLE / 3600000000.0::DOUBLE as next_h from feats),
 lab as (select *, (next_h >= 12.0 and next_h <= 36.0)::INTEGER as y from nexts where next_h is not null),
@@ -125,10 +126,20 @@ def _scored(fitted, test):
     return scored.select(MMSI, us_col(), TARGET, _within(model.SCORE).alias("is_probability"))
 
 
+def _boosted(spark, folder):
+    train, test = _sides(_labelled(spark, folder))
+    return model.train_gbt(train, FEATURES_BASELINE, TREES, SPARSE, ROUNDS), test
+
+
 @query("train_gbt", HELD_SQL)
 def train_gbt(spark, folder):
-    train, test = _sides(_labelled(spark, folder))
-    return _scored(model.train_gbt(train, FEATURES_BASELINE, TREES, SPARSE, ROUNDS), test)
+    return _scored(*_boosted(spark, folder))
+
+
+@query("train_gbt_measured")
+def train_gbt_measured(spark, folder):
+    fitted, test = _boosted(spark, folder)
+    return model.score_rows(fitted, test, SPARSE).select(MMSI, us_col(), TARGET, model.SCORE)
 
 
 @query("param_search")
@@ -148,41 +159,66 @@ def score_rows(spark, folder):
     return model.score_rows(sinks.load_model(path), test, SPARSE, 0.8).select(MMSI, us_col(), TARGET, model.SCORE)
 
 
+def _logistic(spark, folder):
+    train, test = _sides(_labelled(spark, folder))
+    return model.train_logistic(train, FEATURES_BASELINE), test
+
+
 @query("train_logistic", HELD_SQL)
 def train_logistic(spark, folder):
-    train, test = _sides(_labelled(spark, folder))
-    return _scored(model.train_logistic(train, FEATURES_BASELINE), test)
+    return _scored(*_logistic(spark, folder))
+
+
+@query("train_logistic_measured")
+def train_logistic_measured(spark, folder):
+    fitted, test = _logistic(spark, folder)
+    return ev.metrics(model.score_rows(fitted, test, SPARSE), model.SCORE, SPARSE)
+
+
+@query("ablation_measured")
+def ablation_measured(spark, folder):
+    train, test = _sides(_enriched(spark, folder))
+    return model.ablation(model.ablation_predictions(train, test, SPARSE, TREES, ROUNDS), SPARSE)
 
 
 @query("ablation", """
 select unnest(['pred_logistic_baseline', 'pred_gb_baseline', 'pred_gb_enhanced']) as model, true as ap_valid, true as brier_valid""")
 def ablation(spark, folder):
-    train, test = _sides(_enriched(spark, folder))
-    table = model.ablation(model.ablation_predictions(train, test, SPARSE, TREES, ROUNDS), SPARSE)
+    table = ablation_measured(spark, folder)
     return table.select("model", _within("average_precision").alias("ap_valid"), _within("brier").alias("brier_valid"))
 
 
+@query("gap_sensitivity_measured")
+def gap_sensitivity_measured(spark, folder):
+    return model.gap_sensitivity(durable(inputs.features(spark, folder)), SPARSE, t=TREES, rounds=ROUNDS)
+
+
 @query("gap_sensitivity", with_ctes(*FEATURES, LABELLED_SQL, """
 th(gap_hours) as (values (6.0::DOUBLE), (12.0::DOUBLE), (18.0::DOUBLE), (24.0::DOUBLE))""") + """
 select gap_hours, round(avg((next_h >= gap_hours and next_h <= gap_hours + 24.0)::INTEGER), 6) as pos_rate, true as valid
 from lab, th group by gap_hours""")
 def gap_sensitivity(spark, folder):
-    table = model.gap_sensitivity(durable(inputs.features(spark, folder)), SPARSE, t=TREES, rounds=ROUNDS)
+    table = gap_sensitivity_measured(spark, folder)
     fine = lambda c: F.col(c).isNull() | F.col(c).between(0, 1)
     return table.select(
         "gap_hours", F.round("pos_rate", 6).alias("pos_rate"), (fine("average_precision") & fine("brier")).alias("valid")
     )
 
 
+@query("importance_measured")
+def importance_measured(spark, folder):
+    rows = _labelled(spark, folder)
+    fitted = model.train_gbt(rows, FEATURES_MOTION, TREES, SPARSE, ROUNDS)
+    return model.importance(fitted, rows).join(model.permutation_importance(fitted, rows, SPARSE), "feature")
+
+
 @query("importance", """
 select unnest(['delta_SOG', 'delta_COG', 'speed_acc', 'turn_rate', 'dt_prev_hours']) as feature, true as share_valid,
   true as drop_valid, 1.0::DOUBLE as total""")
 def importance(spark, folder):
-    rows = _labelled(spark, folder)
-    fitted = model.train_gbt(rows, FEATURES_MOTION, TREES, SPARSE, ROUNDS)
-    shares = model.importance(fitted, rows)
+    shares = importance_measured(spark, folder)
     total = shares.agg(F.round(F.sum("importance"), 9)).scalar()
-    return shares.join(model.permutation_importance(fitted, rows, SPARSE), "feature").select(
+    return shares.select(
         "feature", _within("importance").alias("share_valid"), _within("drop", -1.0).alias("drop_valid"), total.alias("total")
     )
 
@@ -233,10 +269,20 @@ def mahalanobis(spark, folder):
     return rounded(spark.createDataFrame([(audit.mahalanobis(ready, AUDIT_FEATURES),)], "distance double"))
 
 
+@query("audit_auc_measured")
+def audit_auc_measured(spark, folder):
+    ready = durable(audit.standardise(durable(_sample(spark, folder)), AUDIT_FEATURES))
+    return audit.audit_auc(ready, AUDIT_FEATURES, SPARSE)
+
+
 @query("audit_auc", "select unnest([0, 1]) as fold, true as valid")
 def audit_auc(spark, folder):
-    ready = durable(audit.standardise(durable(_sample(spark, folder)), AUDIT_FEATURES))
-    return audit.audit_auc(ready, AUDIT_FEATURES, SPARSE).select("fold", _within("roc_auc").alias("valid"))
+    return audit_auc_measured(spark, folder).select("fold", _within("roc_auc").alias("valid"))
+
+
+@query("audit_verdict_measured")
+def audit_verdict_measured(spark, folder):
+    return audit.last_ping_audit(inputs.features(spark, folder), FEATURES_MOTION, SPARSE, bounded=True)
 
 
 @query("audit_verdict", with_ctes(*FEATURES, """
@@ -245,7 +291,7 @@ fgaps as (select *, (lead(us) over (partition by MMSI order by us) - us)::DOUBLE
 select (select count(distinct MMSI) from marked where is_last) as n_eligible_vessels, count(*) filter (is_last) as n_last_pings,
   count(*) filter (not is_last) as n_controls, true as verdict_fits, true as distance_valid from sample""")
 def audit_verdict(spark, folder):
-    table = audit.last_ping_audit(inputs.features(spark, folder), FEATURES_MOTION, SPARSE, bounded=True)
+    table = audit_verdict_measured(spark, folder)
     auc = F.col("auc_last_vs_controls")
     expected = (
         F.when(F.col("n_eligible_vessels") < 3, "INSUFFICIENT_DATA").when(auc >= 0.70, "DISTINGUISHABLE")
