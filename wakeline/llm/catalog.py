@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from wakeline.llm import byte_bpe, exact_dedup, licenses, line_dedup, lm_scoring, packing, quality_rules, resampling, similarity_join, toxicity
+from wakeline.llm import (
+    byte_bpe, clustering, exact_dedup, hard_negatives, licenses, line_dedup, lm_scoring, minhash_bayes, packing, quality_rules,
+    resampling, similarity_join, toxicity,
+)
 from wakeline.llm.common import documents, table
 from wakeline.llm.registry import QUERIES, SQL, query
 
@@ -135,4 +138,84 @@ def op8_lm_scoring(spark, folder):
     return lm_scoring.score_documents(documents(spark, folder))
 
 
+WHOLE = "embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0"
+INTS = "list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint))"
+
+
+@query("op11_hard_negatives", f"""
+with r as (
+  select distinct vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, {INTS} as v
+  from embeddings where label is not null and {WHOLE}),
+s as (
+  select a.vec_id as anchor_id, a.label as anchor_label, b.vec_id, b.label,
+         cast(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i])) as bigint) as score
+  from r a join r b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id),
+p as (
+  select *, row_number() over (partition by anchor_id order by score desc, vec_id) as nth
+  from s where label = anchor_label),
+n as (
+  select p.anchor_id, p.vec_id as positive_id, p.score as positive_score, s.vec_id as negative_id, s.score as negative_score,
+         row_number() over (partition by p.anchor_id, p.vec_id order by s.score desc, s.vec_id) as nth
+  from p join s on p.nth <= 5 and s.anchor_id = p.anchor_id and s.label <> s.anchor_label
+    and 50 * p.score <= 100 * s.score and 100 * s.score <= 95 * p.score)
+select anchor_id, positive_id, cast(nth as integer) as rank, negative_id, positive_score, negative_score from n where nth <= 3
+""")
+def op11_hard_negatives(spark, folder):
+    return hard_negatives.hard_negatives(table(spark, folder, "embeddings"))
+
+
+def _lloyd_sql(rounds: int = clustering.ROUNDS, k: int = clustering.CLUSTERS, size: int = clustering.SIZE) -> str:
+    """The rounds written out, one after the other."""
+    squared = f"list_sum(list_transform(range(1, {size + 1}), lambda i: (x.v[i] - c.v[i]) * (x.v[i] - c.v[i])))"
+    steps = [f"""
+with x as materialized (
+  select row_number() over () as r, vec_id, {INTS} as v from embeddings where len(embedding) = {size} and {WHOLE}),
+c0 as materialized (
+  select cast(row_number() over (order by h, v) - 1 as integer) as cluster, v
+  from (select sha256('2:' || coalesce(cast(vec_id as varchar), 'null')) as h, v from x order by h, v limit {k}))"""]
+    for n in range(rounds + 1):
+        steps.append(f"""a{n} as materialized (
+  select r, arg_min(cluster, (d, cluster)) as cluster, min(d) as distance
+  from (select x.r, c.cluster, cast({squared} as bigint) as d from x, c{n} c) group by r)""")
+        if n < rounds:
+            steps.append(f"""t{n} as (
+  select cluster, place, sum(v[place]) as s, count(*) as n
+  from a{n} join x using (r), unnest(range(1, {size + 1})) as u(place) group by cluster, place),
+m{n} as (
+  select cluster, list(cast((s - ((s % n) + n) % n) // n as bigint) order by place) as v from t{n} group by cluster),
+c{n + 1} as materialized (select c.cluster, coalesce(m.v, c.v) as v from c{n} c left join m{n} m using (cluster))""")
+    return ",\n".join(steps) + f"""
+select x.vec_id, a.cluster, a.distance, cast(sum(a.distance) over (partition by a.cluster) as bigint) as cluster_inertia,
+       cast(sum(a.distance) over () as bigint) as inertia, sha256(array_to_string(c.v, ',')) as centroid_sha256
+from a{rounds} a join x using (r) join c{rounds} c using (cluster)
+"""
+
+
+@query("op12_centroid_clustering", _lloyd_sql())
+def op12_centroid_clustering(spark, folder):
+    return clustering.cluster_report(table(spark, folder, "embeddings"))
+
+
+@query("op13_minhash_near_dedup", r"""
+with recursive w as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as words
+  from documents),
+g as (
+  select distinct doc_id, array_to_string(words[p : p + 2], ' ') as gram
+  from (select doc_id, words, unnest(range(1, greatest(len(words) - 2, 1) + 1)) as p from w where len(words) > 0)),
+n as (select doc_id, count(*) as n from g group by doc_id),
+l as (
+  select a.doc_id as u, b.doc_id as v from g a join g b on a.gram = b.gram and a.doc_id <> b.doc_id
+  join n x on x.doc_id = a.doc_id join n y on y.doc_id = b.doc_id
+  where 100 * least(x.n, y.n) >= 85 * greatest(x.n, y.n)
+  group by a.doc_id, b.doc_id having 100 * count(*) >= 85 * (any_value(x.n) + any_value(y.n) - count(*))),
+r as (select doc_id as a, doc_id as b from w union select r.a, l.v from r join l on l.u = r.b)
+select w.doc_id, coalesce(n.n, 0) as n_shingles, c.component_id, w.doc_id = c.component_id as kept
+from w left join n using (doc_id) join (select a, min(b) as component_id from r group by a) c on c.a = w.doc_id
+""")
+def op13_minhash_near_dedup(spark, folder):
+    return minhash_bayes.near_duplicates(documents(spark, folder))
+
+
 __all__ = ["QUERIES", "SQL"]
