@@ -34,9 +34,9 @@ def test_no_gap_no_positive(make):
     assert labels.label_sliding(rows, P).filter("target_dark_fleet = 1").count() == 0
 
 
-@pytest.mark.parametrize("hours", [1, 5, 168])
-def test_sliced_labels_equal_plain_windows(spark, small, hours):
-    p = replace(inputs.SPARSE, slice_hours=hours)
+@pytest.mark.parametrize("rows", [3, 150, 20_000])
+def test_sliced_labels_equal_plain_windows(spark, small, rows):
+    p = replace(inputs.SPARSE, range_rows=rows)
     pings = inputs.event_pings(spark, small)
     a, b = labels.label_sliding(pings, p), labels.label_sliding(pings, p, bounded=True)
     assert a.exceptAll(b).count() == 0

@@ -34,6 +34,17 @@ def micros(c="Timestamp") -> Column:
     return F.unix_micros(col(c))
 
 
+def row_order(us, seq, latest_first: bool = False) -> Column:
+    """One exact number that orders rows by time, then by any bigint; ``latest_first`` turns the second.
+
+    A decimal keeps ``max_by`` and ``min_by`` in a hash aggregate with map-side combine;
+    a struct would sort the rows.
+    """
+    time = col(us).cast("decimal(19,0)") * F.lit("18446744073709551616").cast("decimal(20,0)")
+    tie = col(seq).cast("decimal(20,0)")
+    return ((time - tie) if latest_first else (time + tie)).cast("decimal(38,0)")
+
+
 def finite(c) -> Column:
     """NaN and infinities become null."""
     c = col(c).cast("double")
@@ -110,6 +121,13 @@ def segment_distance(px, py, x1, y1, x2, y2) -> Column:
     return F.hypot(px - (x1 + t * dx), py - (y1 + t * dy))
 
 
+def arc_angle(a, b) -> Column:
+    """Angle between two unit vectors (arrays of three), by half the chord: exact for small ones too."""
+    a, b = col(a), col(b)
+    chord = F.sqrt(sum((a[k] - b[k]) * (a[k] - b[k]) for k in range(3)))
+    return 2.0 * F.asin(F.least(chord / 2.0, F.lit(1.0)))
+
+
 def risk_hex(p) -> Column:
     """Green to red through yellow; both channels are cut to whole numbers."""
     p = clip(p, 0.0, 1.0)

@@ -106,11 +106,16 @@ def holdout_by_vessel(df: DataFrame, p: Params, holdout: DataFrame | None = None
     return join_vessels(df, held, p, "left_anti"), join_vessels(df, held, p, "left_semi"), held
 
 
+def _ties(df: DataFrame, p: Params) -> list[str]:
+    """What orders rows of one time: the vessel, then the input order where there is one."""
+    return [MMSI, p.seq_col] if p.seq_col in df.columns else [MMSI]
+
+
 def split_time_gap(df: DataFrame, p: Params, freq_minutes: int | None = None) -> DataFrame:
     """(fold, role, row_index, row): expanding positional train side, a gap in rows, a short block."""
     step = int(p.fold_gap_hours * 60 / (freq_minutes or p.bin_minutes))
     k = p.n_splits
-    indexed = global_row_index(df.withColumn("_t", micros()), "_t", [MMSI]).drop("_t")
+    indexed = global_row_index(df.withColumn("_t", micros()), "_t", _ties(df, p), p).drop("_t")
     n = df.agg(F.count(F.lit(1)).alias("n")).scalar()
     block = F.greatest(F.lit(SMALLEST_VALID_BLOCK), F.floor(n / (4 * k)))
     fold = F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
@@ -136,7 +141,7 @@ def vessel_first_seen(df: DataFrame) -> DataFrame:
 def first_seen_vessels(df: DataFrame, p: Params, usable_only: bool = True) -> DataFrame:
     """(fold, MMSI, role) by order of first appearance. All from the vessel table."""
     seen = vessel_first_seen(df)
-    ranked = global_row_index(seen, "first_us", [MMSI], "_r")
+    ranked = global_row_index(seen, "first_us", [MMSI], p, "_r")
     n = seen.agg(F.count(F.lit(1)).alias("n")).scalar()
     k, gap = p.n_splits, int(p.fold_gap_hours * HOUR_US)
     rows = ranked.withColumn("_n", n).withColumn(
@@ -174,7 +179,7 @@ def split_first_seen(df: DataFrame, p: Params, usable_only: bool = True) -> Data
 def split_positional(df: DataFrame, p: Params, ratio: float | None = None) -> DataFrame:
     """(part, row_index, row): the first share of rows in (time, vessel) order is 'head'."""
     ratio = p.train_ratio if ratio is None else ratio
-    indexed = global_row_index(df.withColumn("_t", micros()), "_t", [MMSI]).drop("_t")
+    indexed = global_row_index(df.withColumn("_t", micros()), "_t", _ties(df, p), p).drop("_t")
     n = df.agg(F.count(F.lit(1)).alias("n")).scalar()
     return indexed.withColumn("_cut", F.floor(n * F.lit(ratio))).select(
         F.when(F.col("row_index") < F.col("_cut"), "head").otherwise("tail").alias("part"),

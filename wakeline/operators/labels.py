@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from wakeline.functions.columns import MINUTE_US, micros
 from wakeline.operators.series import gap_to_next
-from wakeline.operators.slices import next_time
+from wakeline.operators.slices import by_track, next_time, without_layout
 from wakeline.params import MMSI, TARGET, Params
 
 # Thresholds in hours and the accepted positive-rate range of a relabelling.
@@ -40,11 +40,12 @@ def label_sliding(df: DataFrame, p: Params, bounded: bool = False) -> DataFrame:
 
     The last row of a vessel stays with label 0: what follows it is unknown.
     """
-    marked = mark_last_ping(df, p, "_is_last", bounded)
+    rows = df if bounded else by_track(df, p)  # both steps share one layout
+    marked = mark_last_ping(rows, p, "_is_last", bounded)
     ahead = next_time(marked, p, F.col("_is_last"), "_next_last", bounded)
     limit = int(p.label_horizon_minutes * MINUTE_US)
     hit = F.coalesce(F.col("_next_last") <= micros() + limit, F.lit(False))
-    return ahead.withColumn(TARGET, hit.cast("int")).drop("_is_last", "_next_last")
+    return without_layout(ahead.withColumn(TARGET, hit.cast("int")).drop("_is_last", "_next_last"))
 
 
 def label(df: DataFrame, p: Params, bounded: bool = False) -> DataFrame:

@@ -1,9 +1,9 @@
 """Distributed prefix sums, exact quantiles and ranks over a total order.
 
-No window here runs without partition keys over more than a fixed number of
-rows. Values are first reduced to one row for each distinct value, then cut
-into order buckets at approximate quantiles; offsets are summed over the small
-bucket table and added to sums inside each bucket.
+Values are first reduced to one row for each distinct value, then cut into even
+ranges of (key, value) by sampled splitters; sums inside a range are completed by
+offsets, which only the groups that a splitter cuts need: at most two rows for
+each range, summed apart and broadcast.
 """
 
 from __future__ import annotations
@@ -13,22 +13,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from wakeline.functions.columns import hash_order
+from wakeline.operators.ranges import RANGE, SPANS, placed, with_carry, with_range
 from wakeline.params import Params
-
-
-def _bucketed(table: DataFrame, value: str, measures: Sequence[str], n_buckets: int) -> DataFrame:
-    levels = [(i + 1) / n_buckets for i in range(n_buckets - 1)]
-    # naming the measures keeps their columns in this branch, so that it reads
-    # the same shuffle as the other users of the table instead of its own
-    present = F.lit(True)
-    for m in measures:
-        present = present & F.col(m).isNotNull()
-    cuts = table.agg(
-        F.percentile_approx(F.when(present, F.col(value)), levels, 10_000).alias("c")
-    ).scalar()
-    return table.withColumn("_cuts", cuts).withColumn(
-        "_bucket", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(value))), F.lit(0))
-    ).drop("_cuts")
+from wakeline.session import durable
 
 
 def cumulative(
@@ -37,34 +24,34 @@ def cumulative(
 ) -> DataFrame:
     """Add cum_<m> (inclusive) and total_<m> per key in the order of ``value``.
 
-    ``table`` holds one row for each distinct (keys, value).
+    ``table`` holds one row for each distinct (keys, value). Ranges are cut over (keys,
+    value), so every key gets its share of them and a key of any size is split. The table
+    is stored first: it is counted, sampled and read twice.
     """
-    keys = list(keys)
-    cut = _bucketed(table, value, measures, p.order_buckets)
-    sums = cut.groupBy(*keys, "_bucket").agg(*[F.sum(m).alias(m) for m in measures])
-    by_bucket = F.desc("_bucket") if descending else F.asc("_bucket")
-    # at most order_buckets rows for each key
-    group = Window.partitionBy(*(keys or [F.lit(0)]))
-    before = group.orderBy(by_bucket).rowsBetween(Window.unboundedPreceding, -1)
+    keys, table = list(keys), durable(table)
+    groups = keys or ["_all"]
+    work = table if keys else table.withColumn("_all", F.lit(0))
+    cut, parts = with_range(work, [*groups, value], p, len(groups))
+    inside = Window.partitionBy(RANGE, *groups)
+    past = inside.orderBy(F.desc(value) if descending else F.asc(value)).rowsBetween(Window.unboundedPreceding, 0)
+    out = placed(cut, parts)
+    for m in measures:
+        out = out.withColumns({f"cum_{m}": F.sum(m).over(past), f"total_{m}": F.sum(m).over(inside)})
+    group = Window.partitionBy(*groups)
+    before = group.orderBy(F.desc(RANGE) if descending else F.asc(RANGE)).rowsBetween(Window.unboundedPreceding, -1)
+    sums = cut.filter(SPANS).groupBy(*groups, RANGE).agg(*[F.sum(m).alias(f"_s_{m}") for m in measures])
     offsets = sums.select(
-        *keys, "_bucket",
-        *[F.coalesce(F.sum(m).over(before), F.lit(0)).alias(f"_off_{m}") for m in measures],
-        *[F.sum(m).over(group).alias(f"total_{m}") for m in measures],
-    )
-    if not keys:
-        offsets = F.broadcast(offsets)  # at most order_buckets rows
-    inside = (
-        Window.partitionBy(*keys, "_bucket")
-        .orderBy(F.desc(value) if descending else F.asc(value))
-        .rowsBetween(Window.unboundedPreceding, 0)
+        *groups, RANGE,
+        *[F.sum(f"_s_{m}").over(before).alias(f"_off_{m}") for m in measures],
+        *[F.sum(f"_s_{m}").over(group).alias(f"_whole_{m}") for m in measures],
     )
-    out = cut
+    out = with_carry(out, offsets, groups)
     for m in measures:
-        out = out.withColumn(f"cum_{m}", F.sum(m).over(inside))
-    out = out.join(offsets, keys + ["_bucket"])
-    for m in measures:
-        out = out.withColumn(f"cum_{m}", F.col(f"cum_{m}") + F.col(f"_off_{m}"))
-    return out.drop("_bucket", *[f"_off_{m}" for m in measures])
+        out = out.withColumns({
+            f"cum_{m}": F.col(f"cum_{m}") + F.coalesce(f"_off_{m}", F.lit(0)),
+            f"total_{m}": F.coalesce(f"_whole_{m}", f"total_{m}"),
+        })
+    return out.select(*table.columns, *[f"cum_{m}" for m in measures], *[f"total_{m}" for m in measures])
 
 
 def quantiles(
@@ -132,37 +119,21 @@ def hash_rank(ids: DataFrame, id_col: str, seed: int, rank: str = "rank", n: str
     )
 
 
-def global_row_index(df: DataFrame, us: str, ties: Sequence[str], name: str = "row_index") -> DataFrame:
+def global_row_index(
+    df: DataFrame, us: str, ties: Sequence[str], p: Params, name: str = "row_index"
+) -> DataFrame:
     """Number rows from 0 in the order of (us, ties) over the whole table.
 
-    Rows are cut into minutes. Offsets come from two small levels: minutes
-    inside a day and days, so no task sees more than one minute of rows.
+    Ranges are cut over (us, ties, a hash of the row), so rows of one time are split
+    like any others; a range's first number is the count of the ranges before it.
     """
-    cut = df.withColumn("_min", F.expr(f"(`{us}` - pmod(`{us}`, 60000000L)) div 60000000L"))
-    cut = cut.withColumn("_day", F.expr("(_min - pmod(_min, 1440L)) div 1440L"))
-    minutes = cut.groupBy("_day", "_min").agg(F.count(F.lit(1)).alias("_size"))
-    days = minutes.groupBy("_day").agg(F.sum("_size").alias("_dsize"))
-    past = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    day_off = days.select(
-        "_day",
-        F.coalesce(
-            F.sum("_dsize").over(past(Window.partitionBy(F.lit(0)).orderBy("_day"))), F.lit(0)
-        ).alias("_doff"),
-    )
-    offsets = (
-        minutes.withColumn(
-            "_moff",
-            F.coalesce(
-                F.sum("_size").over(past(Window.partitionBy("_day").orderBy("_min"))), F.lit(0)
-            ),
-        )
-        .join(day_off, "_day")
-        .select("_min", (F.col("_moff") + F.col("_doff")).alias("_off"))
-    )
-    inside = Window.partitionBy("_min").orderBy(us, *ties)
-    return (
-        cut.withColumn("_rn", F.row_number().over(inside))
-        .join(offsets, "_min")
-        .withColumn(name, (F.col("_rn") - 1 + F.col("_off")).cast("bigint"))
-        .select(*df.columns, name)
+    keys = [us, *ties, "_tie"]
+    cut, parts = with_range(df.withColumn("_tie", F.xxhash64(*df.columns)), keys, p)
+    past = Window.partitionBy(F.lit(0)).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    # one row for each range
+    offsets = cut.groupBy(RANGE).agg(F.count(F.lit(1)).alias("_size")).select(
+        RANGE, F.coalesce(F.sum("_size").over(past), F.lit(0)).alias("_off")
     )
+    inside = Window.partitionBy(RANGE).orderBy(*keys)
+    numbered = with_carry(placed(cut, parts).withColumn("_rn", F.row_number().over(inside)), offsets, [])
+    return numbered.withColumn(name, (F.col("_rn") - 1 + F.col("_off")).cast("bigint")).select(*df.columns, name)

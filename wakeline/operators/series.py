@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from wakeline.functions.columns import (
-    GAP_BUCKETS, HOUR_US, MINUTE_US, bin_start, clip, gap_bucket, micros, risk_hex, safe_ratio,
-    wrap_course,
+    GAP_BUCKETS, HOUR_US, MINUTE_US, bin_start, clip, gap_bucket, micros, risk_hex, row_order,
+    safe_ratio, wrap_course,
 )
 from wakeline.operators.clean import bbox_filter, inside_box
 from wakeline.operators.slices import neighbours, positions
@@ -23,11 +23,9 @@ def downsample_last(
 ) -> DataFrame:
     """Last non-null value of every column for each vessel and fixed bin.
 
-    Rows are brought together by (vessel, bin) once. Two hash aggregates follow
-    behind that one exchange: by time stamp, the first or last in input order, and
-    by bin, the last time stamp. Both orders are bigints of any size; a struct order
-    would sort all raw rows. Without an input order one aggregate with map-side
-    combine does. Bins are counted from the epoch, which equals counting from
+    One hash aggregate with map-side combine: time and input order are one exact decimal,
+    so raw rows are neither sorted nor shuffled and a hot bin is combined before the
+    exchange. Bins are counted from the epoch, which equals counting from
     midnight as the width divides a day. ``bin_label='end'`` stamps a row with a
     time no earlier than its data.
 
@@ -38,23 +36,17 @@ def downsample_last(
     us = micros(TIMESTAMP)
     start = bin_start(us, p.bin_us)
     stamp = start if p.bin_label == "start" else start + p.bin_us
-    work = df.select(
-        MMSI, stamp.alias("_bin"), us.alias("_order"), *cols,
-        *([F.col(p.seq_col).cast("bigint").alias("_seq")] if p.seq_col in df.columns else []),
-    )
-    if p.seq_col in df.columns:
-        pick = F.min_by if first_of_equal else F.max_by
-        work = work.repartition(MMSI, "_bin").groupBy(MMSI, "_bin", "_order").agg(
-            *[pick(c, F.when(F.col(c).isNotNull(), F.col("_seq"))).alias(c) for c in cols]
-        )
-    if p.seq_col not in df.columns and first_of_equal:
+    ordered = p.seq_col in df.columns
+    if not ordered and first_of_equal:
         # no input order: the largest of equal rows, as dedup_first does
-        return work.groupBy(MMSI, "_bin").agg(
-            F.max(F.struct("_order", *[c for c in df.columns if c in cols])).alias("_row")
+        return df.groupBy(MMSI, stamp.alias("_bin")).agg(
+            F.max(F.struct(us.alias("_order"), *[c for c in df.columns if c in cols])).alias("_row")
         ).select(
             MMSI, F.timestamp_micros("_bin").alias(TIMESTAMP),
             *[F.col(f"_row.{c}").alias(c) for c in cols],
         )
+    order = row_order(us, p.seq_col, first_of_equal) if ordered else us
+    work = df.select(MMSI, stamp.alias("_bin"), order.alias("_order"), *cols)
     return (
         work.groupBy(MMSI, "_bin")
         .agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_order"))).alias(c) for c in cols])
@@ -162,7 +154,7 @@ def last_position(df: DataFrame, p: Params, score: str | None = REGIME) -> DataF
     """Last known value of each column for each vessel; map-side combined."""
     cols = [c for c in df.columns if c not in (MMSI, TIMESTAMP, p.seq_col)]
     at = micros()
-    order = F.struct(at, F.col(p.seq_col)) if p.seq_col in df.columns else F.struct(at)
+    order = row_order(at, p.seq_col) if p.seq_col in df.columns else at
     need = [c for c in ("Lat", "Lon", score) if c]
     return (
         df.groupBy(MMSI)

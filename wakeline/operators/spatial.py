@@ -1,10 +1,18 @@
 """Distance of pings from geometry layers, exact, without pairing all with all.
 
-A ping only needs the edges near its own grid cell. Occupied cells descend a
-grid pyramid: a child cell keeps those of its parent's edges that can still be
-nearest to some point in it, i.e. whose distance from the cell centre is at most
-the smallest such distance plus the cell's diagonal. Work grows with occupied
-cells and their few edges, and each ping then meets one short edge list.
+Cells that hold pings and cells that hold edges descend a grid pyramid together, by
+factors of four. At each level a pair of cells is kept if the least distance of their
+boxes is not above the largest distance of the ping cell to the box of some edge cell:
+only then can the nearest edge lie there. Tests are on box corners, so a level costs a
+few comparisons for each pair, a ping cell keeps the edge cells of a thin ring, and edges
+themselves are joined at the leaves only, each ping then meeting one short list.
+
+An edge is listed in the leaf cells along it: it is cut into pieces no longer than a
+cell, each in the cell of its middle, and edge boxes are half a cell larger than the grid.
+
+Two metrics share the descent. The planar one measures in the Mercator plane. The
+great-circle one measures along the sphere: its cells are cubes that the sphere passes,
+and the straight line through the sphere bounds the way along it.
 """
 
 from __future__ import annotations
@@ -13,15 +21,19 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from wakeline.functions.columns import METRES_PER_NM, mercator_x, mercator_y, segment_distance
+from wakeline.functions.columns import METRES_PER_NM, arc_angle, mercator_x, mercator_y, segment_distance
 from wakeline.params import Params
+from wakeline.session import durable
 
-# Cell widths of the pyramid as powers of two, in Mercator metres: 4194 km to 4 km.
-LEVELS = (22, 18, 15, 12)
-LEAF = LEVELS[-1]
-# Levels with a proven small number of cells (at most 100 and 23409 on the globe).
-SMALL_LEVELS = (22, 18)
+# Cell widths of the pyramid as powers of two, in metres: 4194 km to 4 km.
+LEVELS = (22, 20, 18, 16, 14, 12)
+TOP, LEAF = LEVELS[0], LEVELS[-1]
+# Levels with a proven small number of cells: at most 23409 in the plane and 40000 about the sphere.
+SMALL_LEVELS = (22, 20, 18)
 EDGE = ("x1", "y1", "x2", "y2")
+PLANE, SPHERE = ("i", "j"), ("i", "j", "k")
+# Fixed value: mean radius of the earth in metres.
+EARTH_M = 6_371_008.8
 
 
 def web_mercator(df: DataFrame, x: str = "x_m", y: str = "y_m") -> DataFrame:
@@ -36,52 +48,103 @@ def project_edges(edges: DataFrame) -> DataFrame:
     )
 
 
-def _cell(x: Column, y: Column, level: int) -> Column:
+def unit_vector(lon, lat) -> Column:
+    """Direction from the middle of the earth as an array of three."""
+    lon, lat = (F.radians(F.col(c) if isinstance(c, str) else c) for c in (lon, lat))
+    return F.array(F.cos(lat) * F.cos(lon), F.cos(lat) * F.sin(lon), F.sin(lat))
+
+
+def _cell(point: list[Column], axes: tuple[str, ...], level: int = LEAF) -> Column:
     size = float(1 << level)
-    return F.struct(F.floor(x / size).alias("i"), F.floor(y / size).alias("j"))
+    return F.struct(*[F.floor(x / size).alias(a) for x, a in zip(point, axes)])
 
 
-def _parent(cell: str, steps: int) -> Column:
-    return F.struct(
-        F.shiftright(F.col(f"{cell}.i"), steps).alias("i"), F.shiftright(F.col(f"{cell}.j"), steps).alias("j")
-    )
+def _parent(cell: str, axes: tuple[str, ...], steps: int) -> Column:
+    return F.struct(*[F.shiftright(F.col(f"{cell}.{a}"), steps).alias(a) for a in axes])
 
 
-def _centre(cell: str, level: int) -> tuple[Column, Column]:
-    size = float(1 << level)
+def _centre(cell: str) -> tuple[Column, Column]:
+    size = float(1 << LEAF)
     return (F.col(f"{cell}.i") + 0.5) * size, (F.col(f"{cell}.j") + 0.5) * size
 
 
-def leaf_candidates(leaves: DataFrame, edges: DataFrame, p: Params) -> DataFrame:
-    """(cell, geom_id, edge) for occupied leaf cells: every edge that can be nearest inside."""
-    cells = {lv: leaves.select(_parent("cell", lv - LEAF).alias("cell")).distinct() for lv in LEVELS[:-1]}
-    cells[LEAF] = leaves
+def _pieces(edges: DataFrame, length: Column) -> DataFrame:
+    """Edges once for each piece, with the place ``_t`` of its middle from 0 to 1."""
+    n = F.greatest(F.ceil(length / float(1 << LEAF)), F.lit(1)).cast("bigint")
+    return edges.withColumn("_n", n).withColumn("_s", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1))).withColumn(
+        "_t", (F.col("_s") + 0.5) / F.col("_n")).drop("_s", "_n")
+
+
+def planar_pieces(flat: DataFrame) -> DataFrame:
+    """(edge, other): leaf cells along each edge of the plane."""
+    cut = _pieces(flat, F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")))
+    middle = [F.col(a) + F.col("_t") * (F.col(b) - F.col(a)) for a, b in (("x1", "x2"), ("y1", "y2"))]
+    return cut.withColumn("other", _cell(middle, PLANE)).drop("_t")
+
+
+def arc_pieces(edges: DataFrame) -> DataFrame:
+    """(edge with unit vectors a and b, other): leaf cells along each great-circle arc."""
+    ends = edges.select("geom_id", unit_vector("x1", "y1").alias("a"), unit_vector("x2", "y2").alias("b"))
+    ends = ends.withColumn("_w", arc_angle("a", "b"))
+    cut = _pieces(ends, F.col("_w") * EARTH_M)
+    low = F.coalesce(F.try_divide(F.sin((1 - F.col("_t")) * F.col("_w")), F.sin("_w")), 1 - F.col("_t"))
+    high = F.coalesce(F.try_divide(F.sin(F.col("_t") * F.col("_w")), F.sin("_w")), F.col("_t"))
+    middle = [(low * F.col("a")[k] + high * F.col("b")[k]) * EARTH_M for k in range(3)]
+    return cut.withColumn("other", _cell(middle, SPHERE)).drop("_t", "_w")
+
+
+def descend(cells: DataFrame, others: DataFrame, axes: tuple[str, ...], levels: tuple[int, ...] = LEVELS) -> DataFrame:
+    """(cell, other): for each leaf cell the edge cells that can hold the nearest edge of some point in it.
+
+    A ping cell's pairs at a level are the edge cells of a ring about as wide as a cell,
+    so a window over the cell has a short list to sort.
+    """
     found, above = None, None
-    for level in LEVELS:
-        diagonal = math.sqrt(2.0) * (1 << level)
+    for level in levels:
+        here = cells.select(_parent("cell", axes, level - LEAF).alias("cell")).distinct()
+        there = others.select(_parent("other", axes, level - LEAF).alias("other")).distinct()
         if found is None:
             # at most 100 cells cover the globe at this level
-            top = cells[level].agg(F.collect_list("cell").alias("c")).scalar()
-            pairs = edges.withColumn("cell", F.explode(top))
+            top = there.agg(F.collect_list("other").alias("o")).scalar()
+            pairs = here.withColumn("_o", top).select("cell", F.explode("_o").alias("other"))
         else:
-            children = cells[level].withColumn("parent", _parent("cell", above - level))
+            steps = above - level
+            here = here.withColumn("_up", _parent("cell", axes, steps))
+            there = there.withColumn("_by", _parent("other", axes, steps))
             if level in SMALL_LEVELS:
-                children = F.broadcast(children)
-            pairs = found.withColumnRenamed("cell", "parent").join(children, "parent").drop("parent")
-        cx, cy = _centre("cell", level)
-        pairs = pairs.withColumn("_d", segment_distance(cx, cy, *EDGE))
-        # a salted minimum is only ever too large, so it keeps at least what is needed
-        salt = F.pmod(F.xxhash64(*EDGE), F.lit(p.salts if level in SMALL_LEVELS else 1))
-        nearest = F.min("_d").over(Window.partitionBy("cell", "_salt"))
-        found = (
-            pairs.withColumn("_salt", salt).withColumn("_near", nearest)
-            .filter(F.col("_d") <= F.col("_near") + diagonal)
-            .select("cell", "geom_id", *EDGE)
-        )
+                here, there = F.broadcast(here), F.broadcast(there)
+            up = found.select(F.col("cell").alias("_up"), F.col("other").alias("_by"))
+            pairs = up.join(here, "_up").join(there, "_by").select("cell", "other")
+        size, margin = float(1 << level), float(1 << LEAF) / 2
+        apart = [F.abs(F.col(f"cell.{a}") - F.col(f"other.{a}")) for a in axes]
+        near = sum(F.pow(F.greatest((n - 1) * size - margin, F.lit(0.0)), 2) for n in apart)
+        far = sum(F.pow((n + 1) * size, 2) for n in apart)
+        reach = F.min(far).over(Window.partitionBy("cell"))
+        found = pairs.withColumn("_reach", reach).filter(near <= F.col("_reach")).select("cell", "other")
         above = level
     return found
 
 
+def near_edges(leaves: DataFrame, pieces: DataFrame, axes: tuple[str, ...]) -> DataFrame:
+    """(cell, edge): for occupied leaf cells every edge that can be nearest inside.
+
+    The pieces are stored first, as the leaves should be: every level reads both.
+    """
+    pieces = durable(pieces)
+    others = durable(pieces.select("other").distinct())
+    kept = [c for c in pieces.columns if c != "other"]
+    return descend(leaves, others, axes).join(pieces, "other").select("cell", *kept).distinct()
+
+
+def nearest_planar(leaves: DataFrame, flat: DataFrame) -> DataFrame:
+    """near_edges() of the plane, cut once more by the edges' own distances from the cell's centre."""
+    found = near_edges(leaves, planar_pieces(flat), PLANE)
+    cx, cy = _centre("cell")
+    found = found.withColumn("_d", segment_distance(cx, cy, *EDGE))
+    reach = F.min("_d").over(Window.partitionBy("cell")) + math.sqrt(2.0) * (1 << LEAF)
+    return found.withColumn("_reach", reach).filter("_d <= _reach").drop("_d", "_reach")
+
+
 def covered_cells(edges: DataFrame) -> DataFrame:
     """(cell, geom_id): leaf cells whose centre lies inside a geometry.
 
@@ -105,76 +168,167 @@ def covered_cells(edges: DataFrame) -> DataFrame:
     ).select(F.struct("i", "j").alias("cell"), "geom_id")
 
 
+def edges_by_cell(flat: DataFrame) -> DataFrame:
+    """(cell, edge): every leaf cell that an edge may pass, by the box of each piece.
+
+    Edges that a geometry holds twice cancel out in the even-odd rule and are left out.
+    """
+    odd = flat.groupBy("geom_id", *EDGE).agg(F.count(F.lit(1)).alias("n")).filter("n % 2 = 1").drop("n")
+    cut = planar_pieces(odd)
+    i, j = (F.explode(F.sequence(F.col(f"other.{a}") - 1, F.col(f"other.{a}") + 1)) for a in PLANE)
+    wide = cut.withColumn("_i", i).withColumn("_j", j)
+    size = float(1 << LEAF)
+    # a piece lies within half a cell of its middle, so within the nine cells about it; keep those its edge's box meets
+    meets = lambda c, a, b: (F.greatest(a, b) >= F.col(c) * size) & (F.least(a, b) <= (F.col(c) + 1) * size)
+    wide = wide.filter(meets("_i", F.col("x1"), F.col("x2")) & meets("_j", F.col("y1"), F.col("y2")))
+    return wide.select(
+        F.struct(F.col("_i").alias("i"), F.col("_j").alias("j")).alias("cell"), "geom_id", *EDGE
+    ).distinct()
+
+
 def _side(ax, ay, bx, by, px, py) -> Column:
     return (bx - ax) * (py - ay) - (by - ay) * (px - ax) > 0
 
 
+def _placed(df: DataFrame) -> DataFrame:
+    """Rows with their place and leaf cell in the plane; none where a coordinate is null."""
+    rows = df.withColumns({"_px": mercator_x("Lon"), "_py": mercator_y("Lat")})
+    known = F.col("_px").isNotNull() & F.col("_py").isNotNull()
+    return rows.withColumn("cell", F.when(known, _cell([F.col("_px"), F.col("_py")], PLANE)))
+
+
+def _meet(rows: DataFrame, lists: DataFrame, p: Params) -> DataFrame:
+    """Rows with the lists of their cell, joined on (cell, salt): a harbour with a
+    third of all pings is spread over ``salts`` tasks."""
+    spread = lists.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(p.salts - 1))))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("Lon", "Lat"), F.lit(p.salts)).cast("int"))
+    return salted.join(spread, ["cell", "_salt"], "left").drop("_salt")
+
+
+def _leaves(rows: DataFrame) -> DataFrame:
+    return rows.filter(F.col("cell").isNotNull()).select("cell").distinct()
+
+
+def _inside_lists(leaves: DataFrame, flat: DataFrame) -> DataFrame:
+    """(cell, _pass, _in): edges that pass a leaf cell and geometries that hold its centre."""
+    passing = leaves.join(edges_by_cell(flat), "cell").groupBy("cell").agg(
+        F.collect_list(F.struct("geom_id", *EDGE)).alias("_pass"))
+    inside = leaves.join(covered_cells(flat), "cell").groupBy("cell").agg(F.collect_set("geom_id").alias("_in"))
+    return passing.join(inside, "cell", "full")
+
+
+def _within(px: Column, py: Column) -> Column:
+    """Whether a ping lies inside a geometry: those of the cell's centre, changed by the edges on the way."""
+    cx, cy = _centre("cell")
+    crossed = F.transform(
+        F.filter(
+            "_pass",
+            lambda e: (
+                _side(px, py, cx, cy, e["x1"], e["y1"]) != _side(px, py, cx, cy, e["x2"], e["y2"])
+            ) & (
+                _side(e["x1"], e["y1"], e["x2"], e["y2"], px, py)
+                != _side(e["x1"], e["y1"], e["x2"], e["y2"], cx, cy)
+            ),
+        ),
+        lambda e: e["geom_id"],
+    )
+    none = F.array().cast("array<bigint>")
+    crossed, held = F.coalesce(crossed.cast("array<bigint>"), none), F.coalesce(F.col("_in").cast("array<bigint>"), none)
+    odd = F.filter(F.array_distinct(crossed), lambda g: F.size(F.filter(crossed, lambda h: h == g)) % 2 == 1)
+    return (F.size(F.array_except(held, odd)) > 0) | (F.size(F.array_except(odd, held)) > 0)
+
+
 def distance_nm(
-    df: DataFrame, edges: DataFrame, out: str, p: Params, polygons: bool = True
+    df: DataFrame, edges: DataFrame, out: str, p: Params, polygons: bool = True, metric: str = "planar"
 ) -> DataFrame:
-    """Add the planar Mercator distance to the layer in nautical miles; 0 inside polygons.
+    """Add the distance to the layer in nautical miles; 0 inside polygons, null without coordinates or edges.
 
-    Edge lists of leaf cells are joined on (cell, salt), so a harbour with a
-    third of all pings is spread over ``salts`` tasks.
+    ``metric`` is "planar", the Mercator plane, or "haversine", along the sphere to the
+    great-circle arcs of the edges. Polygons' insides are those of the Mercator plane.
     """
+    if metric not in ("planar", "haversine"):
+        raise ValueError(f"unknown metric {metric!r}; expected 'planar' or 'haversine'")
+    rows = _placed(df)
     flat = project_edges(edges)
-    rows = df.withColumns({"_px": mercator_x("Lon"), "_py": mercator_y("Lat")}).withColumn(
-        "cell", F.when(F.col("_px").isNotNull() & F.col("_py").isNotNull(), _cell(F.col("_px"), F.col("_py"), LEAF))
-    )
-    leaves = rows.filter(F.col("cell").isNotNull()).select("cell").distinct()
-    lists = leaf_candidates(leaves, flat, p).groupBy("cell").agg(
-        F.collect_list(F.struct("geom_id", *EDGE)).alias("_edges")
-    )
-    if polygons:
-        inside = leaves.join(covered_cells(flat), "cell").groupBy("cell").agg(
-            F.collect_set("geom_id").alias("_in")
+    leaves = durable(_leaves(rows))
+    if metric == "planar":
+        lists = nearest_planar(leaves, flat).groupBy("cell").agg(F.collect_list(F.struct(*EDGE)).alias("_edges"))
+        if polygons:
+            lists = lists.join(_inside_lists(leaves, flat), "cell", "left")
+        met = _meet(rows, lists, p)
+        px, py = F.col("_px"), F.col("_py")
+        metres = F.aggregate(
+            "_edges", F.lit(float("inf")),
+            lambda best, e: F.least(best, segment_distance(px, py, e["x1"], e["y1"], e["x2"], e["y2"])),
         )
-        lists = lists.join(inside, "cell", "left")
-    lists = lists.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(p.salts - 1))))
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("_px", "_py"), F.lit(p.salts)).cast("int"))
-    met = salted.join(lists, ["cell", "_salt"], "left")
-    px, py = F.col("_px"), F.col("_py")
-    metres = F.aggregate(
-        "_edges", F.lit(float("inf")),
-        lambda best, e: F.least(best, segment_distance(px, py, e["x1"], e["y1"], e["x2"], e["y2"])),
-    )
+    else:
+        met = _meet(rows, _inside_lists(leaves, flat), p) if polygons else rows
+        if polygons:  # the cell of the plane has done its work
+            met = met.withColumn("_held", _within(F.col("_px"), F.col("_py"))).drop("_pass", "_in")
+        met = met.withColumn("_u", F.when(F.col("cell").isNotNull(), unit_vector("Lon", "Lat")))
+        met = met.withColumn("cell", F.when(
+            F.col("_u").isNotNull(), _cell([F.col("_u")[k] * EARTH_M for k in range(3)], SPHERE)))
+        arcs = nearest_arcs(durable(_leaves(met)), edges)
+        met = _meet(met, arcs.groupBy("cell").agg(F.collect_list(F.struct("a", "b", "n", "s", "e")).alias("_edges")), p)
+        metres = EARTH_M * F.aggregate(
+            "_edges", F.lit(float("inf")), lambda best, e: F.least(best, _arc_distance(F.col("_u"), lambda c: e[c])))
     if polygons:
-        cx, cy = _centre("cell", LEAF)
-        # geometries crossed on the way from the ping to the cell centre
-        crossed = F.transform(
-            F.filter(
-                "_edges",
-                lambda e: (
-                    _side(px, py, cx, cy, e["x1"], e["y1"]) != _side(px, py, cx, cy, e["x2"], e["y2"])
-                ) & (
-                    _side(e["x1"], e["y1"], e["x2"], e["y2"], px, py)
-                    != _side(e["x1"], e["y1"], e["x2"], e["y2"], cx, cy)
-                ),
-            ),
-            lambda e: e["geom_id"],
-        )
-        met = met.withColumn("_crossed", crossed).withColumn(
-            "_in", F.coalesce("_in", F.array().cast("array<bigint>"))
-        )
-        odd = F.filter(
-            F.array_distinct("_crossed"),
-            lambda g: F.size(F.filter("_crossed", lambda h: h == g)) % 2 == 1,
-        )
-        within = (F.size(F.array_except("_in", odd)) > 0) | (F.size(F.array_except(odd, "_in")) > 0)
+        within = _within(F.col("_px"), F.col("_py")) if metric == "planar" else F.col("_held")
         metres = F.when(within, 0.0).otherwise(metres)
     return met.withColumn(
         out, F.when(F.col("_edges").isNotNull(), metres / METRES_PER_NM)
     ).select(*[c for c in df.columns if c != out], out)
 
 
+def _cross(a: Column, b: Column) -> Column:
+    return F.array(a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0])
+
+
+def _dot(a: Column, b: Column) -> Column:
+    return sum(a[k] * b[k] for k in range(3))
+
+
+def _with_normals(arcs: DataFrame) -> DataFrame:
+    """Add the unit normal ``n`` of each arc's plane and the directions ``s``, ``e`` in which its two ends open."""
+    a, b, n = F.col("a"), F.col("b"), F.col("n")
+    out = arcs.withColumn("n", _cross(a, b)).withColumn("_l", F.sqrt(_dot(n, n)))
+    unit = F.when(F.col("_l") > 1e-15, F.transform("n", lambda x: x / F.col("_l")))  # null: a point
+    return out.withColumn("n", unit).withColumns({"s": _cross(n, a), "e": _cross(b, n)}).drop("_l")
+
+
+def _arc_distance(u: Column, arc) -> Column:
+    """Angle between a point and the nearest point of the shorter arc from a to b."""
+    beside = F.coalesce((_dot(arc("s"), u) >= 0) & (_dot(arc("e"), u) >= 0), F.lit(False))
+    across = F.asin(F.least(F.abs(_dot(arc("n"), u)), F.lit(1.0)))
+    return F.when(beside, across).otherwise(F.least(arc_angle(u, arc("a")), arc_angle(u, arc("b"))))
+
+
+def nearest_arcs(leaves: DataFrame, edges: DataFrame) -> DataFrame:
+    """near_edges() about the sphere, cut once more by the arcs' own distances from the cell.
+
+    The sphere's point above a cell's centre is within a cell's diagonal of every point
+    of the sphere in it.
+    """
+    size = float(1 << LEAF)
+    arc = ("a", "b", "n", "s", "e")
+    found = near_edges(leaves, _with_normals(arc_pieces(edges)), SPHERE)
+    centre = F.array(*[(F.col(f"cell.{x}") + 0.5) * size for x in SPHERE])
+    found = found.withColumn("_g", centre).withColumn("_h", F.sqrt(_dot(F.col("_g"), F.col("_g"))))
+    found = found.withColumn("_g", F.transform("_g", lambda x: x / F.col("_h")))
+    found = found.withColumn("_d", _arc_distance(F.col("_g"), F.col))
+    span = 2.0 * math.asin(math.sqrt(3.0) * size / 2.0 / EARTH_M) * (1 + 1e-9)
+    reach = F.min("_d").over(Window.partitionBy("cell")) + 2.0 * span
+    return found.withColumn("_reach", reach).filter("_d <= _reach").select("cell", *arc)
+
+
 def spatial_features(
     df: DataFrame, p: Params, coast: DataFrame, fishing: DataFrame | None = None,
-    routes: DataFrame | None = None,
+    routes: DataFrame | None = None, metric: str = "planar",
 ) -> DataFrame:
     """Distances to coast, fishing zones and routes; a missing layer adds no column."""
-    out = distance_nm(df, coast, "dist_coast_nm", p)
+    out = distance_nm(df, coast, "dist_coast_nm", p, metric=metric)
     if fishing is not None:
-        out = distance_nm(out, fishing, "dist_fishing_zone_nm", p)
+        out = distance_nm(out, fishing, "dist_fishing_zone_nm", p, metric=metric)
     if routes is not None:
-        out = distance_nm(out, routes, "dist_commercial_route_nm", p, polygons=False)
+        out = distance_nm(out, routes, "dist_commercial_route_nm", p, polygons=False, metric=metric)
     return out

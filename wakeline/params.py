@@ -67,8 +67,7 @@ class Params:
     # audit
     n_controls: int = 5
     # physical layout
-    slice_hours: int = 168
-    order_buckets: int = 64
+    range_rows: int = 250_000  # a table is cut into ranges of about so many rows, or as many as shuffle partitions
     salts: int = 16
     path_points: int = 10_000
     broadcast_rows: int = 200_000
@@ -81,16 +80,12 @@ class Params:
             raise ValueError("bin_minutes must be a positive divisor of 1440")
         if self.bin_label not in ("start", "end"):
             raise ValueError("bin_label must be 'start' or 'end'")
-        if self.slice_hours <= 0:
-            raise ValueError("slice_hours must be positive")
+        if self.range_rows <= 0:
+            raise ValueError("range_rows must be positive")
 
     @property
     def bin_us(self) -> int:
         return self.bin_minutes * 60_000_000
 
-    @property
-    def slice_us(self) -> int:
-        return self.slice_hours * 3_600_000_000
-
     def as_dict(self) -> dict:
         return asdict(self)

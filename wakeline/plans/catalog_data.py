@@ -83,9 +83,14 @@ edges as (
 
 
 @query("edges_from_geojson", with_ctes(RINGS_SQL) + """
-select geom_id, round(x1, 6) as x1, round(y1, 6) as y1, round(x2, 6) as x2, round(y2, 6) as y2 from edges""")
+select 'land' as layer, 0 as ring, round(x1, 6) as x1, round(y1, 6) as y1, round(x2, 6) as x2, round(y2, 6) as y2 from edges""")
 def edges_from_geojson(spark, folder):
-    return rounded(inputs.coast_edges(spark, folder).select("geom_id", "x1", "y1", "x2", "y2"))
+    """Rings written as one GeoJSON feature for each line, then read and parsed."""
+    path = shared_folder(spark, "geojson")
+    ring = F.struct(F.lit("Polygon").alias("type"), F.array("pts").alias("coordinates"))
+    feature = F.to_json(F.struct(F.lit("Feature").alias("type"), ring.alias("geometry")))
+    inputs.coast_rings(spark, folder).select(feature.alias("value")).write.text(path)
+    return rounded(sources.read_geojson(spark, path, "land", by_line=True).select("layer", "ring", "x1", "y1", "x2", "y2"))
 
 
 # ----------------------------------------------------------------- cleaning

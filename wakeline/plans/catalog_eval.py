@@ -120,7 +120,7 @@ def selection_changes(spark, folder):
 select ping_seq, row_number() over (order by us, MMSI) - 1 as row_index from pings""")
 def row_index(spark, folder):
     rows = inputs.event_pings(spark, folder).withColumn("us", micros())
-    return global_row_index(rows, "us", [MMSI]).select("ping_seq", "row_index")
+    return global_row_index(rows, "us", [MMSI], SPARSE).select("ping_seq", "row_index")
 
 
 @query("exact_quantiles", with_ctes(PINGS) + """

@@ -70,19 +70,45 @@ routes as (select a.geom_id, a.x1, a.y1, b.x1 as x2, b.y1 as y2 from (select geo
   join (select geom_id - 1 as geom_id, x as x1, y as y1 from tri) b using (geom_id))"""
 
 
-@query("dist_commercial_route_nm", with_ctes(PINGS, RINGS_SQL, ROUTES, MERCATOR.format(src="pings"), EDGES_M.format(edges="routes"), DISTANCE) + """
-select ping_seq, round(min(d) / 1852.0::DOUBLE, 5) as dist_commercial_route_nm from pg group by 1""")
-def dist_route(spark, folder):
-    # a route leads from each triangle's first corner to that of the next one
+def _routes(spark, folder):
+    """A route leads from each triangle's first corner to that of the next one."""
     corner = inputs.coast_rings(spark, folder).select("geom_id", F.col("pts")[0].alias("a"))
     after = corner.select((F.col("geom_id") - 1).alias("geom_id"), F.col("a").alias("b"))
-    routes = corner.join(after, "geom_id").select(
+    return corner.join(after, "geom_id").select(
         "geom_id", F.col("a")[0].alias("x1"), F.col("a")[1].alias("y1"), F.col("b")[0].alias("x2"), F.col("b")[1].alias("y2")
     )
-    out = spatial.distance_nm(inputs.event_pings(spark, folder), routes, "dist_commercial_route_nm", SPARSE, polygons=False)
+
+
+@query("dist_commercial_route_nm", with_ctes(PINGS, RINGS_SQL, ROUTES, MERCATOR.format(src="pings"), EDGES_M.format(edges="routes"), DISTANCE) + """
+select ping_seq, round(min(d) / 1852.0::DOUBLE, 5) as dist_commercial_route_nm from pg group by 1""")
+def dist_route(spark, folder):
+    rows = inputs.event_pings(spark, folder)
+    out = spatial.distance_nm(rows, _routes(spark, folder), "dist_commercial_route_nm", SPARSE, polygons=False)
     return rounded(out.select("ping_seq", "dist_commercial_route_nm"), 5)
 
 
+UNIT = "cos(radians({y})) * cos(radians({x})) as {n}x, cos(radians({y})) * sin(radians({x})) as {n}y, sin(radians({y})) as {n}z"
+ARCS = f"""
+arcs as (select {UNIT.format(x='x1', y='y1', n='a')}, {UNIT.format(x='x2', y='y2', n='e')} from routes),
+nn as (select *, ay * ez - az * ey as nx, az * ex - ax * ez as ny, ax * ey - ay * ex as nz from arcs),
+pp as (select ping_seq, {UNIT.format(x='Lon', y='Lat', n='p')} from pings),
+reach as (
+  select ping_seq, sqrt(nx * nx + ny * ny + nz * nz) as n, abs(nx * px + ny * py + nz * pz) as aside,
+    (ny * az - nz * ay) * px + (nz * ax - nx * az) * py + (nx * ay - ny * ax) * pz as after_a,
+    (ey * nz - ez * ny) * px + (ez * nx - ex * nz) * py + (ex * ny - ey * nx) * pz as before_b,
+    least(sqrt((px - ax) ** 2 + (py - ay) ** 2 + (pz - az) ** 2), sqrt((px - ex) ** 2 + (py - ey) ** 2 + (pz - ez) ** 2)) as chord
+  from pp, nn)"""
+
+
+@query("dist_route_great_circle_nm", with_ctes(PINGS, RINGS_SQL, ROUTES, ARCS) + """
+select ping_seq, round(min(case when after_a >= 0 and before_b >= 0 then asin(least(aside / n, 1.0::DOUBLE))
+  else 2 * asin(least(chord / 2, 1.0::DOUBLE)) end) * 6371008.8::DOUBLE / 1852.0::DOUBLE, 5) as dist_nm from reach group by 1""")
+def dist_route_great_circle(spark, folder):
+    rows = inputs.event_pings(spark, folder)
+    out = spatial.distance_nm(rows, _routes(spark, folder), "dist_nm", SPARSE, polygons=False, metric="haversine")
+    return rounded(out.select("ping_seq", "dist_nm"), 5)
+
+
 # ------------------------------------------------------------------ training
 
 ROUNDS = 5
