@@ -92,3 +92,72 @@ def test_fbeta_grid_edges(spark):
     for i in (0, 4, 5, 6, 199):
         tp = int(0.01 + 5 * step >= grid[i]) + 1
         assert rows[i] == pytest.approx(5 * tp / (5 * tp + 4 * (2 - tp)))
+
+
+def weighted(y, s, w, metric):
+    """A metric of weighted rows, ties as one group."""
+    order = np.unique(s)[::-1]
+    pos = np.array([w[(s == v) & (y == 1)].sum() for v in order], float)
+    neg = np.array([w[(s == v) & (y == 0)].sum() for v in order], float)
+    tp, fp = pos.cumsum(), neg.cumsum()
+    if not tp[-1] or not fp[-1]:
+        return np.nan
+    if metric == "roc_auc":
+        return (neg * (tp - pos / 2)).sum() / (tp[-1] * fp[-1])
+    return (pos[tp + fp > 0] / tp[-1] * tp[tp + fp > 0] / (tp + fp)[tp + fp > 0]).sum()
+
+
+@pytest.mark.parametrize("metric", ["average_precision", "roc_auc"])
+@pytest.mark.parametrize("values, chunk, block", [(2_000_000, 1_000_000, 64_000_000), (300, 90, 64_000_000), (2000, 300, 700)])
+def test_vector_draws_equal_drawn_rows(spark, table, metric, values, chunk, block, monkeypatch):
+    """Any cut of rows, chunks and draw blocks gives what each draw's own rows give."""
+    import hashlib
+
+    from wakeline.operators import draws
+
+    monkeypatch.setattr(draws, "VALUES", values)
+    monkeypatch.setattr(draws, "CHUNK", chunk)
+    monkeypatch.setattr(draws, "TIMES_BYTES", block)
+    n_draws = 30
+    got = ev.grouped_draw_metrics(table, ["a"], P, n_draws, metric=metric)["a"]
+    pdf = table.toPandas()
+    vessels = sorted(pdf.MMSI.unique(), key=lambda v: hashlib.md5(f"{P.seed}-{v}".encode()).hexdigest())
+    number = {v: k for k, v in enumerate(vessels)}
+    unit, y, s = pdf.MMSI.map(number).to_numpy(), pdf.target_dark_fleet.to_numpy(), pdf.a.to_numpy()
+    for d in range(n_draws):
+        picks = [int(hashlib.md5(f"{P.seed}-{d}-{i}".encode()).hexdigest()[:15], 16) % len(vessels) for i in range(len(vessels))]
+        w = np.bincount(picks, minlength=len(vessels))[unit]
+        assert got[d] == pytest.approx(weighted(y, s, w, metric), abs=1e-12, nan_ok=True)
+
+
+def test_row_draws_repeat_and_spread(table):
+    from wakeline.operators.draws import row_metrics
+
+    counts = ev.score_counts(table, "a")
+    one, two = (row_metrics(counts, P, 200, "average_precision") for _ in range(2))
+    assert (one == two).all() and len(set(one)) > 150
+    pdf = table.toPandas()
+    point = weighted(pdf.target_dark_fleet.to_numpy(), pdf.a.to_numpy(), np.ones(len(pdf)), "average_precision")
+    assert abs(np.mean(one) - point) < 3 * np.std(one)
+
+
+def test_shuffled_rows_do_not_depend_on_draws(spark, table):
+    """Only reduced scores are shuffled: the same exchanges for 10 and for 500 draws."""
+    from wakeline.operators import draws
+
+    seen = []
+    real = draws.placed
+    try:
+        draws.placed = lambda cut, parts: seen.append(cut.count()) or real(cut, parts)
+        for n in (10, 500):
+            draws.VALUES = 100 * n
+            ev.bootstrap_grouped(table, "a", P, n)
+    finally:
+        draws.placed, draws.VALUES = real, 2_000_000
+    assert len(seen) == 2 and seen[0] == seen[1]
+
+
+def test_draws_of_an_empty_table(table):
+    r = ev.bootstrap_ci(table.limit(0), "a", P, 5).first()
+    assert r.n_draws_used == 0 and r.point is None
+    assert ev.bootstrap_grouped(table.limit(0), "a", P, 5).first().n_draws_used == 0

@@ -7,12 +7,14 @@ row, so they are handled as a group. A weight column stands for resampled rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from wakeline.functions.columns import hash_integer, hash_uniform
-from wakeline.operators.prefix import cumulative, hash_rank, quantiles
+from wakeline.functions.columns import hash_uniform
+from wakeline.operators.draws import row_metrics, vessel_metrics
+from wakeline.operators.prefix import cumulative, quantiles
 from wakeline.params import MMSI, TARGET, Params
 
 # Threshold grid, probability clip, gain cut-offs.
@@ -316,55 +318,33 @@ def _interval(draws: DataFrame, value: str, alpha: float) -> list[Column]:
     ]
 
 
+def _draw_rows(df: DataFrame, **values) -> DataFrame:
+    """One row for each draw; a draw without both classes holds null."""
+    names = list(values)
+    rows = [tuple(None if math.isnan(x) else float(x) for x in row) for row in zip(*values.values())]
+    return df.sparkSession.createDataFrame(rows, ", ".join(f"{n} double" for n in names))
+
+
 def bootstrap_ci(
     df: DataFrame, score: str, p: Params, n_draws: int = 1000, alpha: float = 0.05,
-    metric: Callable[[], Column] = ap_expr, target: str = TARGET,
+    metric: str = "average_precision", target: str = TARGET,
 ) -> DataFrame:
-    """Row bootstrap of a score-ordered metric: (lower, point, upper, draws used).
-
-    Work is draws x distinct scores, not draws x rows.
-    """
-    counts = score_counts(df, score, target)
-    drawn = counts.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1)))).select(
-        "draw", "score",
-        poisson_weight(F.col("pos").cast("double"), p.seed, "draw", "score", F.lit("pos")).alias("pos"),
-        poisson_weight(F.col("neg").cast("double"), p.seed, "draw", "score", F.lit("neg")).alias("neg"),
-    )
-    values = cumulative_counts(drawn, p, ["draw"]).filter(
-        (F.col("n_pos") > 0) & (F.col("n_neg") > 0)
-    ).groupBy("draw").agg(metric().alias("value"))
-    point = cumulative_counts(counts, p).agg(metric().alias("point")).scalar()
+    """Row bootstrap of a score-ordered metric: (lower, point, upper, draws used)."""
+    points = {"average_precision": average_precision, "roc_auc": roc_auc}
+    values = _draw_rows(df, value=row_metrics(score_counts(df, score, target), p, n_draws, metric))
+    point = points[metric](df, score, p, target).scalar()
     return values.agg(*_interval(values, "value", alpha)).select(
         F.coalesce("lower", point).alias("lower"), point.alias("point"),
         F.coalesce("upper", point).alias("upper"), "n_draws_used",
     )
 
 
-def vessel_draws(vessels: DataFrame, p: Params, n_draws: int) -> DataFrame:
-    """(MMSI, picks): how often each vessel is drawn in each draw, as an array of (draw, times).
-
-    A draw takes n vessels with replacement; pick i of draw d is vessel number
-    md5(seed, d, i) mod n. The array holds at most n_draws entries.
-    """
-    ranked = hash_rank(vessels, MMSI, p.seed, rank="_rank", n="_n").withColumn("_i", F.col("_rank") - 1)
-    picks = ranked.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1)))).select(
-        "draw", F.pmod(hash_integer(p.seed, "draw", "_i"), F.col("_n")).alias("_i")
-    )
-    packed = (
-        picks.groupBy("draw", "_i").agg(F.count(F.lit(1)).alias("times"))
-        .groupBy("_i").agg(F.collect_list(F.struct("draw", "times")).alias("picks"))
-    )
-    return ranked.join(packed, "_i").select(MMSI, "picks")
-
-
-def grouped_draw_counts(
-    df: DataFrame, scores: Sequence[str], p: Params, n_draws: int, target: str = TARGET
-) -> DataFrame:
-    """(draw, model, score, pos, neg) of a bootstrap that draws whole vessels.
+def grouped_draw_metrics(
+    df: DataFrame, scores: Sequence[str], p: Params, n_draws: int, target: str = TARGET, metric: str = "average_precision"
+) -> dict:
+    """{score: metric in each draw} of a bootstrap that draws whole vessels; all scores share the draws.
 
-    Rows are reduced to one for each (vessel, model, score) before any draw
-    touches them. The join on the vessel is salted, so a vessel with a third of
-    all scores is spread over ``salts`` tasks.
+    Rows are reduced to one for each (vessel, model, score) before any draw touches them.
     """
     long = df.select(
         MMSI, target,
@@ -372,38 +352,15 @@ def grouped_draw_counts(
             F.struct(F.lit(s).alias("model"), F.col(s).cast("double").alias("value")) for s in scores
         ])).alias("_m"),
     ).select(MMSI, target, "_m.model", "_m.value")
-    counts = score_counts(long, "value", target, [MMSI, "model"]).withColumn(
-        "_salt", F.pmod(F.xxhash64("score"), F.lit(p.salts)).cast("int")
-    )
-    draws = vessel_draws(df.select(MMSI), p, n_draws).withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(p.salts - 1)))
-    )
-    return (
-        counts.join(draws, [MMSI, "_salt"])
-        .select("model", "score", "pos", "neg", F.explode("picks").alias("_d"))
-        .groupBy(F.col("_d.draw").alias("draw"), "model", "score")
-        .agg(
-            F.sum(F.col("pos") * F.col("_d.times")).alias("pos"),
-            F.sum(F.col("neg") * F.col("_d.times")).alias("neg"),
-        )
-    )
-
-
-def grouped_draw_metrics(
-    df: DataFrame, scores: Sequence[str], p: Params, n_draws: int, target: str = TARGET
-) -> DataFrame:
-    """(draw, model, ap) for draws with both classes."""
-    counts = grouped_draw_counts(df, scores, p, n_draws, target)
-    return cumulative_counts(counts, p, ["draw", "model"]).filter(
-        (F.col("n_pos") > 0) & (F.col("n_neg") > 0)
-    ).groupBy("draw", "model").agg(ap_expr().alias("ap"))
+    found = vessel_metrics(score_counts(long, "value", target, [MMSI, "model"]), p, n_draws, metric)
+    return {s: found.get(s, [math.nan] * n_draws) for s in scores}
 
 
 def bootstrap_grouped(
     df: DataFrame, score: str, p: Params, n_draws: int = 1000, alpha: float = 0.05, target: str = TARGET
 ) -> DataFrame:
     """Vessel bootstrap of AP: lower, point, upper, draws used."""
-    values = grouped_draw_metrics(df, [score], p, n_draws, target)
+    values = _draw_rows(df, ap=grouped_draw_metrics(df, [score], p, n_draws, target)[score])
     point = average_precision(df, score, p, target).scalar()
     return values.agg(*_interval(values, "ap", alpha)).select(
         "lower", point.alias("point"), "upper", "n_draws_used"
@@ -414,11 +371,8 @@ def compare_models(
     df: DataFrame, score_a: str, score_b: str, p: Params, n_draws: int = 1000, target: str = TARGET
 ) -> DataFrame:
     """Paired vessel bootstrap of AP(a) - AP(b); both models share every draw."""
-    values = grouped_draw_metrics(df, [score_a, score_b], p, n_draws, target)
-    deltas = values.groupBy("draw").agg(
-        F.max(F.when(F.col("model") == score_a, F.col("ap"))).alias("a"),
-        F.max(F.when(F.col("model") == score_b, F.col("ap"))).alias("b"),
-    ).select((F.col("a") - F.col("b")).alias("delta"))
+    found = grouped_draw_metrics(df, [score_a, score_b], p, n_draws, target)
+    deltas = _draw_rows(df, a=found[score_a], b=found[score_b]).select((F.col("a") - F.col("b")).alias("delta"))
     out = deltas.agg(
         F.avg("delta").alias("delta_mean"), F.percentile("delta", F.lit(0.025)).alias("ci_lower"),
         F.percentile("delta", F.lit(0.975)).alias("ci_upper"), F.count("delta").alias("n_draws_used"),

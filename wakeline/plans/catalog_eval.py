@@ -16,7 +16,7 @@ from wakeline.plans.sqlparts import AP, AUC, DOCS, PINGS, SCORED, VESSELS, cumul
 from wakeline.session import durable
 
 A, B = "score_a", "score_b"
-N_DRAWS = 20
+N_DRAWS = 1000
 
 
 def us_col():
