@@ -1,3 +1,4 @@
+import math
 from dataclasses import replace
 
 import numpy as np
@@ -5,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wakeline import Params
+from wakeline.functions.columns import correlation_pvalue
 from wakeline.functions.em import causal_prior, fit_windows, pilot_prior
 from wakeline.operators import bayes, regime
 from wakeline.operators.markov import markov_filter
@@ -115,9 +117,33 @@ def test_empty_pilots_fall_back(spark, features):
     assert (row.sigma_prior_speed, row.sigma_prior_turn, row.method) == (1.0, 2.0, "fallback_default")
 
 
-def test_pvalue_of_rank_correlation():
-    assert bayes.spearman_pvalue(0.5, 10) == pytest.approx(0.14111, abs=2e-4)
-    assert bayes.spearman_pvalue(1.0, 10) == 0.0
+def test_pvalue_of_rank_correlation(spark):
+    """Against values of the t distribution, and against exact forms for few degrees of freedom."""
+    cases = [(0.5, 10), (1.0, 10), (-1.0, 5), (0.0, 7), (0.9, 4), (-0.3, 3), (0.05, 2000), (0.004, 500_000), (0.2, 60), (None, 9), (0.4, 2)]
+    got = [r.p for r in spark.createDataFrame([(k, *c) for k, c in enumerate(cases)], "k int, r double, n long").orderBy("k").select(
+        correlation_pvalue("r", "n").alias("p")).collect()]
+
+    def plain(r, n):
+        grid = np.linspace(0, math.asin(abs(r)), 200_001)
+        f = np.cos(grid) ** (n - 3)
+        norm = math.exp(math.lgamma((n - 1) / 2) - math.lgamma((n - 2) / 2)) / math.sqrt(math.pi)
+        return 1 - 2 * norm * ((f[1:] + f[:-1]) / 2 * np.diff(grid)).sum()
+
+    assert got[0] == pytest.approx(0.14111, abs=5e-6)
+    assert got[1] == got[2] == 0.0 and got[3] == pytest.approx(1.0)
+    assert got[4] == pytest.approx(0.1, abs=1e-11)  # two degrees: 1 - |r|
+    assert got[5] == pytest.approx(1 - 2 * math.asin(0.3) / math.pi, abs=1e-11)  # one degree
+    for p, (r, n) in list(zip(got, cases))[6:9]:
+        assert p == pytest.approx(plain(r, n), abs=1e-7)
+    assert got[9] is None and got[10] is None
+
+
+def test_sensitivity_and_agreement_give_pvalues(spark):
+    rows = spark.range(40).selectExpr("id % 2 as MMSI", "cast(id as double) as a", "cast((id * 7) % 13 as double) as b")
+    for r in bayes.method_agreement(rows, "a", "b", P).collect():
+        assert 0 <= r.p_value <= 1
+    same = bayes.spearman(rows, "a", "a", P).first()
+    assert same.rho == 1.0 and same.p_value == 0.0
 
 
 def test_replicates_follow_their_parameters(spark):

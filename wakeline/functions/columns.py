@@ -121,6 +121,62 @@ def segment_distance(px, py, x1, y1, x2, y2) -> Column:
     return F.hypot(px - (x1 + t * dx), py - (y1 + t * dy))
 
 
+def log_gamma(x: Column) -> Column:
+    """ln of the gamma function for x > 0: Stirling's series at x + 8, moved back by the factors between."""
+    z = x + 8.0
+    y = 1 / (z * z)
+    series = (1 / 12 - y * (1 / 360 - y * (1 / 1260 - y * (1 / 1680 - y / 1188)))) / z
+    between = sum((F.log(x + float(j)) for j in range(1, 8)), F.log(x))
+    return (z - 0.5) * F.log(z) - z + 0.9189385332046727 + series - between
+
+
+def _beta_fraction(a: Column, b: Column, x: Column) -> Column:
+    """The continued fraction of the incomplete beta function, by running ratios of its convergents.
+
+    Terms needed grow with the square root of the larger parameter.
+    """
+    tiny = 1e-300
+
+    def away(v: Column) -> Column:
+        return F.when(F.abs(v) < tiny, F.lit(tiny)).otherwise(v)
+
+    def fold(state: Column, term: Column, c, d, f) -> Column:
+        d_new = 1.0 / away(1.0 + term * d)
+        c_new = away(1.0 + term / c)
+        return F.struct(c_new.alias("c"), d_new.alias("d"), (f * c_new * d_new).alias("f"))
+
+    def step(s: Column, m: Column) -> Column:
+        even = m * (b - m) * x / ((a + 2 * m - 1.0) * (a + 2 * m))
+        s = fold(s, even, s["c"], s["d"], s["f"])
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1.0))
+        return fold(s, odd, s["c"], s["d"], s["f"])
+
+    first = 1.0 / away(1.0 - (a + b) * x / (a + 1.0))
+    start = F.struct(F.lit(1.0).alias("c"), first.alias("d"), first.alias("f"))
+    terms = F.sequence(F.lit(1), F.ceil(40 + 4 * F.sqrt(F.greatest(a, b))).cast("int"))
+    return F.aggregate(F.transform(terms, lambda m: m.cast("double")), start, step)["f"]
+
+
+def incomplete_beta(a, b, x) -> Column:
+    """Regularised incomplete beta function I_x(a, b) for a, b > 0 and x in [0, 1]."""
+    a, b, x = (col(c).cast("double") for c in (a, b, x))
+    front = F.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * F.log(x) + b * F.log(1.0 - x))
+    low = front * _beta_fraction(a, b, x) / a
+    high = 1.0 - front * _beta_fraction(b, a, 1.0 - x) / b
+    inside = F.when(x < (a + 1.0) / (a + b + 2.0), low).otherwise(high)
+    return F.when(x <= 0, 0.0).when(x >= 1, 1.0).otherwise(inside)
+
+
+def correlation_pvalue(rho, n) -> Column:
+    """Two-sided p-value of a correlation of n points, from Student's t with n - 2 degrees of freedom.
+
+    With t^2 = rho^2 (n - 2) / (1 - rho^2) the tail is I_{1 - rho^2}((n - 2) / 2, 1 / 2).
+    Null for fewer than three points or a null correlation.
+    """
+    rho, n = col(rho), col(n)
+    return F.when(rho.isNotNull() & (n > 2), incomplete_beta((n - 2) / 2.0, F.lit(0.5), 1.0 - rho * rho))
+
+
 def arc_angle(a, b) -> Column:
     """Angle between two unit vectors (arrays of three), by half the chord: exact for small ones too."""
     a, b = col(a), col(b)

@@ -7,14 +7,13 @@ each iteration, so a long vessel is never gathered.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from wakeline.functions.columns import hash_normal, hash_order, hash_uniform
+from wakeline.functions.columns import clip, correlation_pvalue, hash_normal, hash_order, hash_uniform
 from wakeline.functions.em import (
     SIGMA_FLOOR, START_SIGMA, START_TAU, THETA_FLOOR, Prior, centres, fit_windows, pilot_prior,
     quartile_start, scale,
@@ -252,7 +251,7 @@ def average_ranks(df: DataFrame, value: str, p: Params, keys: Sequence[str] = ()
 def spearman(
     df: DataFrame, a: str, b: str, p: Params, keys: Sequence[str] = (), minimum: int = MIN_RANK_POINTS
 ) -> DataFrame:
-    """Rank correlation of two columns for each key with enough points.
+    """Rank correlation of two columns, and its two-sided p-value, for each key with enough points.
 
     Equal (a, b) pairs are merged before the ranks are joined.
     """
@@ -273,25 +272,8 @@ def spearman(
     va = F.col("saa") - F.col("sa") * F.col("sa") / n
     vb = F.col("sbb") - F.col("sb") * F.col("sb") / n
     rho = F.try_divide(F.col("sab") - F.col("sa") * F.col("sb") / n, F.sqrt(va * vb))
-    return s.select(*keys, "n_points", rho.alias("rho")).filter(n >= minimum)
-
-
-def spearman_pvalue(rho: float, n: int) -> float:
-    """Two-sided p-value from Student's t with n - 2 degrees (driver, one number)."""
-    if n <= 2 or abs(rho) >= 1.0:
-        return 0.0 if abs(rho) >= 1.0 else 1.0
-    df = n - 2
-    t = abs(rho) * math.sqrt(df / (1 - rho * rho))
-    # Simpson's rule over the angle form of the t density
-    end = math.atan(t / math.sqrt(df))
-    steps = 2000
-    h = end / steps
-    area = sum(
-        (1 if i in (0, steps) else 4 if i % 2 else 2) * math.cos(i * h) ** (df - 1)
-        for i in range(steps + 1)
-    ) * h / 3
-    norm = math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(math.pi)
-    return max(0.0, 1.0 - 2.0 * norm * area)
+    found = s.select(*keys, "n_points", clip(rho, -1.0, 1.0).alias("rho")).filter(n >= minimum)
+    return found.withColumn("p_value", correlation_pvalue("rho", "n_points"))
 
 
 def specification_rows(rows: DataFrame, specs: dict = SPECIFICATIONS) -> DataFrame:
@@ -314,7 +296,7 @@ def prior_scores(rows: DataFrame, p: Params, specs: dict = SPECIFICATIONS) -> Da
 
 
 def prior_sensitivity(rows: DataFrame, p: Params, specs: dict = SPECIFICATIONS) -> DataFrame:
-    """(spec_a, spec_b, n_points, rho, robust) for each pair of specifications."""
+    """(spec_a, spec_b, n_points, rho, p_value, robust) for each pair of specifications."""
     scores = durable(prior_scores(rows, p, specs))
     wide = scores.groupBy(MMSI).pivot("spec", list(specs)).agg(F.first("suspicion")).dropna()
     names = list(specs)
@@ -410,7 +392,7 @@ def predictive_check(features: DataFrame, p: Params, n_vessels: int | None = Non
 
 
 def method_agreement(df: DataFrame, a: str, b: str, p: Params) -> DataFrame:
-    """Per vessel: rank agreement of two scores and a verdict."""
+    """Per vessel: rank agreement of two scores, its p-value and a verdict."""
     rho = spearman(df, a, b, p, [MMSI], MIN_AGREEMENT_POINTS)
     return rho.withColumn(
         "verdict", F.when(F.col("rho") > p.robust_rho, "sufficient").otherwise("divergent")

@@ -257,19 +257,29 @@ RANK_SQL = """
   rank() over ({p} order by vb) + (count(*) over ({r} vb) - 1) / 2.0::DOUBLE as rb from {n}a)"""
 
 
+def student_tail(rho: str, n: str) -> str:
+    """Two-sided tail of Student's t with n - 2 degrees: Simpson's rule over the angle whose sine is the correlation."""
+    angle = f"asin(abs({rho})) * i / 2000.0::DOUBLE"
+    density = f"(case when i in (0, 2000) then 1 when i % 2 = 1 then 4 else 2 end) * pow(cos({angle}), {n} - 3)"
+    area = f"(select sum({density}) from range(2001) g(i)) * asin(abs({rho})) / 6000.0::DOUBLE"
+    return f"greatest(0.0, 1 - 2 * exp(lgamma(({n} - 1) / 2.0::DOUBLE) - lgamma(({n} - 2) / 2.0::DOUBLE)) / sqrt(pi()) * {area})"
+
+
 @query("spearman", with_ctes(PINGS, RANK_SQL.format(
-    n="rk", k="", a="SOG", b="COG", src="pings", p="", q="partition by", r="partition by")) + """
-select count(*) as n_points, round(corr(ra, rb), 7) as rho from rkb""")
+    n="rk", k="", a="SOG", b="COG", src="pings", p="", q="partition by", r="partition by"), """
+rho as (select count(*) as n, corr(ra, rb) as r from rkb)""") + f"""
+select n as n_points, round(r, 7) as rho, round({student_tail('r', 'n')}, 6) as p_value from rho""")
 def spearman(spark, folder):
-    return rounded(bayes.spearman(inputs.event_pings(spark, folder), "SOG", "COG", P), 7)
+    return rounded(bayes.spearman(inputs.event_pings(spark, folder), "SOG", "COG", P), 7, p_value=6)
 
 
 @query("method_agreement", with_ctes(PINGS, RANK_SQL.format(
     n="rk", k="MMSI,", a="SOG", b="COG", src="pings", p="partition by MMSI", q="partition by MMSI,", r="partition by MMSI,"), """
-rho as (select MMSI, count(*) as n_points, corr(ra, rb) as rho from rkb group by MMSI having count(*) >= 5)""") + """
-select MMSI, n_points, round(rho, 7) as rho, case when rho > 0.85 then 'sufficient' else 'divergent' end as verdict from rho""")
+rho as (select MMSI, count(*) as n_points, corr(ra, rb) as rho from rkb group by MMSI having count(*) >= 5)""") + f"""
+select MMSI, n_points, round(rho, 7) as rho, round({student_tail('rho', 'n_points')}, 6) as p_value,
+  case when rho > 0.85 then 'sufficient' else 'divergent' end as verdict from rho""")
 def method_agreement(spark, folder):
-    return rounded(bayes.method_agreement(inputs.event_pings(spark, folder), "SOG", "COG", P), 7)
+    return rounded(bayes.method_agreement(inputs.event_pings(spark, folder), "SOG", "COG", P), 7, p_value=6)
 
 
 @query("agreement_summary", with_ctes(PINGS, RANK_SQL.format(
