@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wakeline import Params
-from wakeline.functions.columns import correlation_pvalue
+from wakeline.functions.columns import correlation_pvalue, hash_uniform
 from wakeline.functions.em import causal_prior, fit_windows, pilot_prior
 from wakeline.operators import bayes, regime
 from wakeline.operators.markov import markov_filter
@@ -146,6 +146,33 @@ def test_sensitivity_and_agreement_give_pvalues(spark):
     assert same.rho == 1.0 and same.p_value == 0.0
 
 
+@pytest.mark.parametrize("change", [{}, {"group_rows": 35}])
+def test_many_fits_equal_single_fits(spark, features, change, monkeypatch):
+    """Draws and prior sets of a vessel fitted together, in blocks or apart, give what single fits give."""
+    monkeypatch.setattr(bayes, "VARIANT_VALUES", 150)
+    p = replace(P, n_draws=6, em_iterations=6, **change)
+    rows = durable(bayes.pilot_rows(features, p, 4))
+    got = {(r.MMSI, r.draw): r for r in bayes.posterior_draws(rows, p).collect()}
+    assert len(got) == 6 * rows.select("MMSI").distinct().count()
+    for d in (0, 5):
+        weight = -F.log(hash_uniform(p.seed, "MMSI", "t", F.lit(d)))
+        for r in bayes.fit_mixture(rows, ["MMSI"], replace(p, group_rows=10**6), pilot_prior(1.0, 2.0), weight=weight).collect():
+            for c in bayes.PARAMETERS:
+                assert got[r.MMSI, d][c] == pytest.approx(r[c], abs=1e-8 if change else 1e-9)
+    scores = {(r.spec, r.MMSI): r.suspicion for r in bayes.prior_scores(rows, p).collect()}
+    for spec, (speed, turn) in bayes.SPECIFICATIONS.items():
+        fits = bayes.fit_mixture(rows, ["MMSI"], replace(p, group_rows=10**6), pilot_prior(speed, turn))
+        for r in bayes.suspicion_score(rows, fits, p).collect():
+            assert scores[spec, r.MMSI] == pytest.approx(r.suspicion, abs=1e-8)
+
+
+def test_rows_are_not_multiplied(features):
+    rows = bayes.pilot_rows(features, P)
+    for made in (bayes.posterior_draws(rows, P), bayes.prior_scores(rows, P)):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert "sequence(0, 99" not in plan and "_o#" not in plan
+
+
 def test_replicates_follow_their_parameters(spark):
     draw = spark.createDataFrame(
         [(1, 0, -1.0, 3.0, 0.5, 0.2, 1.0, 0.3, 0.25, 0.75)],

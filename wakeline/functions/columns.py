@@ -4,8 +4,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, functions as F
 
+# The five primes of the 64-bit xxHash.
+XX_PRIMES = (
+    0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5,
+)
+
 HOUR_US = 3_600_000_000
 MINUTE_US = 60_000_000
 
@@ -95,6 +101,22 @@ def hash_uniform(seed: int, *ids) -> Column:
     return (F.shiftrightunsigned(h, 12).cast("double") + 0.5) / float(1 << 52)
 
 
+def next_uniform(hashes: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """(numbers, hashes): hash_uniform over the columns of xxhash64 values and one more int column, in numpy."""
+    def turned(v, k):
+        return (v << np.uint64(k)) | (v >> np.uint64(64 - k))
+
+    one, two, three, _, five = (np.uint64(v) for v in XX_PRIMES)
+    with np.errstate(over="ignore"):
+        h = hashes.astype(np.int64).view(np.uint64)[None, :] + five + np.uint64(4)
+        h = h ^ (numbers.astype(np.uint64)[:, None] * one)
+        h = turned(h, 23) * two + three
+        h = (h ^ (h >> np.uint64(33))) * two
+        h = (h ^ (h >> np.uint64(29))) * three
+        h = h ^ (h >> np.uint64(32))
+    return ((h >> np.uint64(12)).astype(np.float64) + 0.5) / float(1 << 52)
+
+
 def hash_normal(seed: int, *ids) -> Column:
     """Box-Muller on two repeatable uniforms."""
     u = hash_uniform(seed * 2 + 1, *ids)

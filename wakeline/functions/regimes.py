@@ -52,19 +52,22 @@ def regime_probability(speed="speed_std", turn="turn_std") -> Column:
     return F.when(bad, F.raise_error(F.lit("regime probability is not finite"))).otherwise(p)
 
 
-def responsibility(speed="speed_std", turn="turn_std") -> Column:
-    """Component-0 share on densities, with a small constant in the denominator."""
+def responsibility(speed="speed_std", turn="turn_std", get=F.col) -> Column:
+    """Component-0 share on densities, with a small constant in the denominator.
+
+    ``get`` gives the column of a parameter's name.
+    """
     speed, turn = col(speed), col(turn)
-    centres = (F.col("mu_sospetto"), F.col("mu_sospetto") + F.col("gap"))
+    centres = (get("mu_sospetto"), get("mu_sospetto") + get("gap"))
 
     def density(x, mu, sigma):
         z = (x - mu) / sigma
         return F.exp(-0.5 * z * z) / (sigma * 2.5066282746310002)
 
     w = [
-        F.col(f"theta_{k}")
-        * density(speed, centres[k], F.col(f"sigma_speed_{k}"))
-        * density(turn, F.lit(0.0), F.col(f"sigma_turn_{k}"))
+        get(f"theta_{k}")
+        * density(speed, centres[k], get(f"sigma_speed_{k}"))
+        * density(turn, F.lit(0.0), get(f"sigma_turn_{k}"))
         for k in (0, 1)
     ]
     return w[0] / (w[0] + w[1] + DENOMINATOR_FLOOR)

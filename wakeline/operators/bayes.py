@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
-from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 
-from wakeline.functions.columns import clip, correlation_pvalue, hash_normal, hash_order, hash_uniform
+from wakeline.functions.columns import clip, correlation_pvalue, hash_normal, hash_order, hash_uniform, next_uniform
 from wakeline.functions.em import (
     SIGMA_FLOOR, START_SIGMA, START_TAU, THETA_FLOOR, Prior, centres, fit_windows, pilot_prior,
     quartile_start, scale,
@@ -37,6 +38,7 @@ PPC_STATS = ("mean_speed", "std_speed", "autocorr_turn_lag1", "frac_extreme_spee
 EXTREME_SPEED = 1.5
 PPC_LOW, PPC_HIGH, PPC_SHARE = 0.05, 0.95, 0.75
 MIN_RANK_POINTS, MIN_AGREEMENT_POINTS = 3, 5
+VARIANT_VALUES = 1_000_000  # values of one array of a block of variants
 
 
 def eligible_vessels(df: DataFrame, p: Params, n: int | None = None) -> DataFrame:
@@ -276,23 +278,68 @@ def spearman(
     return found.withColumn("p_value", correlation_pvalue("rho", "n_points"))
 
 
-def specification_rows(rows: DataFrame, specs: dict = SPECIFICATIONS) -> DataFrame:
-    """Each row once for each specification, with the prior as a struct."""
-    options = []
-    for name, (speed, turn) in specs.items():
-        options.append(
-            F.struct(F.lit(name).alias("spec"), F.struct(*_prior_columns(pilot_prior(speed, turn))).alias("prior"))
-        )
-    return rows.withColumn("_o", F.explode(F.array(*options))).select(
-        "*", F.col("_o.spec").alias("spec"), F.col("_o.prior").alias("prior")
-    ).drop("_o")
+def fit_variants(
+    rows: DataFrame, p: Params, name: str, labels: Sequence, priors: Sequence[Prior], seed: int | None = None
+) -> DataFrame:
+    """(name, MMSI, parameters): one fit of each vessel for each variant, without multiplying rows.
+
+    A variant is a prior and, where a seed is given, random weights of the rows. All
+    variants of a vessel are fitted where its rows are, by EM on arrays with one row for
+    each variant, in blocks of bounded size. Vessels beyond ``group_rows`` rows take the
+    distributed iterations of ``fit_mixture``, each variant as a key.
+    """
+    labels, iterations = list(labels), p.em_iterations
+    kind = "int" if isinstance(labels[0], int) else "string"
+    laid = rows.select(MMSI, "t", SPEED, TURN, F.xxhash64(F.lit(seed or 0), MMSI, "t").alias("_h"))
+    long = laid.groupBy(MMSI).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > p.group_rows).select(MMSI)
+    schema = to_arrow_schema(T.StructType(
+        [T.StructField(name, T._parse_datatype_string(kind)), rows.schema[MMSI], *[T.StructField(c, T.DoubleType()) for c in PARAMETERS]]
+    ))
+
+    def fit(table):
+        x, y = (table[c].to_numpy()[None, :] for c in (SPEED, TURN))
+        low, gap = quartile_start(x)
+        step, found = max(1, VARIANT_VALUES // x.shape[1]), []
+        for at in range(0, len(labels), step):
+            mine = labels[at : at + step]
+            prior = Prior(*[np.array([getattr(q, c) for q in priors[at : at + step]]) for c in PRIOR_COLUMNS])
+            w = None
+            if seed is not None:
+                w = -np.log(next_uniform(table["_h"].to_numpy(), np.array(mine)))
+            wide = lambda v: np.repeat(v, len(mine), axis=0)
+            found.append(fit_windows(wide(x), wide(y), prior, iterations, w, (wide(low), wide(gap))))
+        values = np.concatenate(found)
+        out = {name: labels, MMSI: [table[MMSI][0].as_py()] * len(labels)}
+        return pa.table(out | {c: values[:, k] for k, c in enumerate(PARAMETERS)}, schema=schema)
+
+    few = laid
+    if long.limit(1).count():
+        long = durable(long)
+        few = laid.join(long, MMSI, "left_anti")
+    fits = few.groupBy(MMSI).applyInArrow(fit, from_arrow_schema(schema))
+    if few is laid:
+        return fits
+    options = F.array(*[F.struct(F.lit(v).alias("v"), F.struct(*_prior_columns(q)).alias("q")) for v, q in zip(labels, priors)])
+    far = laid.join(long, MMSI, "left_semi").withColumn("_o", F.explode(options)).withColumn(name, F.col("_o.v"))
+    weight = None if seed is None else -F.log(hash_uniform(seed, MMSI, "t", name))
+    return fits.unionByName(fit_mixture(far, [name, MMSI], p, priors=F.col("_o.q"), weight=weight))
 
 
 def prior_scores(rows: DataFrame, p: Params, specs: dict = SPECIFICATIONS) -> DataFrame:
-    """(spec, MMSI, suspicion)."""
-    expanded = specification_rows(rows, specs)
-    fits = fit_mixture(expanded, ["spec", MMSI], p, priors=F.col("prior"))
-    return suspicion_score(expanded.drop("prior"), fits, p, ["spec", MMSI])
+    """(spec, MMSI, suspicion). Rows meet the fits of all specifications at once."""
+    names = list(specs)
+    fits = durable(fit_variants(rows, p, "spec", names, [pilot_prior(*specs[n]) for n in names]))
+    wide = fits.groupBy(MMSI).agg(*[
+        F.first(F.when(F.col("spec") == n, F.struct(*PARAMETERS)), ignorenulls=True).alias(f"_s{k}") for k, n in enumerate(names)
+    ])
+    means = [
+        F.avg(responsibility(SPEED, TURN, lambda c, k=k: F.col(f"_s{k}.{c}"))).alias(f"_m{k}") for k, _ in enumerate(names)
+    ]
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(SPEED, TURN, "t"), F.lit(p.salts)).cast("int"))
+    spread = wide.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(p.salts - 1))))
+    scored = salted.join(spread, [MMSI, "_salt"]).groupBy(MMSI).agg(*means)
+    each = F.array(*[F.struct(F.lit(n).alias("spec"), F.col(f"_m{k}").alias("suspicion")) for k, n in enumerate(names)])
+    return scored.select(MMSI, F.explode(each).alias("_e")).select("_e.spec", MMSI, "_e.suspicion")
 
 
 def prior_sensitivity(rows: DataFrame, p: Params, specs: dict = SPECIFICATIONS) -> DataFrame:
@@ -315,9 +362,9 @@ def prior_sensitivity(rows: DataFrame, p: Params, specs: dict = SPECIFICATIONS)
 
 def posterior_draws(rows: DataFrame, p: Params, sigma_speed: float = 1.0, sigma_turn: float = 2.0) -> DataFrame:
     """(MMSI, draw, parameters): Bayesian bootstrap, one weighted fit for each draw."""
-    drawn = rows.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(p.n_draws - 1))))
-    weight = -F.log(hash_uniform(p.seed, MMSI, "t", "draw"))
-    return fit_mixture(drawn, [MMSI, "draw"], p, pilot_prior(sigma_speed, sigma_turn), weight=weight)
+    labels = list(range(p.n_draws))
+    return fit_variants(rows, p, "draw", labels, [pilot_prior(sigma_speed, sigma_turn)] * len(labels), p.seed).select(
+        MMSI, "draw", *PARAMETERS)
 
 
 def ppc_replicates(draws: DataFrame, lengths: DataFrame, p: Params) -> DataFrame:
