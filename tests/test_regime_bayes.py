@@ -106,6 +106,15 @@ def test_null_gate(features):
         regime.null_gate(rows, P)
 
 
+def test_the_scorer_calls_the_gate(features, monkeypatch):
+    plain = regime.score_table(features, P)
+    hidden = plain.withColumn("prob_regime_sospetto", F.when(F.col("MMSI") != plain.first().MMSI, F.col("prob_regime_sospetto")))
+    monkeypatch.setattr(regime, "score_table", lambda *_: hidden)
+    with pytest.raises(regime.RegimeError):
+        regime.regime_score(features, P)
+    assert regime.regime_score(features, P, gate=False).count() == plain.count()
+
+
 def test_scorer_has_one_vessel_shuffle(features):
     plan = regime.score_table(features, P)._jdf.queryExecution().executedPlan().toString()
     assert plan.split("InMemoryTableScan")[0].count("Exchange hashpartitioning") <= 1

@@ -81,3 +81,28 @@ def test_eligible_vessels_count_before_controls(spark):
         "MMSI", "timestamp_micros(1704067200000000L + h * 3600000000L) as Timestamp")
     counts = audit.audit_counts(audit.audit_sample(rows, P), audit.eligible(rows, P)).first()
     assert counts.n_eligible_vessels == 3 and counts.status == "READY"
+
+
+def test_files_are_even_on_a_skewed_table(spark, tmp_path):
+    """Days of 100 to 40,000 rows, one vessel and one minute holding half of the largest."""
+    import glob
+    import os
+
+    rows = spark.range(60_000).selectExpr(
+        "case when id < 40000 then 0 else 1 + id % 9 end as d", "id", "cast(id % 977 as double) as SOG",
+        "case when id < 20000 then 5 else id % 40 end as MMSI",
+    ).selectExpr(
+        "MMSI", "SOG", "id as ping_seq",
+        "timestamp_micros(1704067200000000L + d * 86400000000L + case when id < 20000 then 7 else id end * 1000000L) as Timestamp")
+    path = sinks.write_table(rows, str(tmp_path / "t"), rows_per_file=1000)
+    sizes = {}
+    for f in glob.glob(f"{path}/date=*/*.parquet"):
+        sizes.setdefault(os.path.basename(os.path.dirname(f)), []).append(spark.read.parquet(f).count())
+    assert len(sizes) == 10 and sum(map(sum, sizes.values())) == 60_000
+    assert len(sizes["date=2024-01-01"]) == 40
+    assert all(500 <= n <= 2000 for files in sizes.values() for n in files)
+    one = spark.read.parquet(glob.glob(f"{path}/date=2024-01-01/*.parquet")[0]).select("Timestamp").collect()
+    assert [r[0] for r in one] == sorted(r[0] for r in one)
+    back = spark.read.parquet(path).select(rows.columns)
+    assert back.exceptAll(rows).count() == 0 and rows.exceptAll(back).count() == 0
+    assert sinks.read_table(spark, sinks.write_table(rows.limit(0), str(tmp_path / "e"))).count() == 0

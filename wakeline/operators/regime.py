@@ -15,6 +15,7 @@ from wakeline.functions.em import causal_prior, fit_windows
 from wakeline.functions.regimes import PARAMETERS, regime_probability
 from wakeline.operators.markov import markov_filter
 from wakeline.params import MMSI, REGIME, REGIME_MARKOV, REGIME_VAR, TIMESTAMP, Params
+from wakeline.session import durable
 
 SPEED, TURN = "speed_std", "turn_std"
 # Fit rows of the scaler in windows and as a divisor, null share that fails a run.
@@ -182,9 +183,13 @@ def score_table(features: DataFrame, p: Params) -> DataFrame:
     return carry_forward(score_refits(rows)).select(*features.columns, "t", "n", REGIME, REGIME_VAR)
 
 
-def regime_score(features: DataFrame, p: Params, apply_markov: bool = True) -> DataFrame:
-    """Feature table plus regime probability, uncertainty and filtered probability."""
-    scored = score_table(features, p).drop("t", "n")
+def regime_score(features: DataFrame, p: Params, apply_markov: bool = True, gate: bool = True) -> DataFrame:
+    """Feature table plus regime probability, uncertainty and filtered probability.
+
+    The gate stores the scores and raises where a vessel long enough to score is mostly null.
+    """
+    scored = score_table(features, p)
+    scored = (null_gate(durable(scored), p) if gate else scored).drop("t", "n")
     if not apply_markov:
         return scored
     return markov_filter(scored, p, REGIME, REGIME_MARKOV, bounded=True)

@@ -443,9 +443,17 @@ def interaction_profile(spark, folder):
 
 @query("vif_filter", with_ctes(PINGS, """
 g as (select sum(SOG*SOG) a, sum(SOG*COG) b, sum(SOG*Lat) c, sum(COG*COG) d, sum(COG*Lat) e, sum(Lat*Lat) f from pings),
-v as (select *, a*(d*f - e*e) - b*(b*f - c*e) + c*(b*e - c*d) as det from g)""") + """
-select 'SOG' as feature, round(a * (d*f - e*e) / det, 5) as vif from v
-union all select 'COG', round(d * (a*f - c*c) / det, 5) from v union all select 'Lat', round(f * (a*d - b*b) / det, 5) from v""")
+v as (select *, a*(d*f - e*e) - b*(b*f - c*e) + c*(b*e - c*d) as det from g),
+one as (select 'SOG' as feature, a * (d*f - e*e) / det as vif from v union all select 'COG', d * (a*f - c*c) / det from v
+  union all select 'Lat', f * (a*d - b*b) / det from v),
+worst as (select feature, vif from one where vif > 4.5 order by vif desc limit 1),
+pairs as (select 'SOG' as x, 'COG' as y, a*d / (a*d - b*b) as vif from g union all select 'SOG', 'Lat', a*f / (a*f - c*c) from g
+  union all select 'COG', 'Lat', d*f / (d*f - e*e) from g),
+two as (select x, y, vif from pairs where exists (select 1 from worst) and not exists (select 1 from worst where feature in (x, y)))""") + """
+select feature, round(vif, 5) as vif, false as kept from worst
+union all select unnest([x, y]), round(vif, 5), true from two
+union all select feature, round(vif, 5), true from one where not exists (select 1 from worst)""")
 def vif_filter(spark, folder):
-    table = model.vif_table(inputs.event_pings(spark, folder), ["SOG", "COG", "Lat"], float("inf"))
-    return rounded(spark.createDataFrame([(f, v) for f, v, _ in table], "feature string, vif double"), 5)
+    """With a limit that drops a feature; the others' values are those without it."""
+    table = model.vif_table(inputs.event_pings(spark, folder), ["SOG", "COG", "Lat"], 4.5)
+    return rounded(spark.createDataFrame(table, "feature string, vif double, kept boolean"), 5)

@@ -6,20 +6,38 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
-def write_table(df: DataFrame, path: str, by_date: bool = True, mode: str = "overwrite") -> str:
-    """Parquet, partitioned by date; ``read_table`` turns a time range into folders.
+ROWS_PER_FILE = 2_000_000
 
-    Rows are brought together by date and a hash of the vessel first; without
-    it every task would write a file into every date folder.
+
+def write_table(
+    df: DataFrame, path: str, by_date: bool = True, mode: str = "overwrite", rows_per_file: int = ROWS_PER_FILE
+) -> str:
+    """Parquet, partitioned by date, in files of about ``rows_per_file`` rows sorted by time.
+
+    Rows of each date are counted first (one number for each day); a date is split into as
+    many pieces as its rows fill files, by a hash of the row, and each piece goes to a task
+    of its own. ``read_table`` turns a time range into folders.
     """
     if not path.endswith(".parquet"):
         path = path + ".parquet"
-    if by_date and "Timestamp" in df.columns:
-        dated = df.withColumn("date", F.to_date("Timestamp"))
-        spread = F.pmod(F.xxhash64("MMSI", F.hour("Timestamp")), F.lit(8)) if "MMSI" in df.columns else F.lit(0)
-        dated.repartition("date", spread).write.mode(mode).partitionBy("date").parquet(path)
-    else:
+    if not by_date or "Timestamp" not in df.columns:
         df.write.mode(mode).parquet(path)
+        return path
+    dated = df.withColumn("date", F.to_date("Timestamp"))
+    days = dated.groupBy("date").agg(F.count(F.lit(1)).alias("n")).collect()
+    if not days:  # one empty file keeps the columns
+        dated.write.mode(mode).parquet(path)
+        return path
+    rows, first = [], 0
+    for day in days:
+        pieces = max(1, round(day["n"] / rows_per_file))
+        rows.append((day["date"], first, pieces))
+        first += pieces
+    plan = df.sparkSession.createDataFrame(rows, "_date date, _first int, _pieces int")
+    piece = F.col("_first") + F.pmod(F.xxhash64(*df.columns), F.col("_pieces")).cast("int")
+    placed = dated.join(F.broadcast(plan), F.col("date").eqNullSafe(F.col("_date"))).withColumn("_piece", piece)
+    placed = placed.repartitionById(first, F.col("_piece")).sortWithinPartitions("Timestamp")
+    placed.drop("_date", "_first", "_pieces", "_piece").write.mode(mode).partitionBy("date").parquet(path)
     return path
 
 
