@@ -380,6 +380,61 @@ def test_toxicity_learns_from_training_labels_only(spark):
     assert a == b
 
 
+def plain_risk_steps(positive, unlabelled, prior, s):
+    """The non-negative risk's gradient steps written out, one row at a time."""
+    rng = np.random.default_rng(s.seed)
+    k = positive.shape[1]
+    w, first, second = [0.0] * k + [math.log(prior / (1 - prior))], [0.0] * (k + 1), [0.0] * (k + 1)
+    rounds, share = max(1, -(-len(unlabelled) // s.batch)), max(1, min(len(positive), s.batch))
+    for step in range(1, s.steps + 1):
+        r = (step - 1) % rounds
+        if r == 0:
+            order = rng.permutation(len(unlabelled))
+        lots = {"u": unlabelled[order[r * s.batch : (r + 1) * s.batch]], "p": positive[rng.integers(0, len(positive), share)]}
+        loss, up, down = {}, {}, {}
+        for name, rows in lots.items():
+            loss[name], up[name], down[name] = 0.0, [0.0] * (k + 1), [0.0] * (k + 1)
+            for row in rows:
+                x = [*map(float, row), 1.0]
+                z = sum(a * b for a, b in zip(x, w))
+                chance = 1 / (1 + math.exp(-z))
+                loss[name] += math.log1p(math.exp(z)) / len(rows)
+                for j in range(k + 1):
+                    up[name][j] += chance * x[j] / len(rows)
+                    down[name][j] += (chance - 1) * x[j] / len(rows)
+        for j in range(k + 1):
+            negative = up["u"][j] - prior * up["p"][j]
+            g = prior * down["p"][j] + negative if loss["u"] - prior * loss["p"] >= 0 else -negative
+            g += s.decay * w[j] if j < k else 0.0
+            first[j], second[j] = 0.9 * first[j] + 0.1 * g, 0.999 * second[j] + 0.001 * g * g
+        for j in range(k + 1):
+            w[j] -= s.rate * (first[j] / (1 - 0.9**step)) / (math.sqrt(second[j] / (1 - 0.999**step)) + 1e-8)
+    return w
+
+
+@pytest.mark.parametrize("prior", [0.1, 0.7])
+def test_toxicity_risk_equals_plain_steps(prior):
+    """Also where the negative part turns below zero and is followed upwards."""
+    rng = np.random.default_rng(1)
+    positive = (rng.random((20, 4)) < [0.9, 0.2, 0.5, 0.1]).astype(np.uint8)
+    unlabelled = (rng.random((50, 4)) < [0.3, 0.2, 0.5, 0.4]).astype(np.uint8)
+    s = toxicity.Settings(steps=120, batch=16, rate=0.1)
+    weights, bias = toxicity.fit_nnpu(positive, unlabelled, prior, s)
+    assert np.allclose([*weights, bias], plain_risk_steps(positive, unlabelled, prior, s), atol=1e-4)
+
+
+def test_toxicity_sample_is_bounded_by_rows(spark):
+    """One identifier with thousands of rows adds one row, and doesn't crowd the others out."""
+    bad, good = "vile nasty awful words here", "calm kind gentle words here"
+    base = [(k, f"{bad if k % 5 == 0 else good} {k}") for k in range(400)]
+    labels = spark.createDataFrame([(k, int(k % 5 == 0)) for k in range(400)], "doc_id long, toxic int")
+    s = toxicity.Settings(max_positive=40, max_unlabelled=100, steps=50)
+    kinds = "doc_id long, text string"
+    one = toxicity.train(spark.createDataFrame(base, kinds), labels, s)
+    many = toxicity.train(spark.createDataFrame(base + [base[0], base[1], base[5], base[7]] * 3000, kinds), labels, s)
+    assert one.names == many.names and one.names and np.allclose(one.weights, many.weights) and one.bias == many.bias
+
+
 def test_toxicity_awkward_rows(docs, rows, labels):
     found = toxicity.toxicity_scores(docs, labels)
     assert found.columns == ["doc_id", "held_out", "score", "predicted"] and found.count() == len(rows)

@@ -8,8 +8,8 @@ memorising the positives.
 
 Features are words and word beginnings of the text, present or absent. The class
 prior is counted over all training labels; the fit uses at most ``max_positive`` and
-``max_unlabelled`` training rows, taken by a hash of their identifiers, and at most
-``max_features`` features. Scoring is row by row over all texts.
+``max_unlabelled`` training rows, taken by a hash of their distinct identifiers, one row
+each (the text that hashes lowest), and at most ``max_features`` features. Scoring is row by row over all texts.
 
 Cases: a null or empty text has no features and gets the score of the intercept;
 null labels are left out, repeated ones count once (toxic if any says so); a null
@@ -153,10 +153,13 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     chosen = known.filter("toxic = 1").select("doc_id").orderBy(order, "doc_id").limit(s.max_positive)
     rows = id_text(docs)
     some = rows.select("doc_id").filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 4))
-    some = some.orderBy(order, "doc_id").limit(s.max_unlabelled)
-    # Both lists are bounded by the settings, so they may be broadcast.
-    ids = chosen.withColumn("positive", F.lit(True)).unionByName(some.distinct().withColumn("positive", F.lit(False)))
-    sample = durable(rows.join(F.broadcast(ids), "doc_id").select("text", "positive"))
+    some = some.distinct().orderBy(order, "doc_id").limit(s.max_unlabelled)
+    # Both lists are bounded by the settings, so they may be broadcast; an identifier gives one row,
+    # whose text hashes lowest, so that the sample is bounded too.
+    ids = chosen.withColumn("positive", F.lit(True)).unionByName(some.withColumn("positive", F.lit(False)))
+    sample = rows.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "positive").agg(
+        F.min_by("text", F.xxhash64("text")).alias("text"))
+    sample = durable(sample.select("text", "positive"))
     sizes = {r["positive"]: r["count"] for r in sample.groupBy("positive").count().collect()}
     n_pos, n_unl = sizes.get(True, 0), sizes.get(False, 0)
     if not n_pos or not n_unl:
