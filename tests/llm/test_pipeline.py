@@ -84,3 +84,30 @@ def test_stages(spark, small):
             expected.add((r["doc_id"], k, a, n, zlib.crc32(codes[a : a + n].tobytes())))
     found = corpus_pipeline.run(spark, small).collect()
     assert {tuple(r)[:5] for r in found} == expected and len(found) == len(expected)
+
+
+def test_run_on_awkward_rows_and_an_empty_table(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows and identifiers, clashing columns: every kept text is packed whole."""
+    from pyspark.sql import functions as F
+
+    from tests.llm.test_operators import CLASHES, awkward_rows
+
+    rows = awkward_rows()
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").select(
+        "*", *[F.lit(k).alias(c) for k, c in enumerate(CLASHES)])
+    labels = spark.createDataFrame(
+        [(i, 0 if t and "SHOUT" in t else 1, int(i >= 110)) for i, t in rows if i is not None] + [(1, None, None), (None, 1, 1)],
+        "doc_id bigint, quality int, toxic int")
+    docs.write.parquet(f"{tmp_path}/a/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/a/labels.parquet")
+    kept = spark.read.parquet(f"{tmp_path}/a/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = durable(stage(spark, kept, f"{tmp_path}/a"))
+        assert kept.columns == docs.columns
+    model = packing.encoder(packing.tokenizer_file(packing.VOCABULARY)).model
+    lengths = sorted(len(model.encode(r["text"] or "", add_special_tokens=False).ids) + 1 for r in kept.collect())
+    found = corpus_pipeline.run(spark, f"{tmp_path}/a").collect()
+    assert sum(r["length"] for r in found) == sum(lengths) and sum(r["piece"] == 0 for r in found) == len(lengths) > 0
+    docs.limit(0).write.parquet(f"{tmp_path}/b/documents.parquet")
+    labels.limit(0).write.parquet(f"{tmp_path}/b/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/b").count() == 0
