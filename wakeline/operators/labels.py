@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from wakeline.functions.columns import MINUTE_US, micros
+from wakeline.operators.ranges import placed
 from wakeline.operators.series import gap_to_next
-from wakeline.operators.slices import by_track, next_time, without_layout
+from wakeline.operators.slices import next_time, track_ranges, without_layout
 from wakeline.params import MMSI, TARGET, Params
 
 # Thresholds in hours and the accepted positive-rate range of a relabelling.
@@ -40,7 +41,11 @@ def label_sliding(df: DataFrame, p: Params, bounded: bool = False) -> DataFrame:
 
     The last row of a vessel stays with label 0: what follows it is unknown.
     """
-    rows = df if bounded else by_track(df, p)  # both steps share one layout
+    rows = df
+    if not bounded:  # both steps share one layout
+        cut, parts = track_ranges(df, p)
+        bounded = parts == 1
+        rows = df if bounded else placed(cut, parts)
     marked = mark_last_ping(rows, p, "_is_last", bounded)
     ahead = next_time(marked, p, F.col("_is_last"), "_next_last", bounded)
     limit = int(p.label_horizon_minutes * MINUTE_US)

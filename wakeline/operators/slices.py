@@ -51,14 +51,15 @@ def _rows_window(bounded: bool):
     return Window.partitionBy(*([MMSI] if bounded else [RANGE, MMSI])).orderBy(US, TIE)
 
 
-def _layout(df: DataFrame, p: Params, bounded: bool) -> tuple[DataFrame, DataFrame, bool]:
-    """(rows in their partitions, the same rows to take carries from, whether the layout was there)."""
+def _layout(df: DataFrame, p: Params, bounded: bool) -> tuple[DataFrame, DataFrame, bool, bool]:
+    """(rows in their partitions, the same rows to take carries from, whether the layout was there, whether
+    the plain vessel window does: for bounded vessels, and for a table of one range)."""
     if bounded:
-        return timed(df, p), df, False
+        return timed(df, p), df, False, True
     if RANGE in df.columns:
-        return df, df, True
+        return df, df, True, False
     cut, parts = track_ranges(df, p)
-    return placed(cut, parts), cut, False
+    return placed(cut, parts), cut, False, parts == 1
 
 
 def _kept(df: DataFrame, leave: set, laid: bool) -> list[str]:
@@ -99,7 +100,7 @@ def neighbours(
 ) -> DataFrame:
     """Add values of the vessel's previous and next row: {new name: source column}."""
     prev, nxt = prev or {}, nxt or {}
-    work, source, laid = _layout(df, p, bounded)
+    work, source, laid, bounded = _layout(df, p, bounded)
     rows = _rows_window(bounded)
     if prev:
         work = work.withColumn("_before", F.lag(_pack(prev.values())).over(rows))
@@ -128,7 +129,7 @@ def positions(
     df: DataFrame, p: Params, rn: str = "rn", n: str = "n", bounded: bool = False
 ) -> DataFrame:
     """Add the row number inside the vessel (from 1) and the vessel's row count."""
-    work, source, laid = _layout(df, p, bounded)
+    work, source, laid, bounded = _layout(df, p, bounded)
     group = Window.partitionBy(*([MMSI] if bounded else [RANGE, MMSI]))
     work = work.withColumn(rn, F.row_number().over(_rows_window(bounded)).cast("bigint"))
     work = work.withColumn(n, F.count(F.lit(1)).over(group))
@@ -153,7 +154,7 @@ def next_time(
     "Later" is strict. The frame runs over descending time, so it grows by one
     row at a time instead of being rebuilt for each row.
     """
-    work, source, laid = _layout(df, p, bounded)
+    work, source, laid, bounded = _layout(df, p, bounded)
     event = F.when(condition, F.col(US))
     keys = [MMSI] if bounded else [RANGE, MMSI]
     later = Window.partitionBy(*keys).orderBy("_down").rangeBetween(Window.unboundedPreceding, -1)
