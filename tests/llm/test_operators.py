@@ -577,6 +577,34 @@ def test_class_pairs_cover_all_training_texts(docs, rows, monkeypatch):
     assert not np.allclose(model.weights["out"], lm_scoring.Attention(model.settings, classes, model.bigram).weights["out"])
 
 
+def test_lm_rounds_train_on_every_text(spark, monkeypatch):
+    """The targets that the rounds train on are all subword ids of the training texts and their ends, at any size."""
+    texts = [(i, " ".join(f"word{i * k % 97}" for k in range(1, 3 + i % 60))) for i in range(300)] + [(None, "no name"), (7, "")]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(3)
+    path = lm_scoring.tokenizer_file(lm_scoring.VOCABULARY)
+    codes = lm_scoring.Subwords(path)
+    whole = sum(len(codes.texts([lm_scoring.text_words(t.encode())])[0]) + 1 for _, t in texts)
+    summed, sums = lm_scoring._summed, []
+    monkeypatch.setattr(lm_scoring, "_summed", lambda *a: (sums.append(summed(*a)), sums[-1])[1])
+    for least, rounds, seen in ((5, 2, 1), (5, 3, 1), (1_000, 2, 2)):
+        sums.clear()
+        settings = lm_scoring.Settings(least_texts=least, rounds=rounds)
+        lm_scoring.fit(docs, lm_scoring.word_counts(docs), path, settings)
+        assert sum(v[-1] for v in sums[-rounds:]) == seen * whole
+
+
+def test_lm_codes_give_the_windows_and_scores_of_ids():
+    model = small_model()
+    ids = [np.random.default_rng(k).integers(0, 50257, k).astype(np.int32) for k in (0, 1, 4, 5, 6, 17, 300)]
+    x, y, numbers = model.windows(ids)
+    coded = [model.classes.code(i) for i in ids]
+    x2, t, numbers2 = model.code_windows([c for c, _ in coded])
+    assert (x == x2).all() and (t == model.targets(y)).all() and (numbers == numbers2).all()
+    starts = np.cumsum(numbers) - numbers
+    found = np.add.reduceat(model.class_log_probability(x2, t), starts) + [inside for _, inside in coded]
+    assert np.allclose(found, np.add.reduceat(model.log_probability(x, y), starts), rtol=1e-6)
+
+
 def test_lm_classes_and_context():
     """112 frequent ids stand alone, 24 earlier ids at least are read, and the scores are those of the forward pass."""
     counts = np.arange(50257, 0, -1)
