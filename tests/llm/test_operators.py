@@ -627,3 +627,41 @@ def test_lm_classes_and_context():
     safe = np.maximum(y, 0)
     each = np.take_along_axis(logits, classes.of[safe].astype(np.int64)[..., None], 2)[..., 0] + classes.inside[safe]
     assert np.allclose(model.log_probability(x, y), np.where(y >= 0, each, 0).sum(axis=1), atol=1e-3)
+
+
+def test_lm_new_words_are_coded_together(monkeypatch):
+    """Words join in one call of the tokenizer and keep their ids, also beside spaces of other kinds."""
+    codes = lm_scoring.Subwords(lm_scoring.tokenizer_file(lm_scoring.VOCABULARY))
+    rng = random.Random(3)
+    plain = ["a", "\u00e9", "'s", "1", "!", "\ud55c", "\u200b", "\U0001f600", "\0", "it's", "re"]
+    make = lambda parts: [w.encode() for w in sorted({"".join(rng.choices(parts, k=rng.randint(1, 6))) for _ in range(900)})]
+    word, calls = codes.model.encode_ordinary, []
+    monkeypatch.setattr(codes.model, "encode_ordinary", lambda text: (calls.append(text), word(text))[1])
+    for words, most in ((make(plain), 1), (make([*plain, "\u00a0", "\u3000", "\x1c", "\x85"]), 900)):
+        calls.clear()
+        found = codes.texts([words[:500], [], words[400:], words])
+        assert len(calls) <= most
+        for part, ids in zip((words[:500], [], words[400:], words), found):
+            assert ids.tolist() == [i for w in part for i in word(" " + w.decode())]
+        calls.clear()
+        codes.texts([words])
+        assert not calls
+
+
+@pytest.mark.parametrize("wide", [1, 4, 8])
+def test_lm_attention_by_tables(wide):
+    """Weights from tables, halves and positions by class give the plain layer's probabilities, also at the bound of 30."""
+    model = small_model()
+    s, w = model.settings, model.weights
+    w["query"], w["key"] = w["query"] * np.float32(wide), w["key"] * np.float32(wide)
+    ids = [np.random.default_rng(k).integers(0, 50257, k).astype(np.int32) for k in (0, 4, 30, 400)]
+    x, t, _ = model.code_windows([model.classes.code(i)[0] for i in ids])
+    assert model._tables()[3] == (wide < 8)
+    last, where = x[:, s.overlap :], np.arange(s.overlap + s.stride)
+    gap = where[s.overlap :, None] - where
+    e = w["query"][last].astype(float) @ w["key"][x].transpose(0, 2, 1) + w["distance"][np.maximum(gap, 0)]
+    e = np.where(gap >= 0, np.exp(np.minimum(e, 30.0)), 0.0)
+    logits = e @ w["value"][x] / e.sum(axis=2, keepdims=True) @ w["out"] + model.bigram[last]
+    each = np.take_along_axis(logits, np.maximum(t, 0)[..., None].astype(int), 2)[..., 0] - np.log(np.exp(logits).sum(axis=2))
+    assert np.allclose(model.class_log_probability(x, t), np.where(t >= 0, each, 0).sum(axis=1), rtol=1e-4)
+    assert np.allclose(model._forward(x)[5], logits, atol=1e-3)
