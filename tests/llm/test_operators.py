@@ -593,6 +593,18 @@ def test_lm_rounds_train_on_every_text(spark, monkeypatch):
         assert sum(v[-1] for v in sums[-rounds:]) == seen * whole
 
 
+def test_lm_each_round_trains_on_all_texts_of_a_large_table(spark, monkeypatch):
+    """With 2,400 training texts each of the query's rounds sees every target, as with a few."""
+    docs = spark.range(2_400).selectExpr("id as doc_id", "concat('word', id % 97, ' and word', id % 31) as text").repartition(2)
+    path = lm_scoring.tokenizer_file(lm_scoring.VOCABULARY)
+    codes = lm_scoring.Subwords(path)
+    whole = sum(len(i) + 1 for i in codes.texts([lm_scoring.text_words(r.text.encode()) for r in docs.collect()]))
+    summed, sums = lm_scoring._summed, []
+    monkeypatch.setattr(lm_scoring, "_summed", lambda *a: (sums.append(summed(*a)), sums[-1])[1])
+    lm_scoring.fit(docs, lm_scoring.word_counts(docs), path)
+    assert [v[-1] for v in sums[1:]] == [whole] * lm_scoring.Settings().rounds
+
+
 def test_lm_codes_give_the_windows_and_scores_of_ids():
     model = small_model()
     ids = [np.random.default_rng(k).integers(0, 50257, k).astype(np.int32) for k in (0, 1, 4, 5, 6, 17, 300)]
