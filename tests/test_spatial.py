@@ -96,3 +96,37 @@ def test_doubled_edges_and_no_edges(spark):
     assert spatial.distance_nm(rows, spark.createDataFrame([], kinds), "d", P).filter("d is null").count() == 2
     for metric in ("planar", "haversine"):
         assert spatial.distance_nm(rows.limit(0), spark.createDataFrame(square, kinds), "d", P, metric=metric).count() == 0
+
+
+def crowded_layer(spark, n=1200, copies=1):
+    """(rows, n distinct edges in a few leaf cells, each some times, as tuples): lists are far longer than LONG."""
+    rng = np.random.default_rng(4)
+    at = rng.uniform(0, 0.08, (n, 2)) + (12.0, 36.0)
+    to = at + rng.uniform(-0.004, 0.004, (n, 2))
+    edges = [(k, *map(float, (*at[k], *to[k]))) for k in range(n)]
+    pings = [(k, *map(float, rng.uniform(0, 0.08, 2) + (12.0, 36.0))) for k in range(150)]
+    pings += [(150 + k, *pings[k][1:]) for k in range(40)] + [(190, None, 36.0), (191, 12.0, None), (192, None, None), (193, 12.5, 36.5)]
+    frame = spark.createDataFrame(edges * copies, "geom_id long, x1 double, y1 double, x2 double, y2 double")
+    return spark.createDataFrame(pings, "id long, Lon double, Lat double"), frame, pings, edges
+
+
+def plane_nm(p, a, b):
+    flat = lambda lon, lat: 6378137.0 * np.array([np.radians(lon), np.log(np.tan(np.pi / 4 + np.radians(lat) / 2))])
+    p, a, b = flat(*p), flat(*a), flat(*b)
+    t = min(max((p - a) @ (b - a) / ((b - a) @ (b - a)), 0), 1)
+    return np.linalg.norm(p - a - t * (b - a)) / 1852.0
+
+
+@pytest.mark.parametrize("metric, plain, group_rows", [("planar", plane_nm, 3), ("haversine", arc_nm, 200_000)])
+def test_crowded_cells_are_split(spark, metric, plain, group_rows, monkeypatch):
+    """Each list of a crowded layer is short in the end, and the distances are those of all edges; repeated pings stay."""
+    rows, edges, pings, plain_edges = crowded_layer(spark)
+    stored, real = [], spatial.durable
+    monkeypatch.setattr(spatial, "durable", lambda df: stored.append(real(df)) or stored[-1])
+    got = {r.id: r.d for r in spatial.distance_nm(rows, edges, "d", Params(group_rows=group_rows), False, metric).collect()}
+    assert len(got) == len(pings) and sorted(k for k, v in got.items() if v is None) == [190, 191, 192]
+    for k, lon, lat in pings[:150:3] + pings[-1:]:
+        assert got[k] == pytest.approx(min(plain((lon, lat), e[1:3], e[3:]) for e in plain_edges), abs=1e-7)
+    assert all(got[150 + k] == got[k] for k in range(40))
+    lists = [t for t in stored if "home" in t.columns and "Lon" not in t.columns and len(t.columns) > 2][-1]
+    assert lists.groupBy("home").count().agg(F.max("count")).first()[0] <= 2 * spatial.LONG

@@ -140,7 +140,8 @@ def segment_distance(px, py, x1, y1, x2, y2) -> Column:
         F.try_divide((px - x1) * dx + (py - y1) * dy, dx * dx + dy * dy), F.lit(0.0)
     )
     t = F.least(F.greatest(along, F.lit(0.0)), F.lit(1.0))
-    return F.hypot(px - (x1 + t * dx), py - (y1 + t * dy))
+    gx, gy = px - (x1 + t * dx), py - (y1 + t * dy)
+    return F.sqrt(gx * gx + gy * gy)
 
 
 def log_gamma(x: Column) -> Column:

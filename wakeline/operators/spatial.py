@@ -5,7 +5,12 @@ factors of four. At each level a pair of cells is kept if the least distance of
 boxes is not above the largest distance of the ping cell to the box of some edge cell:
 only then can the nearest edge lie there. Tests are on box corners, so a level costs a
 few comparisons for each pair, a ping cell keeps the edge cells of a thin ring, and edges
-themselves are joined at the leaves only, each ping then meeting one short list.
+themselves are joined at the leaves only. Leaf cells with a long list, or with many places,
+are split further, and each part keeps what can be nearest in it.
+
+Work is done once for each place that pings have, and once for each edge that the layer
+holds. Tables are met by merge joins: what a small file grows into here has no size that a
+plan could guess, so none of it is broadcast.
 
 An edge is listed in the leaf cells along it: it is cut into pieces no longer than a
 cell, each in the cell of its middle, and edge boxes are half a cell larger than the grid.
@@ -30,6 +35,8 @@ LEVELS = (22, 20, 18, 16, 14, 12)
 TOP, LEAF = LEVELS[0], LEVELS[-1]
 # Levels with a proven small number of cells: at most 23409 in the plane and 40000 about the sphere.
 SMALL_LEVELS = (22, 20, 18)
+# Leaf cells that are split once more, to 1 km, then to 256 m: those that list more edges than LONG or hold very many places.
+FINE_LEVELS, LONG = (10, 8), 64
 EDGE = ("x1", "y1", "x2", "y2")
 PLANE, SPHERE = ("i", "j"), ("i", "j", "k")
 # Fixed value: mean radius of the earth in metres.
@@ -63,8 +70,8 @@ def _parent(cell: str, axes: tuple[str, ...], steps: int) -> Column:
     return F.struct(*[F.shiftright(F.col(f"{cell}.{a}"), steps).alias(a) for a in axes])
 
 
-def _centre(cell: str) -> tuple[Column, Column]:
-    size = float(1 << LEAF)
+def _centre(cell: str, level: int = LEAF) -> tuple[Column, Column]:
+    size = float(1 << level)
     return (F.col(f"{cell}.i") + 0.5) * size, (F.col(f"{cell}.j") + 0.5) * size
 
 
@@ -84,7 +91,7 @@ def planar_pieces(flat: DataFrame) -> DataFrame:
 
 def arc_pieces(edges: DataFrame) -> DataFrame:
     """(edge with unit vectors a and b, other): leaf cells along each great-circle arc."""
-    ends = edges.select("geom_id", unit_vector("x1", "y1").alias("a"), unit_vector("x2", "y2").alias("b"))
+    ends = edges.select(unit_vector("x1", "y1").alias("a"), unit_vector("x2", "y2").alias("b"))
     ends = ends.withColumn("_w", arc_angle("a", "b"))
     cut = _pieces(ends, F.col("_w") * EARTH_M)
     low = F.coalesce(F.try_divide(F.sin((1 - F.col("_t")) * F.col("_w")), F.sin("_w")), 1 - F.col("_t"))
@@ -111,8 +118,8 @@ def descend(cells: DataFrame, others: DataFrame, axes: tuple[str, ...], levels:
             steps = above - level
             here = here.withColumn("_up", _parent("cell", axes, steps))
             there = there.withColumn("_by", _parent("other", axes, steps))
-            if level in SMALL_LEVELS:
-                here, there = F.broadcast(here), F.broadcast(there)
+            small = level in SMALL_LEVELS
+            here, there = (F.broadcast(t) if small else t.hint("merge") for t in (here, there))
             up = found.select(F.col("cell").alias("_up"), F.col("other").alias("_by"))
             pairs = up.join(here, "_up").join(there, "_by").select("cell", "other")
         size, margin = float(1 << level), float(1 << LEAF) / 2
@@ -125,24 +132,54 @@ def descend(cells: DataFrame, others: DataFrame, axes: tuple[str, ...], levels:
     return found
 
 
-def near_edges(leaves: DataFrame, pieces: DataFrame, axes: tuple[str, ...]) -> DataFrame:
-    """(cell, edge): for occupied leaf cells every edge that can be nearest inside.
+def _nearest(pairs: DataFrame, kept: list[str], distance: Column, slack: float) -> DataFrame:
+    """(home, edge) of the pairs whose distance from the middle of home is at most ``slack`` above the least.
 
-    The pieces are stored first, as the leaves should be: every level reads both.
+    The pairs are made twice, so that none is shuffled but those that stay.
+    """
+    met = pairs.withColumn("_d", distance)
+    least = met.groupBy("home").agg(F.min("_d").alias("_least"))
+    return met.join(least.hint("merge"), "home").filter(
+        F.col("_d") <= F.col("_least") + F.lit(slack)).select("home", *kept).distinct()
+
+
+def _home(point: list[Column], axes: tuple[str, ...], level: int) -> Column:
+    """A cell with its level."""
+    return F.struct(F.lit(level).alias("z"), *[_cell(point, axes, level)[a].alias(a) for a in axes])
+
+
+def near_edges(
+    spots: DataFrame, pieces: DataFrame, point: list[Column], axes: tuple[str, ...], p: Params, from_middle, slack
+) -> tuple[DataFrame, DataFrame]:
+    """(spots with the cell ``home`` each lies in, (home, edge): all edges that can be nearest inside).
+
+    ``from_middle(level)`` is an edge's distance from the middle of home, ``slack(level)`` what the
+    distances of two points of a cell from it add up to at most.
     """
     pieces = durable(pieces)
     others = durable(pieces.select("other").distinct())
     kept = [c for c in pieces.columns if c != "other"]
-    return descend(leaves, others, axes).join(pieces, "other").select("cell", *kept).distinct()
-
-
-def nearest_planar(leaves: DataFrame, flat: DataFrame) -> DataFrame:
-    """near_edges() of the plane, cut once more by the edges' own distances from the cell's centre."""
-    found = near_edges(leaves, planar_pieces(flat), PLANE)
-    cx, cy = _centre("cell")
-    found = found.withColumn("_d", segment_distance(cx, cy, *EDGE))
-    reach = F.min("_d").over(Window.partitionBy("cell")) + math.sqrt(2.0) * (1 << LEAF)
-    return found.withColumn("_reach", reach).filter("_d <= _reach").drop("_d", "_reach")
+    spots = spots.withColumn("home", _home(point, axes, LEAF))
+    leaves = durable(spots.select(F.struct(*[F.col(f"home.{a}").alias(a) for a in axes]).alias("cell")).distinct())
+    found = durable(descend(leaves, others, axes))
+    home = F.struct(F.lit(LEAF).alias("z"), *[F.col(f"cell.{a}").alias(a) for a in axes]).alias("home")
+    pairs = found.join(pieces.hint("merge"), "other").select(home, *kept)
+    lists = durable(_nearest(pairs, kept, from_middle(LEAF), slack(LEAF)))
+    for level in FINE_LEVELS:
+        crowded = spots.groupBy("home").count().filter(F.col("count") > p.group_rows)
+        split = durable(lists.groupBy("home").count().filter(F.col("count") > LONG).union(crowded).select("home").distinct())
+        if split.isEmpty():
+            break
+        spots = spots.join(split.withColumn("_split", F.lit(True)).hint("merge"), "home", "left").withColumn(
+            "_up", F.when(F.col("_split"), F.col("home"))).withColumn(
+            "home", F.when(F.col("_split"), _home(point, axes, level)).otherwise(F.col("home")))
+        spots = durable(spots.drop("_split"))
+        parts = spots.filter("_up is not null").select("home", "_up").distinct()
+        pairs = parts.join(lists.withColumnRenamed("home", "_up").hint("merge"), "_up").select("home", *kept)
+        whole = lists.join(split.hint("merge"), "home", "left_anti")
+        lists = durable(whole.union(_nearest(pairs, kept, from_middle(level), slack(level))))
+        spots = spots.drop("_up")
+    return spots, lists
 
 
 def covered_cells(edges: DataFrame) -> DataFrame:
@@ -197,45 +234,34 @@ def _placed(df: DataFrame) -> DataFrame:
     return rows.withColumn("cell", F.when(known, _cell([F.col("_px"), F.col("_py")], PLANE)))
 
 
-def _meet(rows: DataFrame, lists: DataFrame, p: Params) -> DataFrame:
-    """Rows with the lists of their cell, joined on (cell, salt): a harbour with a
-    third of all pings is spread over ``salts`` tasks."""
-    spread = lists.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(p.salts - 1))))
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("Lon", "Lat"), F.lit(p.salts)).cast("int"))
-    return salted.join(spread, ["cell", "_salt"], "left").drop("_salt")
-
-
 def _leaves(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col("cell").isNotNull()).select("cell").distinct()
 
 
 def _inside_lists(leaves: DataFrame, flat: DataFrame) -> DataFrame:
-    """(cell, _pass, _in): edges that pass a leaf cell and geometries that hold its centre."""
-    passing = leaves.join(edges_by_cell(flat), "cell").groupBy("cell").agg(
-        F.collect_list(F.struct("geom_id", *EDGE)).alias("_pass"))
-    inside = leaves.join(covered_cells(flat), "cell").groupBy("cell").agg(F.collect_set("geom_id").alias("_in"))
-    return passing.join(inside, "cell", "full")
+    """(cell, _whole, _geoms): whether a geometry holds all of a leaf cell; if none does, for each geometry whose
+    edges pass the cell these edges and whether it holds the cell's centre."""
+    passing = leaves.join(edges_by_cell(flat).filter("geom_id is not null").hint("merge"), "cell").groupBy(
+        "cell", "geom_id").agg(F.collect_list(F.struct(*EDGE)).alias("edges"))
+    inside = leaves.join(covered_cells(flat).filter("geom_id is not null").hint("merge"), "cell").select(
+        "cell", "geom_id").distinct().withColumn("held", F.lit(True))
+    geoms = passing.join(inside.hint("merge"), ["cell", "geom_id"], "full").withColumn("held", F.coalesce("held", F.lit(False)))
+    whole = F.max(F.col("edges").isNull())
+    return geoms.groupBy("cell").agg(
+        whole.alias("_whole"), F.collect_list(F.when(F.col("edges").isNotNull(), F.struct("held", "edges"))).alias("_geoms"),
+    ).withColumn("_geoms", F.when(~F.col("_whole"), F.col("_geoms")))
 
 
 def _within(px: Column, py: Column) -> Column:
-    """Whether a ping lies inside a geometry: those of the cell's centre, changed by the edges on the way."""
+    """Whether a place lies inside a geometry: one holds its cell's centre, and edges on the way there change that."""
     cx, cy = _centre("cell")
-    crossed = F.transform(
-        F.filter(
-            "_pass",
-            lambda e: (
-                _side(px, py, cx, cy, e["x1"], e["y1"]) != _side(px, py, cx, cy, e["x2"], e["y2"])
-            ) & (
-                _side(e["x1"], e["y1"], e["x2"], e["y2"], px, py)
-                != _side(e["x1"], e["y1"], e["x2"], e["y2"], cx, cy)
-            ),
-        ),
-        lambda e: e["geom_id"],
+    on_way = lambda e: (
+        _side(px, py, cx, cy, e["x1"], e["y1"]) != _side(px, py, cx, cy, e["x2"], e["y2"])
+    ) & (
+        _side(e["x1"], e["y1"], e["x2"], e["y2"], px, py) != _side(e["x1"], e["y1"], e["x2"], e["y2"], cx, cy)
     )
-    none = F.array().cast("array<bigint>")
-    crossed, held = F.coalesce(crossed.cast("array<bigint>"), none), F.coalesce(F.col("_in").cast("array<bigint>"), none)
-    odd = F.filter(F.array_distinct(crossed), lambda g: F.size(F.filter(crossed, lambda h: h == g)) % 2 == 1)
-    return (F.size(F.array_except(held, odd)) > 0) | (F.size(F.array_except(odd, held)) > 0)
+    inside = F.exists("_geoms", lambda g: g["held"] != (F.size(F.filter(g["edges"], on_way)) % 2 == 1))
+    return F.coalesce(F.col("_whole") | F.coalesce(inside, F.lit(False)), F.lit(False))
 
 
 def distance_nm(
@@ -248,36 +274,33 @@ def distance_nm(
     """
     if metric not in ("planar", "haversine"):
         raise ValueError(f"unknown metric {metric!r}; expected 'planar' or 'haversine'")
-    rows = _placed(df)
     flat = project_edges(edges)
-    leaves = durable(_leaves(rows))
+    known = F.col("cell").isNotNull()
+    spots = durable(_placed(df.select("Lon", "Lat").distinct()).filter(known))
+    if polygons:
+        lists = _inside_lists(durable(_leaves(spots)), flat)
+        spots = spots.join(lists.hint("merge"), "cell", "left").withColumn("_held", _within(F.col("_px"), F.col("_py")))
+        spots = durable(spots.drop("_whole", "_geoms"))
+    else:
+        spots = spots.withColumn("_held", F.lit(False))
     if metric == "planar":
-        lists = nearest_planar(leaves, flat).groupBy("cell").agg(F.collect_list(F.struct(*EDGE)).alias("_edges"))
-        if polygons:
-            lists = lists.join(_inside_lists(leaves, flat), "cell", "left")
-        met = _meet(rows, lists, p)
-        px, py = F.col("_px"), F.col("_py")
-        metres = F.aggregate(
-            "_edges", F.lit(float("inf")),
-            lambda best, e: F.least(best, segment_distance(px, py, e["x1"], e["y1"], e["x2"], e["y2"])),
-        )
+        point = [F.col("_px"), F.col("_py")]
+        spots, lists = near_edges(
+            spots.drop("cell"), planar_pieces(flat.select(*EDGE).distinct()), point, PLANE, p,
+            lambda level: segment_distance(*_centre("home", level), *EDGE), lambda level: math.sqrt(2.0) * (1 << level))
+        metres = segment_distance("_px", "_py", *EDGE)
     else:
-        met = _meet(rows, _inside_lists(leaves, flat), p) if polygons else rows
-        if polygons:  # the cell of the plane has done its work
-            met = met.withColumn("_held", _within(F.col("_px"), F.col("_py"))).drop("_pass", "_in")
-        met = met.withColumn("_u", F.when(F.col("cell").isNotNull(), unit_vector("Lon", "Lat")))
-        met = met.withColumn("cell", F.when(
-            F.col("_u").isNotNull(), _cell([F.col("_u")[k] * EARTH_M for k in range(3)], SPHERE)))
-        arcs = nearest_arcs(durable(_leaves(met)), edges)
-        met = _meet(met, arcs.groupBy("cell").agg(F.collect_list(F.struct("a", "b", "n", "s", "e")).alias("_edges")), p)
-        metres = EARTH_M * F.aggregate(
-            "_edges", F.lit(float("inf")), lambda best, e: F.least(best, _arc_distance(F.col("_u"), lambda c: e[c])))
-    if polygons:
-        within = _within(F.col("_px"), F.col("_py")) if metric == "planar" else F.col("_held")
-        metres = F.when(within, 0.0).otherwise(metres)
-    return met.withColumn(
-        out, F.when(F.col("_edges").isNotNull(), metres / METRES_PER_NM)
-    ).select(*[c for c in df.columns if c != out], out)
+        spots = spots.select("Lon", "Lat", "_held", unit_vector("Lon", "Lat").alias("_u"))
+        point = [F.col("_u")[k] * EARTH_M for k in range(3)]
+        spots, lists = near_edges(
+            spots, _with_normals(arc_pieces(edges.select(*EDGE).distinct())), point, SPHERE, p, _from_middle, _span)
+        metres = EARTH_M * _arc_distance(F.col("_u"), F.col)
+    met = spots.join(lists.hint("merge"), "home").groupBy("Lon", "Lat").agg(
+        F.max("_held").alias("_held"), F.least(F.lit(float("inf")), F.min(metres)).alias("_metres"))
+    value = F.when(F.col("_held"), 0.0).otherwise(F.col("_metres")) / METRES_PER_NM
+    found = met.select("Lon", "Lat", value.alias(out))
+    kept = [c for c in df.columns if c != out]
+    return df.select(*kept).join(found.hint("merge"), ["Lon", "Lat"], "left").select(*kept, out)
 
 
 def _cross(a: Column, b: Column) -> Column:
@@ -303,22 +326,17 @@ def _arc_distance(u: Column, arc) -> Column:
     return F.when(beside, across).otherwise(F.least(arc_angle(u, arc("a")), arc_angle(u, arc("b"))))
 
 
-def nearest_arcs(leaves: DataFrame, edges: DataFrame) -> DataFrame:
-    """near_edges() about the sphere, cut once more by the arcs' own distances from the cell.
+def _from_middle(level: int) -> Column:
+    """Angle between the sphere's point above the middle of a cell and an arc."""
+    size = float(1 << level)
+    g = [(F.col(f"home.{x}") + 0.5) * size for x in SPHERE]
+    h = F.sqrt(sum(x * x for x in g))
+    return _arc_distance(F.array(*[x / h for x in g]), F.col)
 
-    The sphere's point above a cell's centre is within a cell's diagonal of every point
-    of the sphere in it.
-    """
-    size = float(1 << LEAF)
-    arc = ("a", "b", "n", "s", "e")
-    found = near_edges(leaves, _with_normals(arc_pieces(edges)), SPHERE)
-    centre = F.array(*[(F.col(f"cell.{x}") + 0.5) * size for x in SPHERE])
-    found = found.withColumn("_g", centre).withColumn("_h", F.sqrt(_dot(F.col("_g"), F.col("_g"))))
-    found = found.withColumn("_g", F.transform("_g", lambda x: x / F.col("_h")))
-    found = found.withColumn("_d", _arc_distance(F.col("_g"), F.col))
-    span = 2.0 * math.asin(math.sqrt(3.0) * size / 2.0 / EARTH_M) * (1 + 1e-9)
-    reach = F.min("_d").over(Window.partitionBy("cell")) + 2.0 * span
-    return found.withColumn("_reach", reach).filter("_d <= _reach").select("cell", *arc)
+
+def _span(level: int) -> float:
+    """The sphere's point above a cell's middle is within a cell's diagonal of every point of the sphere in it."""
+    return 4.0 * math.asin(math.sqrt(3.0) * (1 << level) / 2.0 / EARTH_M) * (1 + 1e-9)
 
 
 def spatial_features(
