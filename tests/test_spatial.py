@@ -130,3 +130,15 @@ def test_crowded_cells_are_split(spark, metric, plain, group_rows, monkeypatch):
     assert all(got[150 + k] == got[k] for k in range(40))
     lists = [t for t in stored if "home" in t.columns and "Lon" not in t.columns and len(t.columns) > 2][-1]
     assert lists.groupBy("home").count().agg(F.max("count")).first()[0] <= 2 * spatial.LONG
+
+
+def test_equal_edges_are_met_once(spark, monkeypatch):
+    """A layer that holds each edge five times is cut into pieces and listed as if it held it once."""
+    rows, once, _, _ = crowded_layer(spark, 60)
+    often = crowded_layer(spark, 60, 5)[1]
+    real, sizes = spatial.durable, []
+    for edges in (once, often):
+        seen = []
+        monkeypatch.setattr(spatial, "durable", lambda df: (seen.append(real(df)), seen[-1])[1])
+        sizes.append([spatial.distance_nm(rows, edges, "d", P, False).agg(F.sum("d")).first()[0], [t.count() for t in seen]])
+    assert sizes[0][1] == sizes[1][1] and sizes[0][0] == pytest.approx(sizes[1][0])
