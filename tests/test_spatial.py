@@ -142,3 +142,17 @@ def test_equal_edges_are_met_once(spark, monkeypatch):
         monkeypatch.setattr(spatial, "durable", lambda df: (seen.append(real(df)), seen[-1])[1])
         sizes.append([spatial.distance_nm(rows, edges, "d", P, False).agg(F.sum("d")).first()[0], [t.count() for t in seen]])
     assert sizes[0][1] == sizes[1][1] and sizes[0][0] == pytest.approx(sizes[1][0])
+
+
+@pytest.mark.parametrize("metric", ["planar", "haversine"])
+def test_no_table_of_the_descent_is_broadcast(spark, metric, monkeypatch):
+    """Layer tables look small to a plan, as a file of few bytes makes them; only cells of the top levels are broadcast."""
+    plans, real = [], spatial.durable
+    shown = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(spatial, "durable", lambda df: (plans.append((df.columns, shown(df))), real(df))[1])
+    rows = spark.createDataFrame([(12.4, 36.5), (12.6, 35.5)], "Lon double, Lat double")
+    out = spatial.distance_nm(rows, coast(spark, 50), "d", P, metric=metric)
+    plans.append((out.columns, shown(out)))
+    for columns, plan in plans:
+        assert columns == ["cell", "other"] or "Broadcast" not in plan
+    assert len(plans) > 5
