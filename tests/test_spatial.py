@@ -156,3 +156,21 @@ def test_no_table_of_the_descent_is_broadcast(spark, metric, monkeypatch):
     for columns, plan in plans:
         assert columns == ["cell", "other"] or "Broadcast" not in plan
     assert len(plans) > 5
+
+
+def test_whole_cells_and_holes_of_polygons(spark):
+    """A geometry that holds a whole leaf cell, one with a hole, and two that overlap there, against the even-odd rule."""
+    def ring(g, x, y, w):
+        c = [(x - w, y - w), (x + w, y - w), (x + w, y + w), (x - w, y + w)]
+        return [(g, *map(float, (*c[k], *c[(k + 1) % 4]))) for k in range(4)]
+
+    plain = ring(1, 12, 36, 0.5) + ring(1, 12, 36, 0.2) + ring(2, 12.1, 36.1, 0.15) + ring(3, 12.05, 36.0, 0.01) + ring(None, 13, 36, 0.2)
+    edges = spark.createDataFrame(plain, "geom_id long, x1 double, y1 double, x2 double, y2 double")
+    rng = np.random.default_rng(3)
+    pings = [(k, *map(float, rng.uniform(-0.7, 0.7, 2) + (12, 36))) for k in range(400)]
+    rows = spark.createDataFrame(pings, "id long, Lon double, Lat double")
+    got = {r.id: r.d for r in spatial.distance_nm(rows, edges, "d", P).collect()}
+    holds = lambda x, y, cx, cy, w: abs(x - cx) < w and abs(y - cy) < w
+    for k, x, y in pings:
+        ring_1 = holds(x, y, 12, 36, 0.5) and not holds(x, y, 12, 36, 0.2)
+        assert (got[k] == 0) == (ring_1 or holds(x, y, 12.1, 36.1, 0.15) or holds(x, y, 12.05, 36.0, 0.01))
