@@ -117,6 +117,54 @@ def next_uniform(hashes: np.ndarray, numbers: np.ndarray) -> np.ndarray:
     return ((h >> np.uint64(12)).astype(np.float64) + 0.5) / float(1 << 52)
 
 
+def _md5_words(block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first two words of md5 of many messages of one block: (16 words, messages) as uint32."""
+    first = [np.uint32(v) for v in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
+    a, b, c, d = (np.full(block.shape[1], v) for v in first)
+    f, low = np.empty_like(a), np.empty_like(a)
+    for k in range(64):
+        kind = k // 16
+        if kind == 0:  # d ^ (b & (c ^ d))
+            np.bitwise_xor(c, d, out=f), np.bitwise_and(f, b, out=f), np.bitwise_xor(f, d, out=f)
+        elif kind == 1:  # c ^ (d & (b ^ c))
+            np.bitwise_xor(b, c, out=f), np.bitwise_and(f, d, out=f), np.bitwise_xor(f, c, out=f)
+        elif kind == 2:
+            np.bitwise_xor(b, c, out=f), np.bitwise_xor(f, d, out=f)
+        else:
+            np.invert(d, out=f), np.bitwise_or(f, b, out=f), np.bitwise_xor(f, c, out=f)
+        f += a
+        f += block[(k, 5 * k + 1, 3 * k + 5, 7 * k)[kind] % 16]
+        f += np.uint32(int(abs(math.sin(k + 1)) * 2**32))
+        turn = ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21))[kind][k % 4]
+        np.right_shift(f, np.uint32(32 - turn), out=low), np.left_shift(f, np.uint32(turn), out=f), np.bitwise_or(f, low, out=f)
+        f += b
+        a, d, c, b, f = d, c, b, f, a
+    return a + first[0], b + first[1]
+
+
+def md5_integers(prefix: str, start: int, end: int) -> np.ndarray:
+    """hash_integer of a text prefix (which ends with the hyphen) and each whole number from start to end - 1, in numpy."""
+    lead, found = prefix.encode(), np.empty(end - start, np.int64)
+    at = start
+    while at < end:
+        digits = len(str(at))
+        upto = min(end, 10**digits, at + 8_192)
+        size = len(lead) + digits
+        if size > 55:
+            raise ValueError(f"{prefix!r} is too long for one block")
+        text = np.zeros((upto - at, 64), np.uint8)
+        text[:, : len(lead)] = np.frombuffer(lead, np.uint8)
+        rest = np.arange(at, upto)
+        for k in range(size - 1, len(lead) - 1, -1):
+            rest, text[:, k] = rest // 10, 48 + rest % 10
+        text[:, size] = 0x80
+        text[:, 56:60] = np.array([8 * size], "<u4").view(np.uint8)
+        a, b = _md5_words(np.ascontiguousarray(text.view("<u4").T))
+        found[at - start : upto - start] = ((a.byteswap().astype(np.uint64) << np.uint64(28)) | (b.byteswap() >> np.uint32(4))).astype(np.int64)
+        at = upto
+    return found
+
+
 def hash_normal(seed: int, *ids) -> Column:
     """Box-Muller on two repeatable uniforms."""
     u = hash_uniform(seed * 2 + 1, *ids)

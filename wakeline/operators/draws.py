@@ -2,20 +2,22 @@
 
 A row is a distinct (model, score), or (model, score, vessel); its weights in all draws
 are a vector that a task makes when it reads the row. Rows are shuffled once, into even
-ranges of (model, score), whatever the number of draws. A first pass sums each range,
+ranges of (model, score), sorted and stored as packed arrays, whatever the number of
+draws; each block of draws reads those. A first pass sums each range,
 offsets follow from those sums, and a second pass runs down the scores with element-wise
-running sums. The driver sees one vector for each (range, model) and draw block.
+running sums, over scores that add a term; others are summed into the next one. The driver
+sees one vector for each (range, model) and draw block.
 """
 
 from __future__ import annotations
 
-from dataclasses import replace
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wakeline.functions.columns import hash_integer
+from wakeline.functions.columns import md5_integers
 from wakeline.operators.prefix import hash_rank
 from wakeline.operators.ranges import RANGE, placed, with_range
 from wakeline.params import MMSI, Params
@@ -24,6 +26,7 @@ from wakeline.session import durable
 VALUES = 2_000_000  # weights of a range, about: with 1,000 draws a range has some 2,000 rows
 CHUNK = 1_000_000  # weights made at once
 TIMES_BYTES = 64_000_000  # of the vessels' weights that are broadcast; more draws are done in blocks
+PACKED = {"score": "<f8", "pos": "<i8", "neg": "<i8", "unit": "<i8"}
 
 
 def _ap(pos, neg, tp, fp):
@@ -35,48 +38,106 @@ def _auc(pos, neg, tp, fp):
     return neg * (tp - pos / 2.0)
 
 
-# name -> (term of one score, divisor from the totals)
+# name -> (term of one score, divisor from the totals, rows without which a score adds no term; None: all scores add one)
 METRICS = {
-    "average_precision": (_ap, lambda n_pos, n_neg: n_pos),
-    "roc_auc": (_auc, lambda n_pos, n_neg: n_pos * n_neg),
+    "average_precision": (_ap, lambda n_pos, n_neg: n_pos, "pos"),
+    "roc_auc": (_auc, lambda n_pos, n_neg: n_pos * n_neg, None),
 }
 
 
+@dataclass
+class Rows:
+    score: np.ndarray
+    pos: np.ndarray
+    neg: np.ndarray
+    unit: np.ndarray
+
+
 class PoissonWeights:
     """Row bootstrap: n equal rows weigh Poisson(n) in a draw; seeded by the score, so a retry repeats it."""
 
     def __init__(self, seed: int, draws: int):
         self.seed, self.draws = seed, draws
 
-    def __call__(self, rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        scores = rows["score"].to_numpy().astype(np.float64).view(np.uint64)
+    def __call__(self, rows: Rows, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of positives and negatives, summed over the stretches of rows that begin at ``starts``."""
+        scores = rows.score.view(np.uint64)
         out = []
-        for kind, name in enumerate(("pos", "neg")):
-            n = rows[name].to_numpy().astype(np.float64)
+        for kind, n in enumerate((rows.pos.astype(np.float64), rows.neg.astype(np.float64))):
             drawn = np.zeros((len(n), self.draws))
             for k in np.flatnonzero(n):
                 key = np.array([scores[k], 2 * self.seed + kind], np.uint64)
                 drawn[k] = np.random.Generator(np.random.Philox(key=key)).poisson(n[k], self.draws)
-            out.append(drawn)
+            out.append(_stretches(drawn, starts))
         return out[0], out[1]
 
 
 class VesselWeights:
     """Vessel bootstrap: a row weighs as often as its vessel was drawn."""
 
-    def __init__(self, times):
-        self.times = times  # broadcast matrix, vessel number by draw
+    def __init__(self, times, most: int):
+        self.times, self.most = times, most  # broadcast matrix, vessel number by draw, and its largest value
+
+    def _sums(self, rows: Rows, at: np.ndarray, n: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        # single precision is exact for whole numbers up to 2^24
+        kind = np.float32 if float(n.sum()) * self.most < 1 << 24 else np.float64
+        weights = self.times.value.take(rows.unit[at], 0).astype(kind)
+        if (n != 1).any():
+            weights *= n.astype(kind)[:, None]
+        return _stretches(weights, starts)
+
+    def __call__(self, rows: Rows, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        every = self._sums(rows, np.arange(len(rows.pos)), rows.pos + rows.neg, starts)
+        pos, at = np.zeros_like(every), np.flatnonzero(rows.pos)
+        if len(at):
+            where = np.searchsorted(starts, at, side="right") - 1
+            first = np.flatnonzero(np.diff(where, prepend=-1))
+            pos[where[first]] = self._sums(rows, at, rows.pos[at], first)
+        return pos, every - pos
+
+
+def _stretches(weights: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of the rows of each stretch, in double precision."""
+    out = np.empty((len(starts), weights.shape[1]))
+    ones = np.ones(len(weights), weights.dtype)
+    for k, (a, b) in enumerate(zip(starts.tolist(), [*starts[1:].tolist(), len(weights)])):
+        out[k] = weights[a] if b == a + 1 else ones[: b - a] @ weights[a:b]
+    return out
 
-    def __call__(self, rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        times = self.times.value[rows["unit"].to_numpy()].astype(np.float64)
-        return tuple(rows[c].to_numpy().astype(np.float64)[:, None] * times for c in ("pos", "neg"))
+
+def _pack(batches):
+    """Sorted rows as arrays, one record for each stretch of a batch within one range and model."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        parts, models = batch.column(RANGE).to_numpy(), batch.column("model").dictionary_encode()
+        code = models.indices.to_numpy()
+        cuts = np.flatnonzero(np.r_[True, (parts[1:] != parts[:-1]) | (code[1:] != code[:-1])])
+        values = {c: batch.column(c).to_numpy().astype(kind) for c, kind in PACKED.items()}
+        ends = [*cuts[1:].tolist(), len(parts)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(parts[cuts], pa.int32()), models.dictionary.take(models.indices.take(pa.array(cuts))),
+             *[pa.array([v[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()) for v in values.values()]],
+            ["range", "model", *PACKED])
+
+
+def arranged(counts: DataFrame, draws: int, p: Params) -> DataFrame:
+    """Rows in ranges of (model, score), scores falling, stored as packed arrays. counts: model, score, pos, neg, unit."""
+    cut, parts = with_range(counts, ["model", "score"], replace(p, range_rows=max(1, VALUES // draws)))
+    rows = placed(cut, parts) if parts > 1 else cut.coalesce(1)
+    falling = rows.select(RANGE, "model", *PACKED).sortWithinPartitions(RANGE, "model", F.desc("score"))
+    kinds = ", ".join(f"{c} binary" for c in PACKED)
+    return durable(falling.mapInArrow(_pack, f"range int, model string, {kinds}"))
 
 
 def _chunks(batches, draws: int):
+    """((range, model), rows) of bounded size."""
     step = max(1, CHUNK // draws)
     for batch in batches:
-        for start in range(0, batch.num_rows, step):
-            yield pa.Table.from_batches([batch.slice(start, step)])
+        for r in batch.to_pylist():
+            held = {c: np.frombuffer(r[c], kind) for c, kind in PACKED.items()}
+            for a in range(0, len(held["score"]), step):
+                yield (r["range"], r["model"]), Rows(**{c: v[a : a + step] for c, v in held.items()})
 
 
 def _emit(part: int, model: str, *vectors) -> pa.RecordBatch:
@@ -88,53 +149,53 @@ def _emit(part: int, model: str, *vectors) -> pa.RecordBatch:
 def _range_sums(weigh, draws: int):
     def run(batches):
         sums: dict[tuple[int, str], list[np.ndarray]] = {}
-        for rows in _chunks(batches, draws):
-            weights = weigh(rows)
-            keys = list(zip(rows[RANGE].to_pylist(), rows["model"].to_pylist()))
-            for key in dict.fromkeys(keys):
-                mine = np.array([k == key for k in keys])
-                total = sums.setdefault(key, [np.zeros(draws), np.zeros(draws)])
-                for t, w in zip(total, weights):
-                    t += w[mine].sum(0)
+        for key, rows in _chunks(batches, draws):
+            total = sums.setdefault(key, [np.zeros(draws), np.zeros(draws)])
+            for t, w in zip(total, weigh(rows, np.zeros(1, np.int64))):
+                t += w[0]
         for (part, model), total in sums.items():
             yield _emit(part, model, *total)
 
     return run
 
 
-def _terms(weigh, draws: int, term, above):
+def _terms(weigh, draws: int, term, marks: str | None, above):
     """Sum of the metric's terms over each (range, model); rows come by range and model, scores falling."""
 
     def run(batches):
-        key, score, group = None, None, None  # the open score and its weights
-        tp = fp = total = None
+        key = score = marked = tp = fp = total = None
+        held = None  # sums of the last scores, which the next chunk may go on with
 
-        def close():
+        def close(pos, neg):
             nonlocal tp, fp, total
-            tp, fp = tp + group[0], fp + group[1]
-            total = total + term(group[0], group[1], tp, fp)
-
-        for rows in _chunks(batches, draws):
-            pos, neg = weigh(rows)
-            parts, models, scores = rows[RANGE].to_numpy(), rows["model"].to_pylist(), rows["score"].to_numpy()
-            n = len(scores)
-            cuts = [k for k in range(n) if k == 0 or scores[k] != scores[k - 1] or models[k] != models[k - 1] or parts[k] != parts[k - 1]]
-            sums = np.add.reduceat(pos, cuts, axis=0), np.add.reduceat(neg, cuts, axis=0)
-            for g, k in enumerate(cuts):
-                here = (int(parts[k]), models[k])
-                if here == key and scores[k] == score:  # goes on from the last chunk
-                    group = (group[0] + sums[0][g], group[1] + sums[1][g])
-                    continue
-                if key is not None:
-                    close()
-                    if here != key:
-                        yield _emit(*key, total)
-                if here != key:
-                    tp, fp = above.value[here]
-                    total = np.zeros(draws)
-                key, score, group = here, scores[k], (sums[0][g], sums[1][g])
+            up, down = tp + np.cumsum(pos, axis=0), fp + np.cumsum(neg, axis=0)
+            total = total + term(pos, neg, up, down).sum(axis=0)
+            tp, fp = up[-1], down[-1]
+
+        for here, rows in _chunks(batches, draws):
+            if here != key and key is not None:
+                close(*held)
+                yield _emit(*key, total)
+            if here != key:
+                key, held, total = here, None, np.zeros(draws)
+                tp, fp = above.value[here]
+            groups = np.flatnonzero(np.r_[True, rows.score[1:] != rows.score[:-1]])
+            adds = np.ones(len(groups), bool) if marks is None else np.logical_or.reduceat(getattr(rows, marks) != 0, groups)
+            if held is not None and rows.score[0] == score:
+                adds[0] |= marked
+            elif held is not None and marked:
+                close(*held)
+                held = None
+            # a stretch ends with a score that adds a term
+            pos, neg = weigh(rows, groups[np.r_[True, adds[:-1]]])
+            if held is not None:
+                pos[0] += held[0][0]
+                neg[0] += held[1][0]
+            if len(pos) > 1:
+                close(pos[:-1], neg[:-1])
+            held, score, marked = (pos[-1:].copy(), neg[-1:].copy()), rows.score[-1], adds[-1]
         if key is not None:
-            close()
+            close(*held)
             yield _emit(*key, total)
 
     return run
@@ -148,12 +209,10 @@ def _collected(df: DataFrame) -> dict:
     return out
 
 
-def resampled_metrics(counts: DataFrame, weigh, draws: int, metric: str, p: Params) -> dict[str, np.ndarray]:
-    """{model: value in each draw}, NaN where a draw lacks a class. counts: model, score, pos, neg[, unit]."""
-    term, divisor = METRICS[metric]
-    context = counts.sparkSession.sparkContext
-    cut, parts = with_range(counts, ["model", "score"], replace(p, range_rows=max(1, VALUES // draws)))
-    rows = placed(cut, parts) if parts > 1 else cut.coalesce(1)
+def resampled_metrics(rows: DataFrame, weigh, draws: int, metric: str) -> dict[str, np.ndarray]:
+    """{model: value in each draw}, NaN where a draw lacks a class, of rows as arranged()."""
+    term, divisor, marks = METRICS[metric]
+    context = rows.sparkSession.sparkContext
     sums = _collected(rows.mapInArrow(_range_sums(weigh, draws), "range int, model string, v0 binary, v1 binary"))
     above, whole = {}, {}
     for part, model in sorted(sums, reverse=True):
@@ -161,8 +220,7 @@ def resampled_metrics(counts: DataFrame, weigh, draws: int, metric: str, p: Para
         above[part, model] = tuple(held)
         whole[model] = [h + s for h, s in zip(held, sums[part, model])]
     shared = context.broadcast(above)
-    falling = rows.sortWithinPartitions(RANGE, "model", F.desc("score"))
-    terms = _collected(falling.mapInArrow(_terms(weigh, draws, term, shared), "range int, model string, v0 binary"))
+    terms = _collected(rows.mapInArrow(_terms(weigh, draws, term, marks, shared), "range int, model string, v0 binary"))
     shared.unpersist()
     out = {}
     for model, (n_pos, n_neg) in whole.items():
@@ -172,50 +230,53 @@ def resampled_metrics(counts: DataFrame, weigh, draws: int, metric: str, p: Para
     return out
 
 
-def vessel_times(ranked: DataFrame, n: int, seed: int, first: int, draws: int) -> np.ndarray:
+def vessel_times(spark: SparkSession, n: int, seed: int, first: int, draws: int) -> np.ndarray:
     """(vessel number, draw): how often each vessel is drawn in draws first, first + 1, ...
 
     A draw takes n vessels with replacement; pick i of draw d is vessel number
-    md5(seed, d, i) mod n. Tasks count their picks; nothing is shuffled.
+    md5(seed, d, i) mod n. A task counts the picks of whole draws; nothing is shuffled.
     """
-    picks = F.transform(
-        F.sequence(F.lit(first), F.lit(first + draws - 1)),
-        lambda d: F.pmod(hash_integer(seed, d, "_i"), F.lit(n)).cast("int"),
-    )
-
     def count(batches):
         for batch in batches:
-            to = batch.column("to").flatten().to_numpy().astype(np.int64)
-            at, k = np.unique(to * draws + np.tile(np.arange(draws), batch.num_rows), return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([at.astype("<i8").tobytes()], pa.binary()), pa.array([k.astype("<u4").tobytes()], pa.binary())], ["at", "k"])
-
-    out = np.zeros(n * draws, np.uint32)
-    for r in ranked.select(picks.alias("to")).mapInArrow(count, "at binary, k binary").toLocalIterator():
-        out[np.frombuffer(r["at"], "<i8")] += np.frombuffer(r["k"], "<u4")
-    return out.reshape(n, draws)
+            for d in batch.column("id").to_pylist():
+                times = np.zeros(n, np.int64)
+                for a in range(0, n, 1 << 20):
+                    np.add.at(times, md5_integers(f"{seed}-{d}-", a, min(n, a + (1 << 20))) % n, 1)
+                kept = times.astype(np.min_scalar_type(times.max()))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([d], pa.int64()), pa.array([kept.dtype.str]), pa.array([kept.tobytes()], pa.binary())], ["d", "kind", "v"])
+
+    tasks = min(draws, 4 * spark.sparkContext.defaultParallelism)
+    out = np.zeros((draws, n), np.uint8)
+    for r in spark.range(first, first + draws, 1, tasks).mapInArrow(count, "d bigint, kind string, v binary").toLocalIterator():
+        times = np.frombuffer(r["v"], r["kind"])
+        out = out.astype(np.promote_types(out.dtype, times.dtype), copy=False)
+        out[r["d"] - first] = times
+    return np.ascontiguousarray(out.T)
 
 
 def vessel_metrics(counts: DataFrame, p: Params, n_draws: int, metric: str) -> dict[str, np.ndarray]:
     """Metrics of a bootstrap over whole vessels; all models share every draw. counts: MMSI, model, score, pos, neg.
 
-    Draws are done in blocks whose vessel weights fit TIMES_BYTES.
+    Draws are done in blocks whose vessel weights, a byte each, fit TIMES_BYTES.
     """
-    context = counts.sparkSession.sparkContext
+    spark = counts.sparkSession
     counts = durable(counts)
     ranked = durable(hash_rank(counts.select(MMSI), MMSI, p.seed, rank="_rank", n="_n").select(
         MMSI, (F.col("_rank") - 1).alias("_i")))
     n = ranked.count()
     if n == 0:
         return {}
-    few = F.broadcast(ranked) if n <= p.broadcast_rows else ranked
-    rows = durable(counts.join(few, MMSI).select("model", "score", "pos", "neg", F.col("_i").alias("unit")))
-    block = max(1, min(n_draws, TIMES_BYTES // (4 * n)))
+    few = F.broadcast(ranked) if n <= p.broadcast_rows else ranked.hint("merge")
+    block = max(1, min(n_draws, TIMES_BYTES // n))
+    rows = durable(counts.join(few, MMSI).select("model", F.col("score").cast("double").alias("score"), "pos", "neg", F.col("_i").alias("unit")))
+    rows = arranged(rows, block, p)
     found: dict[str, list[np.ndarray]] = {}
     for first in range(0, n_draws, block):
         size = min(block, n_draws - first)
-        times = context.broadcast(vessel_times(ranked, n, p.seed, first, size))
-        for model, values in resampled_metrics(rows, VesselWeights(times), size, metric, p).items():
+        matrix = vessel_times(spark, n, p.seed, first, size)
+        times = spark.sparkContext.broadcast(matrix)
+        for model, values in resampled_metrics(rows, VesselWeights(times, int(matrix.max())), size, metric).items():
             found.setdefault(model, []).append(values)
         times.unpersist()
     return {model: np.concatenate(values) for model, values in found.items()}
@@ -223,6 +284,7 @@ def vessel_metrics(counts: DataFrame, p: Params, n_draws: int, metric: str) -> d
 
 def row_metrics(counts: DataFrame, p: Params, n_draws: int, metric: str) -> np.ndarray:
     """Metric in each draw of a bootstrap over rows. counts: score, pos, neg."""
-    rows = durable(counts.select(F.lit("all").alias("model"), F.col("score").cast("double").alias("score"), "pos", "neg"))
-    found = resampled_metrics(rows, PoissonWeights(p.seed, n_draws), n_draws, metric, p)
+    rows = durable(counts.select(
+        F.lit("all").alias("model"), F.col("score").cast("double").alias("score"), "pos", "neg", F.lit(0).alias("unit")))
+    found = resampled_metrics(arranged(rows, n_draws, p), PoissonWeights(p.seed, n_draws), n_draws, metric)
     return found.get("all", np.full(n_draws, np.nan))
