@@ -157,6 +157,30 @@ def test_shuffled_rows_do_not_depend_on_draws(spark, table):
     assert len(seen) == 2 and seen[0] == seen[1]
 
 
+def test_blocks_of_draws_share_one_arrangement(table, monkeypatch):
+    """Rows are shuffled and sorted once for all blocks of draws and both models, and stored packed."""
+    from wakeline.operators import draws
+
+    seen, real = [], draws.placed
+    monkeypatch.setattr(draws, "placed", lambda cut, parts: seen.append(parts) or real(cut, parts))
+    monkeypatch.setattr(draws, "VALUES", 300)
+    whole = ev.grouped_draw_metrics(table, ["a", "b"], P, 12)
+    assert len(seen) == 1 and seen.pop() > 1
+    monkeypatch.setattr(draws, "TIMES_BYTES", 4 * table.select("MMSI").distinct().count())
+    parts = ev.grouped_draw_metrics(table, ["a", "b"], P, 12)
+    assert len(seen) == 1 and seen[0] > 1
+    assert all(np.allclose(whole[s], parts[s], atol=1e-12, equal_nan=True) for s in ("a", "b"))
+
+
+def test_picks_hash_many_numbers_at_once(spark):
+    """Picks made in numpy are those of hash_integer, over changes of length and of a piece."""
+    from wakeline.functions.columns import hash_integer, md5_integers
+
+    for start, end in ((0, 120), (9_990, 10_010), (99_999_990, 99_999_999 + 8_200)):
+        want = [r[0] for r in spark.range(start, end, 1, 1).select(hash_integer(42, F.lit(7), "id")).collect()]
+        assert md5_integers("42-7-", start, end).tolist() == want
+
+
 def test_draws_of_an_empty_table(table):
     r = ev.bootstrap_ci(table.limit(0), "a", P, 5).first()
     assert r.n_draws_used == 0 and r.point is None
